@@ -308,7 +308,8 @@ def labelled_feature(table: str, col: str) -> str:
 
 
 def histogram(col: str, upper: float | None) -> str:
-    value = q(col) if upper is None else f"least({q(col)}, {float(upper)})"
+    value = f"round(CAST({q(col)} AS DOUBLE), 6)"
+    value = value if upper is None else f"least({value}, {float(upper)})"
     return f"""
 SELECT CAST(bin AS INTEGER) AS bin, {r6("lo + bin * ((hi - lo) / 50)", "bin_start")},
        {r6("lo + (bin + 1) * ((hi - lo) / 50)", "bin_end")}, coalesce(n, 0) AS n_rows

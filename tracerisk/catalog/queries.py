@@ -435,8 +435,10 @@ def describe_waiting_priority(spark, folder):
 
 
 def _histogram(col, upper):
+    """Of values rounded first: a last bit may not decide on which side of an edge they fall."""
+
     def run(spark, folder):
-        values = materialize(matrix_l(spark, folder).select(col))
+        values = materialize(rounded(matrix_l(spark, folder).select(col)))
         return rounded(profile.histogram(values, col, 50, upper))
 
     return run

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tracerisk.functions import event_label, event_order, last_known
 from tracerisk.operators.ranges import in_ranges
-from tracerisk.operators.skew import hot_keys, is_hot
+from tracerisk.operators.skew import HOT_ROWS, hot_keys, is_hot
 from tracerisk.schema import DATA_COLUMNS, NO_MACHINE, RESOURCES, SEQ, TASK_KEY
 
 
@@ -90,16 +90,17 @@ def decode_events(df: DataFrame) -> DataFrame:
     return df.withColumn("event_label", event_label(F.col("event_type")))
 
 
-def clean_trace(raw: DataFrame) -> DataFrame:
+def clean_trace(raw: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """All cleaning steps: duplicates, task keys, machine, resources, event names.
 
     Copies of an event belong to one task, so a single shuffle by task serves the
-    duplicate removal, the fill and any later aggregate per task. Large tasks are
-    set apart first, by a pass over the two key columns of the raw rows: their
-    copies are combined before a shuffle by all columns, and the fill runs in ranges.
+    duplicate removal, the fill and any later aggregate per task. Tasks of more
+    than `hot_rows` rows are set apart first, by a pass over the two key columns of
+    the raw rows: their copies are combined before a shuffle by all columns, and
+    the fill runs in ranges.
     """
     raw = drop_missing_keys(raw.drop("missing_info"))
-    hot = hot_keys(raw, TASK_KEY)
+    hot = hot_keys(raw, TASK_KEY, hot_rows)
     large = is_hot(TASK_KEY, hot)
 
     by_task = (raw.filter(~large) if hot else raw).repartition(*TASK_KEY)

@@ -1,6 +1,6 @@
 """Model comparison, ablation and cross-validation."""
 
-from collections.abc import Callable, Iterable, Sequence
+from collections.abc import Callable, Iterable, Mapping, Sequence
 from functools import partial
 from multiprocessing.pool import ThreadPool
 
@@ -56,10 +56,14 @@ def fit_and_score(fit: Fit, train: DataFrame, test: DataFrame) -> DataFrame:
 
 
 def _metrics(name: str, fit: Fit, train: DataFrame, test: DataFrame) -> Row:
-    return classification_metrics(fit_and_score(fit, train, test), name).first()
+    return _scored_metrics(name, fit_and_score(fit, train, test))
 
 
-def grid(settings: dict[str, dict] | None = None) -> dict[tuple[str, str], Fit]:
+def _scored_metrics(name: str, scores: DataFrame) -> Row:
+    return classification_metrics(scores, name).first()
+
+
+def grid(settings: Mapping[str, dict] | None = None) -> dict[tuple[str, str], Fit]:
     """The six fits: every family on raw and on all features."""
     settings = settings or {}
     return {
@@ -72,16 +76,22 @@ def grid(settings: dict[str, dict] | None = None) -> dict[tuple[str, str], Fit]:
 def compare_models(
     train: DataFrame,
     test: DataFrame,
-    settings: dict[str, dict] | None = None,
+    settings: Mapping[str, dict] | None = None,
     threads: int = 2,
+    scores: Mapping[str, DataFrame] | None = None,
 ) -> DataFrame:
-    """Metrics of the six models. `settings` passes arguments to the families by name."""
+    """Metrics of the six models. `settings` passes arguments to the families by name.
+
+    Score tables by model name may be given instead of fitting again.
+    """
     spark = train.sparkSession
-    fits = grid(settings)
-    jobs = [partial(_metrics, f"{a} ({b})", fit, train, test) for (a, b), fit in fits.items()]
-    rows = [
-        (*key, *row) for key, row in zip(fits, in_parallel(jobs, spark, threads))
-    ]
+    names = {key: f"{key[0]} ({key[1]})" for key in grid()}
+    if scores is None:
+        fits = grid(settings)
+        jobs = [partial(_metrics, name, fits[key], train, test) for key, name in names.items()]
+    else:
+        jobs = [partial(_scored_metrics, name, scores[name]) for name in names.values()]
+    rows = [(*key, *row) for key, row in zip(names, in_parallel(jobs, spark, threads))]
     return spark.createDataFrame(
         rows,
         "family string, feature_group string, model string, accuracy double, precision double, "

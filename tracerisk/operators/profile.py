@@ -182,7 +182,7 @@ def crosstab(df: DataFrame, row: str, col: str) -> DataFrame:
 
 def counts_by_flag(df: DataFrame, flag: str = "priority_inversion_flag") -> DataFrame:
     """Tasks per label, with one column for flag 0 and one for flag 1."""
-    wide = df.groupBy("label").pivot(flag, [0, 1]).agg(F.count("*"))
+    wide = df.groupBy("label").pivot(flag, [0, 1]).agg(F.count(flag))
     return wide.select(
         "label",
         F.coalesce("0", F.lit(0)).alias("not_flagged"),
