@@ -26,7 +26,7 @@ from tracerisk.operators import experiments, metrics, models
 from tracerisk.schema import ALL_FEATURES, NOVEL_FEATURES, RAW_FEATURES, TASK_KEY
 from tracerisk.sources import materialize
 
-TREES = {"n_estimators": 4, "max_depth": 3, "max_bins": 32}
+TREES = {"n_estimators": 10, "max_depth": 3, "max_bins": 32}
 
 
 @pytest.fixture(scope="module")
@@ -88,10 +88,12 @@ def test_logistic_regression_minimises_the_penalised_loss(parts):
 
 
 @pytest.mark.parametrize("fit", [train_random_forest, train_boosted_trees])
-def test_trees(parts, fit, tmp_path):
+def test_trees(matrix, parts, fit, tmp_path):
     train, test = parts
     model = fit(train, **TREES)
     assert auc(model, test) > 0.9
+    again = fit(prepare_data(matrix)[0], **TREES)
+    assert sorted(predict(again, test).collect()) == sorted(predict(model, test).collect())
     importance = get_feature_importance(model)
     assert importance.first()["feature"] == "execution_duration_sec"
     assert sum(r["importance"] for r in importance.collect()) == pytest.approx(1.0)

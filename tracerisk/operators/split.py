@@ -74,8 +74,13 @@ def stratified_folds(df: DataFrame, n_splits: int = 5, seed: int = 42) -> DataFr
 def prepare_data(
     matrix: DataFrame, test_size: float = 0.2, seed: int = 42
 ) -> tuple[DataFrame, DataFrame]:
-    """Train and test frames, from one written table of the split matrix."""
-    parts = materialize(stratified_split(materialize(matrix), test_size, seed))
+    """Train and test frames, from one written table of the split matrix.
+
+    Rows are put in a fixed order once: seeded samples of the tree models are
+    drawn by position, so the same matrix then gives the same models.
+    """
+    parts = stratified_split(materialize(matrix), test_size, seed)
+    parts = materialize(parts.repartition(*TASK_KEY).sortWithinPartitions(*TASK_KEY))
     train = parts.filter(F.col("split") == "train").drop("split")
     return train, parts.filter(F.col("split") == "test").drop("split")
 
