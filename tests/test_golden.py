@@ -104,7 +104,7 @@ def test_matrix_both_ways(events, labelled):
 
 def test_without_position_column(golden_raw):
     """Copies are equal and times distinct here, so content order gives the same."""
-    plain = clean_trace(golden_raw.drop(SEQ)).drop(SEQ)
+    plain, usual = clean_trace(golden_raw.drop(SEQ)), clean_trace(golden_raw)
     assert sorted(map(str, plain.collect())) == sorted(
-        map(str, clean_trace(golden_raw).drop(SEQ).select(*plain.columns).collect())
+        map(str, usual.select(*plain.columns).collect())
     )

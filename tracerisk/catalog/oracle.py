@@ -109,7 +109,7 @@ clean AS (
   SELECT "timestamp", job_id, task_index, coalesce(machine_id, -1) AS machine_id, event_type,
          "user", scheduling_class, priority,
          {_FILLS},
-         {LABEL_CASE} AS event_label, ingest_seq
+         {LABEL_CASE} AS event_label, ingest_seq, row_number() OVER w AS event_no
   FROM dd WHERE job_id IS NOT NULL AND task_index IS NOT NULL
   WINDOW w AS (PARTITION BY job_id, task_index {ORDER}
                ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
@@ -422,7 +422,7 @@ def oracle_sql() -> dict[str, str]:
         f"SELECT {KEY}, {r6('resource_overcommit_ratio', 'resource_overcommit_ratio')} "
         "FROM overcommit"
     )
-    clean_out = f"SELECT {DATA}, event_label, ingest_seq FROM clean"
+    clean_out = f"SELECT {DATA}, event_label, event_no FROM clean"
     named = f"(SELECT *, {LABEL_CASE} AS event_label FROM raw)"
     out = {
         "trace_parts": with_(RAW_E, select=f"SELECT {cols(COLUMNS)} FROM raw"),
@@ -430,7 +430,7 @@ def oracle_sql() -> dict[str, str]:
         "clean_trace_events": with_(*E, select=clean_out),
         "dedupe_events": with_(*E, select=f"SELECT {DATA}, ingest_seq FROM dd"),
         "ffill_resources": with_(
-            *E, select=f'SELECT {KEY}, "timestamp", ingest_seq, {cols(RESOURCES)} FROM clean'
+            *E, select=f'SELECT {KEY}, "timestamp", event_no, {cols(RESOURCES)} FROM clean'
         ),
         "event_labels": with_(
             RAW_E, select=f"SELECT ingest_seq, event_type, event_label FROM {named}"

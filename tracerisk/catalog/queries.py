@@ -28,6 +28,7 @@ from tracerisk.schema import (
     ALL_FEATURES,
     COLUMNS,
     DATA_COLUMNS,
+    EVENT_NO,
     NOVEL_FEATURES,
     RAW_FEATURES,
     RESOURCES,
@@ -107,12 +108,12 @@ def trace_parts(spark, folder):
 
 @query
 def clean_trace(spark, folder):
-    return clean_l(spark, folder).select(*DATA_COLUMNS, "event_label", SEQ)
+    return clean_l(spark, folder).select(*DATA_COLUMNS, "event_label", EVENT_NO)
 
 
 @query
 def clean_trace_events(spark, folder):
-    return clean_e(spark, folder).select(*DATA_COLUMNS, "event_label", SEQ)
+    return clean_e(spark, folder).select(*DATA_COLUMNS, "event_label", EVENT_NO)
 
 
 @query
@@ -123,7 +124,7 @@ def dedupe_events(spark, folder):
 @query
 def ffill_resources(spark, folder):
     keyed = clean.drop_missing_keys(clean.drop_duplicate_events(raw_e(spark, folder)))
-    return clean.forward_fill(keyed).select(*TASK_KEY, "timestamp", SEQ, *RESOURCES)
+    return clean.forward_fill(keyed).select(*TASK_KEY, "timestamp", EVENT_NO, *RESOURCES)
 
 
 @query
@@ -285,9 +286,8 @@ def _by_label(make, col):
     def run(spark, folder):
         events = materialize(clean_l(spark, folder))
         labelled = labels.create_labels(events)
-        return rounded(
-            profile.stats_by_label(profile.with_label(make(events, labelled), labelled), col)
-        )
+        joined = materialize(profile.with_label(make(events, labelled), labelled))
+        return rounded(profile.stats_by_label(joined, col))
 
     return run
 
@@ -322,7 +322,7 @@ def machine_rate_by_label(spark, folder):
     rates, small = skew.stage_lookup(features.calculate_machine_failure_rate(events))
     tasks = labels.create_labels(events).select(*TASK_KEY, "machine_id", "label")
     joined = skew.lookup(tasks, rates, ["machine_id"], small=small)
-    return rounded(profile.stats_by_label(joined, "machine_failure_rate"))
+    return rounded(profile.stats_by_label(materialize(joined), "machine_failure_rate"))
 
 
 @query
@@ -408,30 +408,30 @@ def priority_distribution(spark, folder):
 
 @query
 def describe_features(spark, folder):
-    return rounded(profile.describe(matrix_e(spark, folder), ALL_FEATURES))
+    return rounded(profile.describe(materialize(matrix_e(spark, folder)), ALL_FEATURES))
 
 
 @query
 def describe_features_volume(spark, folder):
-    return rounded(profile.describe(matrix_l(spark, folder), ALL_FEATURES))
+    return rounded(profile.describe(materialize(matrix_l(spark, folder)), ALL_FEATURES))
 
 
 @query
 def describe_machine_rate(spark, folder):
     rates = features.calculate_machine_failure_rate(clean_l(spark, folder))
-    return rounded(profile.describe(rates, ["machine_failure_rate"]))
+    return rounded(profile.describe(materialize(rates), ["machine_failure_rate"]))
 
 
 @query
 def describe_slots(spark, folder):
     slots = features.schedules_per_slot(clean_l(spark, folder), LINES_SLOT)
-    return rounded(profile.describe(slots, ["concurrency_density"]))
+    return rounded(profile.describe(materialize(slots), ["concurrency_density"]))
 
 
 @query
 def describe_waiting_priority(spark, folder):
     waiting = features.waiting_priority(clean_e(spark, folder), EVENTS_WAITING)
-    return rounded(profile.describe(waiting, ["max_waiting_priority"]))
+    return rounded(profile.describe(materialize(waiting), ["max_waiting_priority"]))
 
 
 def _histogram(col, upper):
@@ -503,21 +503,25 @@ def trace_head(spark, folder):
 # Split, folds, weights, scaling
 
 
+def _labelled_tasks(spark, folder):
+    return materialize(labels.create_labels(clean_l(spark, folder)).select(*TASK_KEY, "label"))
+
+
 @query
 def stratified_split(spark, folder):
-    tasks = materialize(matrix_l(spark, folder).select(*TASK_KEY, "label"))
+    tasks = _labelled_tasks(spark, folder)
     return split.stratified_split(tasks)
 
 
 @query
 def split_distribution(spark, folder):
-    tasks = materialize(matrix_l(spark, folder).select(*TASK_KEY, "label"))
+    tasks = _labelled_tasks(spark, folder)
     return split.split_distribution(split.stratified_split(tasks))
 
 
 @query
 def stratified_folds(spark, folder):
-    tasks = materialize(matrix_l(spark, folder).select(*TASK_KEY, "label"))
+    tasks = _labelled_tasks(spark, folder)
     return split.stratified_folds(tasks)
 
 

@@ -1,7 +1,7 @@
 from tracerisk.functions.columns import (
+    at_first,
     bucket,
     event_label,
-    event_order,
     first_known,
     last_known,
     seconds,
@@ -10,9 +10,9 @@ from tracerisk.functions.columns import (
 from tracerisk.functions.student import two_sided_p
 
 __all__ = [
+    "at_first",
     "bucket",
     "event_label",
-    "event_order",
     "first_known",
     "last_known",
     "seconds",

@@ -3,7 +3,7 @@
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tracerisk.schema import EVENT_TYPES, SEQ
+from tracerisk.schema import EVENT_NO, EVENT_TYPES
 
 MICROS = 1_000_000
 
@@ -25,19 +25,19 @@ def event_label(code: Column) -> Column:
     return F.try_element_at(F.create_map(*pairs), code)
 
 
-def event_order() -> Column:
-    """Total order of the events of one task: time, then input position."""
-    return F.struct("timestamp", SEQ)
+def last_known(col: Column) -> Column:
+    """Aggregate over a task: value at the last event where it is not null."""
+    return F.max_by(col, F.when(col.isNotNull(), F.col(EVENT_NO)))
 
 
-def last_known(col: Column, order: Column) -> Column:
-    """Aggregate: last value in `order` that is not null."""
-    return F.max_by(col, F.when(col.isNotNull(), order))
+def first_known(col: Column) -> Column:
+    """Aggregate over a task: value at the first event where it is not null."""
+    return F.min_by(col, F.when(col.isNotNull(), F.col(EVENT_NO)))
 
 
-def first_known(col: Column, order: Column) -> Column:
-    """Aggregate: first value in `order` that is not null."""
-    return F.min_by(col, F.when(col.isNotNull(), order))
+def at_first(col: Column, where: Column) -> Column:
+    """Aggregate over a task: value at the first event that meets a condition."""
+    return F.min_by(col, F.when(where, F.col(EVENT_NO)))
 
 
 def stable_hash(seed: int, *cols: str) -> Column:

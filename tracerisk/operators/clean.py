@@ -5,10 +5,10 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracerisk.functions import event_label, event_order, last_known
+from tracerisk.functions import event_label
 from tracerisk.operators.ranges import in_ranges
 from tracerisk.operators.skew import HOT_ROWS, hot_keys, is_hot
-from tracerisk.schema import DATA_COLUMNS, NO_MACHINE, RESOURCES, SEQ, TASK_KEY
+from tracerisk.schema import DATA_COLUMNS, EVENT_NO, NO_MACHINE, RESOURCES, SEQ, TASK_KEY
 
 
 def drop_duplicate_events(raw: DataFrame) -> DataFrame:
@@ -38,6 +38,7 @@ def forward_fill(
 ) -> DataFrame:
     """Replace nulls by the last known value of the task, or 0 where there is none.
 
+    The sort that this takes also numbers the events of the task (`event_no`).
     `hot` lists the tasks (from `hot_keys`) too large for one sort; it is looked
     up in `df` when not given.
     """
@@ -47,12 +48,11 @@ def forward_fill(
         .orderBy("timestamp", SEQ)
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    zero = F.lit(0)
 
     def fill(rows: DataFrame) -> DataFrame:
-        return rows.withColumns(
-            {c: F.coalesce(F.last(c, ignorenulls=True).over(running), zero) for c in cols}
-        )
+        filled = {c: F.last(c, ignorenulls=True).over(running) for c in cols}
+        filled = {c: F.coalesce(value, F.lit(0)) for c, value in filled.items()}
+        return rows.withColumns(filled | {EVENT_NO: F.count("*").over(running)})
 
     if not hot:
         return fill(df)
@@ -69,20 +69,31 @@ def _fill_in_ranges(df: DataFrame, cols: Sequence[str]) -> DataFrame:
         .orderBy("chunk")
         .rowsBetween(Window.unboundedPreceding, -1)
     )
+
+    def last(c: str):
+        return F.max_by(c, F.when(F.col(c).isNotNull(), F.struct("timestamp", SEQ)))
+
     # No more rows than ranges plus large tasks.
     carried = (
         rows.groupBy(*piece)
-        .agg(*[last_known(F.col(c), event_order()).alias(c) for c in cols])
-        .select(*piece, *[F.last(c, ignorenulls=True).over(before).alias(f"_{c}") for c in cols])
+        .agg(*[last(c).alias(c) for c in cols], F.count("*").alias("n"))
+        .select(
+            *piece,
+            *[F.last(c, ignorenulls=True).over(before).alias(f"_{c}") for c in cols],
+            F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_n"),
+        )
     )
     running = (
         Window.partitionBy(*piece)
         .orderBy("timestamp", SEQ)
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    local = rows.withColumns({c: F.last(c, ignorenulls=True).over(running) for c in cols})
+    local = {c: F.last(c, ignorenulls=True).over(running) for c in cols}
+    local = rows.withColumns(local | {EVENT_NO: F.count("*").over(running)})
     filled = {c: F.coalesce(F.col(c), F.col(f"_{c}"), F.lit(0)) for c in cols}
-    return local.join(F.broadcast(carried), piece, "left").withColumns(filled).select(*df.columns)
+    filled[EVENT_NO] = F.col(EVENT_NO) + F.col("_n")
+    joined = local.join(F.broadcast(carried), piece, "left").withColumns(filled)
+    return joined.select(*df.columns, EVENT_NO)
 
 
 def decode_events(df: DataFrame) -> DataFrame:
@@ -109,7 +120,7 @@ def clean_trace(raw: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
         apart = fill_machine(drop_duplicate_events(raw.filter(large)))
         events = events.unionByName(forward_fill(apart, hot=hot))
     whole = F.col("different_machine").cast("int")
-    return decode_events(events.withColumn("different_machine", whole))
+    return decode_events(events.drop(SEQ).withColumn("different_machine", whole))
 
 
 def cleaning_summary(raw: DataFrame) -> DataFrame:

@@ -7,9 +7,9 @@ machine for the failure rate.
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracerisk.functions import bucket, event_order, first_known, seconds
+from tracerisk.functions import at_first, bucket, first_known, seconds
 from tracerisk.operators.skew import lookup, stage_lookup
-from tracerisk.schema import FAILURE_EVENTS, NO_MACHINE, SCHEDULE, SEQ, SUBMIT, TASK_KEY
+from tracerisk.schema import EVENT_NO, FAILURE_EVENTS, NO_MACHINE, SCHEDULE, SUBMIT, TASK_KEY
 
 
 def on_machine() -> Column:
@@ -86,18 +86,24 @@ def calculate_machine_failure_rate(events: DataFrame) -> DataFrame:
     )
 
 
-def slot(window_seconds: int) -> Column:
-    """Machine and tumbling window of an event."""
-    time_window = bucket(F.col("timestamp"), window_seconds).alias("time_window")
-    return F.struct("machine_id", time_window)
+def time_window(window_seconds: int) -> Column:
+    """Number of the tumbling window of an event."""
+    return bucket(F.col("timestamp"), window_seconds)
+
+
+def first_slot(window_seconds: int, machine: str = "machine_id") -> list[Column]:
+    """Aggregates per task: machine and window of the first SCHEDULE on a real machine."""
+    return [
+        at_first(F.col("machine_id"), on_machine()).alias(machine),
+        at_first(time_window(window_seconds), on_machine()).alias("time_window"),
+    ]
 
 
 def schedules_per_slot(events: DataFrame, window_seconds: int = 300) -> DataFrame:
     """SCHEDULE events per real machine and tumbling window."""
     return (
         events.filter(on_machine())
-        .select(slot(window_seconds).alias("slot"))
-        .groupBy("slot.machine_id", "slot.time_window")
+        .groupBy("machine_id", time_window(window_seconds).alias("time_window"))
         .agg(F.count("*").alias("concurrency_density"))
     )
 
@@ -113,12 +119,7 @@ def calculate_concurrency_density(events: DataFrame, window_seconds: int = 300)
 
     The first SCHEDULE is picked before the join, so one row per task is joined.
     """
-    first = (
-        events.filter(on_machine())
-        .groupBy(*TASK_KEY)
-        .agg(F.min_by(slot(window_seconds), event_order()).alias("slot"))
-        .select(*TASK_KEY, "slot.*")
-    )
+    first = events.filter(on_machine()).groupBy(*TASK_KEY).agg(*first_slot(window_seconds))
     counted = with_concurrency(first, schedules_per_slot(events, window_seconds))
     return counted.select(*TASK_KEY, "concurrency_density")
 
@@ -131,10 +132,8 @@ def calculate_resource_overcommit(events: DataFrame) -> DataFrame:
             F.avg("cpu_requested").alias("mean_cpu"), F.count("*").alias("asking")
         )
     )
-    first = (
-        asking.groupBy(*TASK_KEY)
-        .agg(F.min_by(F.struct("machine_id", "cpu_requested"), event_order()).alias("first"))
-        .select(*TASK_KEY, "first.*")
+    first = asking.groupBy(*TASK_KEY).agg(
+        *[F.min_by(c, EVENT_NO).alias(c) for c in ("machine_id", "cpu_requested")]
     )
     ratio = F.try_divide("cpu_requested", "mean_cpu").alias("resource_overcommit_ratio")
     return lookup(first, means, ["machine_id"], rows="asking", small=small).select(*TASK_KEY, ratio)
@@ -145,7 +144,7 @@ def waiting_priority(events: DataFrame, window_seconds: int = 60) -> DataFrame:
     code = F.col("event_type")
     return (
         events.filter(code.isin(SUBMIT, SCHEDULE))
-        .groupBy(bucket(F.col("timestamp"), window_seconds).alias("time_window"))
+        .groupBy(time_window(window_seconds).alias("time_window"))
         .agg(
             F.max(F.when(code == SUBMIT, F.col("priority"))).alias("max_waiting_priority"),
             F.count_if(code == SCHEDULE).alias("schedules"),
@@ -156,11 +155,7 @@ def waiting_priority(events: DataFrame, window_seconds: int = 60) -> DataFrame:
 def _schedules_with_waiting(events: DataFrame, window_seconds: int) -> DataFrame:
     waiting, small = stage_lookup(waiting_priority(events, window_seconds))
     scheduled = events.filter(F.col("event_type") == SCHEDULE).select(
-        *TASK_KEY,
-        "timestamp",
-        SEQ,
-        "priority",
-        bucket(F.col("timestamp"), window_seconds).alias("time_window"),
+        *TASK_KEY, EVENT_NO, "priority", time_window(window_seconds).alias("time_window")
     )
     return lookup(scheduled, waiting, ["time_window"], rows="schedules", small=small)
 
@@ -168,7 +163,7 @@ def _schedules_with_waiting(events: DataFrame, window_seconds: int) -> DataFrame
 def calculate_priority_gap(events: DataFrame, window_seconds: int = 60) -> DataFrame:
     """Highest waiting priority minus own priority, at the first SCHEDULE where both are known."""
     gap = F.col("max_waiting_priority") - F.col("priority")
-    first = first_known(gap, event_order()).alias("priority_inversion_flag")
+    first = first_known(gap).alias("priority_inversion_flag")
     return _schedules_with_waiting(events, window_seconds).groupBy(*TASK_KEY).agg(first)
 
 
@@ -176,7 +171,7 @@ def calculate_priority_inversion(events: DataFrame, window_seconds: int = 60) ->
     """1 if the first SCHEDULE of a task passed a waiting task of higher priority, else 0."""
     passed = F.col("priority") < F.col("max_waiting_priority")
     flag = F.coalesce(passed.cast("int"), F.lit(0))
-    first = F.min_by(flag, event_order()).alias("priority_inversion_flag")
+    first = F.min_by(flag, EVENT_NO).alias("priority_inversion_flag")
     return _schedules_with_waiting(events, window_seconds).groupBy(*TASK_KEY).agg(first)
 
 

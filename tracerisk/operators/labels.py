@@ -3,20 +3,29 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracerisk.functions import event_order, last_known
-from tracerisk.schema import FAILURE_EVENTS, RESOURCES, TASK_KEY, TERMINAL_EVENTS
-
-# Columns that have no nulls after cleaning: their last known value is the last row's.
+from tracerisk.functions import event_label, last_known
+from tracerisk.schema import (
+    EVENT_NO,
+    EVENT_TYPES,
+    FAILURE_EVENTS,
+    RESOURCES,
+    TASK_KEY,
+    TERMINAL_EVENTS,
+)
+
+# Without nulls after cleaning: their last known value is that of the last event.
 _FILLED = ["timestamp", "machine_id", "event_type", *RESOURCES]
-_MAY_BE_NULL = ["user", "scheduling_class", "priority", "event_label"]
+_MAY_BE_NULL = ["scheduling_class", "priority"]
 
 
 def final_state() -> list[Column]:
-    """Aggregates per task: last known value of every column, by event order."""
-    order = event_order()
+    """Aggregates per task: last known value of every column but the two of strings.
+
+    One fixed-width value per aggregate, so that Spark hashes instead of sorting.
+    """
     return [
-        F.max_by(F.struct(*_FILLED), order).alias("last"),
-        *[last_known(F.col(c), order).alias(c) for c in _MAY_BE_NULL],
+        *[F.max_by(c, EVENT_NO).alias(c) for c in _FILLED],
+        *[last_known(F.col(c)).alias(c) for c in _MAY_BE_NULL],
     ]
 
 
@@ -31,8 +40,12 @@ def failed(code: Column) -> Column:
 
 def final_events(events: DataFrame) -> DataFrame:
     """One row per task with the last known value of every column."""
-    state = events.groupBy(*TASK_KEY).agg(*final_state())
-    return state.select(*TASK_KEY, *[f"last.{c}" for c in _FILLED], *_MAY_BE_NULL)
+    code = F.col("event_type")
+    known_code = F.when(code.isin(list(EVENT_TYPES)), code)
+    state = events.groupBy(*TASK_KEY).agg(
+        *final_state(), last_known(F.col("user")).alias("user"), last_known(known_code).alias("_code")
+    )
+    return state.withColumn("event_label", event_label(F.col("_code"))).drop("_code")
 
 
 def create_labels(events: DataFrame) -> DataFrame:

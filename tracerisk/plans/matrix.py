@@ -3,13 +3,13 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracerisk.functions import event_order
+from tracerisk.functions import at_first
 from tracerisk.operators.features import (
     calculate_priority_gap,
     elapsed,
+    first_slot,
     on_machine,
     schedules_per_slot,
-    slot,
     start_times,
     with_concurrency,
 )
@@ -20,7 +20,6 @@ from tracerisk.schema import (
     MATRIX_COLUMNS,
     NO_MACHINE,
     NOVEL_FEATURES,
-    RESOURCES,
     TASK_KEY,
 )
 from tracerisk.sources.shared import materialize
@@ -58,7 +57,6 @@ def feature_matrix(
     on the same key, so their join moves nothing more.
     """
     events = events if written else materialize(events)
-    order = event_order()
     code = F.col("event_type")
     asks_cpu = on_machine() & (F.col("cpu_requested") > 0)
 
@@ -77,27 +75,18 @@ def feature_matrix(
         .agg(
             *final_state(),
             *start_times(),
-            F.min_by(slot(window_seconds), F.when(on_machine(), order)).alias("slot"),
-            F.min_by(
-                F.struct("machine_id", "cpu_requested"), F.when(asks_cpu, order)
-            ).alias("asked"),
+            *first_slot(window_seconds, "slot_machine"),
+            at_first(F.col("machine_id"), asks_cpu).alias("asked_machine"),
+            at_first(F.col("cpu_requested"), asks_cpu).alias("asked_cpu"),
         )
-        .filter(is_terminal(F.col("last.event_type")))
-        .select(
-            *TASK_KEY,
-            # No machine is a null key, which the lookup spreads; it becomes -1 again below.
-            F.nullif(F.col("last.machine_id"), F.lit(NO_MACHINE)).alias("final_machine"),
-            "scheduling_class",
-            "priority",
-            *[f"last.{c}" for c in RESOURCES],
-            failed(F.col("last.event_type")).alias("label"),
-            "submit_time",
-            "schedule_time",
-            F.col("last.timestamp").alias("final_time"),
-            "slot.machine_id",
-            "slot.time_window",
-            F.col("asked.machine_id").alias("asked_machine"),
-            F.col("asked.cpu_requested").alias("asked_cpu"),
+        .filter(is_terminal(code))
+        .withColumns(
+            {
+                "label": failed(code),
+                # No machine is a null key, which the lookup spreads; it becomes -1 again below.
+                "final_machine": F.nullif(F.col("machine_id"), F.lit(NO_MACHINE)),
+                "machine_id": F.col("slot_machine"),
+            }
         )
         .join(calculate_priority_gap(events, priority_window_seconds), TASK_KEY, "left")
     )
@@ -111,7 +100,7 @@ def feature_matrix(
 
     novel = {
         "scheduling_delay_sec": elapsed("submit_time", "schedule_time"),
-        "execution_duration_sec": elapsed("schedule_time", "final_time"),
+        "execution_duration_sec": elapsed("schedule_time", "timestamp"),
         "resource_overcommit_ratio": F.try_divide("asked_cpu", "mean_cpu"),
     }
     matrix = tasks.withColumns(novel).withColumn(

@@ -28,6 +28,9 @@ RESOURCES = ["cpu_requested", "memory_requested", "disk_requested", "different_m
 
 # Position of a row in the input; breaks ties between equal times of one task.
 SEQ = "ingest_seq"
+# Number of an event within its task (from 1), by time and then input position. Cleaning
+# adds it, and every later "first" or "last" compares this one number.
+EVENT_NO = "event_no"
 NO_MACHINE = -1
 
 # Event codes of the trace format (fixed values).
