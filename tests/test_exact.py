@@ -56,6 +56,24 @@ def test_constant_columns(spark):
     assert sum(r["n_rows"] for r in profile.histogram(df, "a", 4).collect()) == 2
 
 
+def test_correlation_with_nulls(spark):
+    """Each pair over its own complete rows."""
+    rng = random.Random(6)
+    rows = [(*(rng.gauss(0, 1) if rng.random() < 0.8 else None for _ in range(2)),
+             rng.gauss(5, 2), 1.0) for _ in range(300)]
+    df = spark.createDataFrame(rows, "a double, b double, c double, d double")
+    found = {r[:2]: r[2] for r in map(tuple, profile.correlation_matrix(df, "abcd").select(
+        "feature", "other", "correlation").collect())}
+    assert len(found) == 16
+    for (x, y), value in found.items():
+        if "d" in (x, y):
+            assert value is None
+            continue
+        both = [(r["abc".index(x)], r["abc".index(y)]) for r in rows]
+        both = np.array([p for p in both if None not in p])
+        assert value == pytest.approx(np.corrcoef(both.T)[0, 1])
+
+
 @pytest.fixture(scope="module")
 def tasks(spark):
     rows = [(i // 7, i % 7, int(i % 4 == 0)) for i in range(3000)]

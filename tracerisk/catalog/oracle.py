@@ -557,6 +557,7 @@ count(*) AS n_rows FROM {named} GROUP BY event_label""",
         "feature_label_corr": with_(*E_ALL, select=label_corr()),
         "feature_label_corr_volume": with_(*L_ALL, select=label_corr()),
         "corr_matrix": with_(*E_ALL, select=corr_matrix()),
+        "corr_matrix_volume": with_(*L_ALL, select=corr_matrix()),
         "stage_summary": with_(
             *E,
             LABELS,

@@ -481,7 +481,14 @@ def feature_label_corr_volume(spark, folder):
 
 @query
 def corr_matrix(spark, folder):
-    return rounded(profile.correlation_matrix(matrix_e(spark, folder), [*ALL_FEATURES, "label"]))
+    matrix = materialize(matrix_e(spark, folder))
+    return rounded(profile.correlation_matrix(matrix, [*ALL_FEATURES, "label"]))
+
+
+@query
+def corr_matrix_volume(spark, folder):
+    matrix = materialize(matrix_l(spark, folder))
+    return rounded(profile.correlation_matrix(matrix, [*ALL_FEATURES, "label"]))
 
 
 @query

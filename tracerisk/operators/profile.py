@@ -2,6 +2,8 @@
 
 from collections.abc import Sequence
 
+from pyspark.ml.functions import array_to_vector
+from pyspark.ml.stat import Correlation
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -55,11 +57,22 @@ def nulls_by_event(events: DataFrame, col: str = "cpu_requested") -> DataFrame:
 
 
 def describe(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Count, mean, sample deviation, minimum, exact quartiles and maximum per column."""
-    fields = {"n": F.count, "mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}
+    """Count, mean, sample deviation, minimum, exact quartiles and maximum per column.
+
+    Reads the frame twice: give it a written table.
+    """
     doubles = df.select(*[F.col(c).cast("double").alias(c) for c in cols])
-    aggs = [agg(c).alias(f"{c}__{name}") for c in cols for name, agg in fields.items()]
-    moments = _long(doubles.agg(*aggs), cols, list(fields), "feature")
+    moments = (
+        doubles.unpivot([], list(cols), "feature", "value")
+        .groupBy("feature")
+        .agg(
+            F.count("value").alias("n"),
+            F.avg("value").alias("mean"),
+            F.stddev_samp("value").alias("std"),
+            F.min("value").alias("min"),
+            F.max("value").alias("max"),
+        )
+    )
     quartiles = exact_quantiles(doubles, cols, QUARTILES)
     return moments.join(_wide_quartiles(quartiles, ["feature"]), "feature", "left").select(
         "feature", "n", "mean", "std", "min", "q1", "median", "q3", "max"
@@ -145,32 +158,72 @@ def means_by_label(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return df.groupBy("label").agg(*[F.avg(c).alias(c) for c in cols])
 
 
-def _correlation(a: str, b: str) -> Column:
-    """Pearson correlation over the rows with both values; null for a constant column."""
-    x, y = F.col(a).cast("double"), F.col(b).cast("double")
-    scale = F.sqrt(F.regr_sxx(y, x)) * F.sqrt(F.regr_syy(y, x))
-    return F.try_divide(F.regr_sxy(y, x), scale)
+def _pair_correlations(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
+    """Pearson correlation per pair of columns over the rows with both values.
+
+    Null for a constant column. The pairs become rows that each task sums up
+    before the shuffle: hundreds of aggregates side by side would not be compiled.
+    """
+    values = [
+        F.struct(
+            F.lit(i).alias("pair"),
+            F.col(a).cast("double").alias("x"),
+            F.col(b).cast("double").alias("y"),
+        )
+        for i, (a, b) in enumerate(pairs)
+    ]
+    scale = F.sqrt(F.regr_sxx("y", "x")) * F.sqrt(F.regr_syy("y", "x"))
+    correlation = F.try_divide(F.regr_sxy("y", "x"), scale)
+
+    def name(side: int) -> Column:
+        return F.get(F.array(*[F.lit(p[side]) for p in pairs]), F.col("pair"))
+
+    return (
+        df.select(F.inline(F.array(*values)))
+        .groupBy("pair")
+        .agg(correlation.alias("correlation"))
+        .select(name(0).alias("feature"), name(1).alias("other"), "correlation")
+    )
 
 
 def feature_label_correlation(matrix: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Correlation of every feature with the label, largest absolute value first."""
-    one = matrix.agg(*[_correlation(c, "label").alias(f"{c}__correlation") for c in cols])
-    rows = _long(one, cols, ["correlation"], "feature")
-    return rows.orderBy(F.abs("correlation").desc_nulls_last(), "feature")
+    rows = _pair_correlations(matrix, [(c, "label") for c in cols])
+    return rows.select("feature", "correlation").orderBy(
+        F.abs("correlation").desc_nulls_last(), "feature"
+    )
 
 
 def correlation_matrix(matrix: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Correlation of every pair of columns, in one pass over the rows."""
-    cols = list(cols)
+    """Correlation of every pair of columns, each over its own complete rows.
+
+    Varying columns without nulls go through Spark's correlation of vectors, the
+    pairs of the others through `_pair_correlations`. Give it a written table.
+    """
+    state = matrix.agg(
+        *[F.count_if(F.col(c).isNull()).alias(f"{c}__nulls") for c in cols],
+        *[(F.min(c) == F.max(c)).alias(f"{c}__constant") for c in cols],
+    ).first()
+    full = [c for c in cols if state[f"{c}__nulls"] == 0 and not state[f"{c}__constant"]]
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i:]]
-    one = matrix.agg(*[_correlation(a, b).alias(f"{a}__{b}") for a, b in pairs])
-    cells = [
-        F.struct(F.lit(x).alias("feature"), F.lit(y).alias("other"), F.col(f"{a}__{b}").alias("c"))
-        for a, b in pairs
-        for x, y in ([(a, b)] if a == b else [(a, b), (b, a)])
-    ]
-    rows = one.select(F.inline(F.array(*cells)))
-    return rows.withColumnRenamed("c", "correlation")
+
+    if full:
+        vector = array_to_vector(F.array(*[F.col(c).cast("double") for c in full]))
+        found = Correlation.corr(matrix.select(vector.alias("v")), "v").first()[0].toArray()
+        known = {(a, b): float(found[i, j]) for i, a in enumerate(full) for j, b in enumerate(full)}
+    else:
+        known = {}
+    rows = [(*pair, known[pair]) for pair in pairs if pair in known]
+    schema = "feature string, other string, correlation double"
+    half = matrix.sparkSession.createDataFrame(rows, schema)
+    rest = [pair for pair in pairs if pair not in known]
+    if rest:
+        half = half.unionByName(_pair_correlations(matrix, rest))
+    sides = F.array(
+        F.struct(F.col("feature"), F.col("other")),
+        F.struct(F.col("other").alias("feature"), F.col("feature").alias("other")),
+    )
+    return half.select("correlation", F.inline(F.array_distinct(sides)))
 
 
 def crosstab(df: DataFrame, row: str, col: str) -> DataFrame:
