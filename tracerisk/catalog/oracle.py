@@ -307,16 +307,16 @@ def labelled_feature(table: str, col: str) -> str:
     return by_label(f"(SELECT * FROM {table} JOIN labelled USING ({KEY}))", col)
 
 
-def histogram(col: str, upper: float | None) -> str:
+def histogram(col: str, upper: float | None, bins: int = 50, source: str = "matrix") -> tuple[str, str]:
     value = f"round(CAST({q(col)} AS DOUBLE), 6)"
     value = value if upper is None else f"least({value}, {float(upper)})"
     return f"""
-SELECT CAST(bin AS INTEGER) AS bin, {r6("lo + bin * ((hi - lo) / 50)", "bin_start")},
-       {r6("lo + (bin + 1) * ((hi - lo) / 50)", "bin_end")}, coalesce(n, 0) AS n_rows
-FROM (SELECT unnest(range(50)) AS bin, * FROM span)
-LEFT JOIN (SELECT least(floor((v - lo) / (hi - lo) * 50), 49) AS bin, count(*) AS n
+SELECT CAST(bin AS INTEGER) AS bin, {r6(f"lo + bin * ((hi - lo) / {bins})", "bin_start")},
+       {r6(f"lo + (bin + 1) * ((hi - lo) / {bins})", "bin_end")}, coalesce(n, 0) AS n_rows
+FROM (SELECT unnest(range({bins})) AS bin, * FROM span)
+LEFT JOIN (SELECT least(floor((v - lo) / (hi - lo) * {bins}), {bins - 1}) AS bin, count(*) AS n
            FROM vals, span GROUP BY 1) USING (bin)""", f"""
-vals AS (SELECT CAST({value} AS DOUBLE) AS v FROM matrix WHERE {q(col)} IS NOT NULL),
+vals AS (SELECT CAST({value} AS DOUBLE) AS v FROM {source} WHERE {q(col)} IS NOT NULL),
 span AS (
   SELECT CASE WHEN min(v) = max(v) THEN min(v) - 0.5 ELSE min(v) END AS lo,
          CASE WHEN min(v) = max(v) THEN max(v) + 0.5 ELSE max(v) END AS hi FROM vals
@@ -632,4 +632,7 @@ FROM counts""",
     for name, (col, upper) in _HISTOGRAMS.items():
         select, parts = histogram(col, upper)
         out[name] = with_(*L_ALL, parts, select=select)
+    for name, col, bins in (("priority", "priority", 12), ("cpu", "cpu_requested", 30)):
+        select, parts = histogram(col, None, bins, "raw")
+        out[f"histogram_{name}"] = with_(RAW_E, parts, select=select)
     return out

@@ -457,6 +457,17 @@ for _name, (_col, _upper) in _HISTOGRAMS.items():
     _QUERIES[_name] = _histogram(_col, _upper)
 
 
+@query
+def histogram_priority(spark, folder):
+    raw = raw_e(spark, folder).select("priority")
+    return rounded(profile.histogram(raw, "priority", 12))
+
+
+@query
+def histogram_cpu(spark, folder):
+    return rounded(profile.histogram(rounded(raw_e(spark, folder)), "cpu_requested", 30))
+
+
 @query
 def boxplot_duration(spark, folder):
     matrix = materialize(matrix_l(spark, folder).select("label", "execution_duration_sec"))

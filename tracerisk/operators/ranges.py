@@ -19,7 +19,4 @@ def in_ranges(df: DataFrame, order: Sequence[str | Column]) -> DataFrame:
     Written once, because the range bounds are sampled: all readers must see the
     same ones. Rows equal in `order` share a chunk.
     """
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return materialize(
-        df.repartitionByRange(n, *order).withColumn("chunk", F.spark_partition_id())
-    )
+    return materialize(df.repartitionByRange(*order).withColumn("chunk", F.spark_partition_id()))

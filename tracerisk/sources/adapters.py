@@ -17,7 +17,9 @@ from tracerisk.schema import (
 
 
 def _micros(col: str):
-    return F.unix_micros(F.col(col).cast("timestamp"))
+    """Microseconds of a time without zone, read as UTC whatever the zone of the session."""
+    local = F.col(col).cast("timestamp")
+    return F.unix_micros(F.from_utc_timestamp(local, F.current_timezone()))
 
 
 def trace_from_events(spark: SparkSession, folder: str, copies: bool = False) -> DataFrame:
