@@ -149,14 +149,12 @@ def test_from_files_to_results(spark, small, tmp_path):
     """Trace files to result tables, all stages written and read back."""
     from tracerisk.catalog.queries import SMALL, raw_e
     from tracerisk.schema import COLUMNS
-    from tracerisk.sources import write_table
 
     raw_e(spark, small).select(*COLUMNS).write.csv(str(tmp_path / "trace"))
     tables = prepare_tables(
         spark, str(tmp_path / "trace"), str(tmp_path / "out"), None, 21_600, 3_600
     )
     assert tables["feature_matrix"].count() == tables["tasks_labelled"].count() > 0
-    # Few tasks at this size: labels of the matrix are kept, more rows are not needed.
     results = report_results(tables["feature_matrix"], str(tmp_path / "res"), SMALL, n_splits=2)
     assert results["model_results"].count() == 6
     saved = sorted(p.name for p in (tmp_path / "res" / "models").iterdir())

@@ -377,7 +377,6 @@ def scale() -> str:
 FROM split, (SELECT {fits} FROM split WHERE split = 'train')"""
 
 
-_SIDE = "tp / nullif({a}, 0)"
 REPORT = f"""
 SELECT class, {r6("p", "precision")}, {r6("r", "recall")}, {r6("f", "f1")}, support FROM (
   SELECT '0' AS class, p0 AS p, r0 AS r, f0 AS f, n0 AS support FROM sides

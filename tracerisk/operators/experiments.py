@@ -6,7 +6,7 @@ from multiprocessing.pool import ThreadPool
 
 from pyspark import inheritable_thread_target
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from tracerisk.operators.metrics import (
@@ -44,7 +44,7 @@ GAINS = [
 ]
 
 
-def in_parallel(jobs: Iterable[Callable[[], Row]], spark, threads: int) -> list[Row]:
+def in_parallel(jobs: Iterable[Callable], spark: SparkSession, threads: int) -> list:
     """Run independent fits from a few driver threads, so that they share the cluster."""
     with ThreadPool(threads) as pool:
         return pool.map(inheritable_thread_target(spark)(lambda job: job()), list(jobs))

@@ -1,7 +1,8 @@
 """Contention features, each as an operator of its own.
 
 Every operator takes the cleaned events and gives one row per task, or per
-machine for the failure rate.
+machine for the failure rate. Those with a lookup read the events more than
+once: give them a written table.
 """
 
 from pyspark.sql import Column, DataFrame
