@@ -2,10 +2,11 @@
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracerisk.llm import quality, url_filter
+from tracerisk.llm import bpe, quality, secret_scan, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -29,6 +30,33 @@ def op2_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     return url_filter.filter_urls(_table(spark, folder, "pages"), rules)
 
 
+def op4_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    """Ids of every document's text and the bytes they decode to, as digests."""
+    tokens = bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    docs = _table(spark, folder, "documents").select("doc_id", "text")
+    encoded = bpe.encode_texts(docs, tokens, public_tokenizers.PATTERN, keep=["doc_id"])
+    decoded = bpe.decode_ids(encoded, tokens)
+    return decoded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+def op8_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """Secrets of every document: counts of the base kinds, their digest, and all spans."""
+    docs = _table(spark, folder, "documents").select("doc_id", "text")
+    found = secret_scan.scan_secrets(docs, keep=["doc_id"])
+    base = [r.kind for r in secret_scan.BASE_RULES]
+    return found.select(
+        "doc_id",
+        *[secret_scan.count_of(F.col("spans"), kind).alias(f"n_{kind}") for kind in base],
+        F.sha2(secret_scan.span_text(F.col("spans"), base), 256).alias("base_sha256"),
+        secret_scan.span_text(F.col("spans")).alias("spans"),
+    )
+
+
 def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     """Metrics and verdict of every document, hosts being the sources."""
     judged = quality.quality_rules(_table(spark, folder, "documents"))
@@ -46,5 +74,7 @@ def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op2_url_filter": op2_url_filter,
+    "op4_bpe": op4_bpe,
+    "op8_secret_scan": op8_secret_scan,
     "op10_quality_rules": op10_quality_rules,
 }

@@ -1,6 +1,6 @@
 """Helpers that several operators of this folder share."""
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -45,16 +45,22 @@ def blocks(texts: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[tuple[int, lis
 
 
 def with_columns(
-    df: DataFrame, text: str, schema: str, fn: Callable[[list[str]], list], limit: int = BLOCK_BYTES
+    df: DataFrame,
+    text: str,
+    schema: str,
+    fn: Callable[[list[str]], list],
+    keep: Sequence[str] | None = None,
+    limit: int = BLOCK_BYTES,
 ) -> DataFrame:
     """Add the columns of `schema`, computed by `fn` from runs of whole texts; no shuffle.
 
     `fn` takes a list of strings and returns one sequence (or Arrow array) per new
-    column. A column of `df` with the name of a new one is replaced.
+    column. The columns `keep` (all by default) stay; one with the name of a new
+    column is replaced.
     """
     added = T.StructType.fromDDL(schema)
     names = [f.name for f in added]
-    kept = [c for c in df.columns if c not in names]
+    kept = [c for c in (df.columns if keep is None else keep) if c not in names]
     whole = T.StructType([*(df.schema[c] for c in kept), *added])
     source = df.select(*kept) if text in kept else df.select(*kept, text)
     fields = to_arrow_schema(added)

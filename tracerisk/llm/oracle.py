@@ -62,7 +62,64 @@ SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_s
 FROM judged LEFT JOIN rates USING (source)
 """
 
+# Kind, pattern, group whose length counts, least length; in the order of the rules (fixed values).
+SECRETS = [
+    (
+        "assign",
+        r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
+        2,
+        6,
+    ),
+    # Runs of at least so many characters: the same matches as runs of any length, less short ones.
+    ("access", r"AKIA[A-Z0-9]{16,}", 0, 0),
+    ("hex", r"[0-9a-f]{24,}", 0, 0),
+    ("forge", r"gh[pousr]_[A-Za-z0-9]{36,}", 0, 0),
+    ("chat", r"xox[abprs]-[A-Za-z0-9-]{10,}", 0, 0),
+    ("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 0),
+    ("private_key", r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----", 0, 0),
+    ("cloud_key", r"AIza[A-Za-z0-9_-]{35}", 0, 0),
+    ("payment", r"[sr]k_live_[A-Za-z0-9]{24,}", 0, 0),
+    (
+        "login_url",
+        r"[a-z][a-z0-9+.-]{1,20}://[^\x09-\x0D\x20:/@]{1,200}:[^\x09-\x0D\x20/@]{1,200}@",
+        0,
+        0,
+    ),
+]
+
+
+def _secrets() -> str:
+    """A match starts after the texts between the earlier matches and those matches themselves."""
+    kinds = []
+    for i, (kind, pattern, group, least) in enumerate(SECRETS):
+        p = "'" + pattern.replace("'", "''") + "'"
+        kinds.append(f"""
+    SELECT n, {i} AS k, '{kind}' AS kind, list_sum(between[1:j]) + coalesce(list_sum(sizes[1:j - 1]), 0) AS start,
+        sizes[j] AS size
+    FROM (
+        SELECT n, list_transform(string_split_regex(text, {p}), lambda x: length(x)) AS between,
+            list_transform(regexp_extract_all(text, {p}), lambda x: length(x)) AS sizes,
+            list_transform(regexp_extract_all(text, {p}, {group}), lambda x: length(x)) AS counted,
+            unnest(range(1, len(sizes) + 1)) AS j
+        FROM docs WHERE {"contains(text, '://') AND " if "://" in pattern else ""}regexp_matches(text, {p})
+    ) WHERE counted[j] >= {least}""")
+    listed = "string_agg(kind || ':' || start::BIGINT || ':' || (start + size)::BIGINT, ',' ORDER BY start, k)"
+    return f"""
+WITH docs AS (SELECT row_number() OVER () AS n, doc_id, coalesce(text, '') AS text FROM documents),
+spans AS ({" UNION ALL ".join(kinds)}),
+listed AS (
+    SELECT n, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access,
+        count(*) FILTER (k = 2) AS n_hex, {listed} FILTER (k < 3) AS base, {listed} AS spans
+    FROM spans GROUP BY n
+)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+    sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM docs LEFT JOIN listed USING (n)
+"""
+
+
 ORACLE_SQL: dict[str, str] = {
     "op2_url_filter": OP2_URL_FILTER,
+    "op8_secret_scan": _secrets(),
     "op10_quality_rules": OP10_QUALITY_RULES,
 }
