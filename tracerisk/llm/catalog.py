@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracerisk.llm import bpe, quality, secret_scan, url_filter
+from tracerisk.llm import bpe, language_id, quality, secret_scan, url_filter
+from tracerisk.llm.common import held_out
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -44,6 +45,14 @@ def op4_bpe(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op6_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    """Predicted language of every document."""
+    docs = _table(spark, folder, "documents").select("doc_id", "text", "lang")
+    model = language_id.train_language_model(docs)
+    found = language_id.predict_language(docs, model, keep=["doc_id"])
+    return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
 def op8_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     """Secrets of every document: counts of the base kinds, their digest, and all spans."""
     docs = _table(spark, folder, "documents").select("doc_id", "text")
@@ -75,6 +84,7 @@ def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op2_url_filter": op2_url_filter,
     "op4_bpe": op4_bpe,
+    "op6_language_id": op6_language_id,
     "op8_secret_scan": op8_secret_scan,
     "op10_quality_rules": op10_quality_rules,
 }
