@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracerisk.llm import bpe, language_id, quality, secret_scan, url_filter
+from tracerisk.llm import bpe, language_id, quality, secret_scan, toxicity, url_filter
 from tracerisk.llm.common import held_out
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -66,6 +66,14 @@ def op8_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """Toxicity of every document."""
+    docs = _table(spark, folder, "documents").select("doc_id", "text")
+    model = toxicity.train_toxicity_model(docs, _table(spark, folder, "labels"))
+    scored = toxicity.score_toxicity(docs, model, keep=["doc_id"])
+    return scored.select("doc_id", held_out().alias("held_out"), "score", "predicted")
+
+
 def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     """Metrics and verdict of every document, hosts being the sources."""
     judged = quality.quality_rules(_table(spark, folder, "documents"))
@@ -86,5 +94,6 @@ QUERIES: dict[str, Query] = {
     "op4_bpe": op4_bpe,
     "op6_language_id": op6_language_id,
     "op8_secret_scan": op8_secret_scan,
+    "op9_toxicity": op9_toxicity,
     "op10_quality_rules": op10_quality_rules,
 }
