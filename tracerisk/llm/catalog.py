@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracerisk.llm import bpe, language_id, quality, secret_scan, toxicity, url_filter
+from tracerisk.llm import ann, bpe, language_id, quality, secret_scan, toxicity, url_filter
 from tracerisk.llm.common import held_out
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,6 +31,12 @@ def op2_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     return url_filter.filter_urls(_table(spark, folder, "pages"), rules)
 
 
+def op3_nearest(spark: SparkSession, folder: str) -> DataFrame:
+    """The 20 nearest of every 20th vector among all others."""
+    vectors = _table(spark, folder, "embeddings")
+    return ann.nearest_neighbours(vectors, vectors.filter(F.col("vec_id") % 20 == 0))
+
+
 def op4_bpe(spark: SparkSession, folder: str) -> DataFrame:
     """Ids of every document's text and the bytes they decode to, as digests."""
     tokens = bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
@@ -91,6 +97,7 @@ def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op2_url_filter": op2_url_filter,
+    "op3_nearest": op3_nearest,
     "op4_bpe": op4_bpe,
     "op6_language_id": op6_language_id,
     "op8_secret_scan": op8_secret_scan,
