@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracerisk.llm import ann, bpe, language_id, quality, secret_scan, toxicity, url_filter
+from tracerisk.llm import ann, bpe, language_id, near_dedup, quality, secret_scan, toxicity, url_filter
 from tracerisk.llm.common import held_out
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +25,11 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Class of near duplicates of every document."""
+    return near_dedup.near_duplicates(_table(spark, folder, "documents"))
+
+
 def op2_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     """Host, path, rule and verdict of every page."""
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
@@ -96,6 +101,7 @@ def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_near_dedup": op1_near_dedup,
     "op2_url_filter": op2_url_filter,
     "op3_nearest": op3_nearest,
     "op4_bpe": op4_bpe,
