@@ -6,7 +6,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracerisk.llm import ann, bpe, language_id, near_dedup, quality, secret_scan, toxicity, url_filter
+from tracerisk.llm import (
+    ann,
+    bpe,
+    language_id,
+    license_scan,
+    near_dedup,
+    packing,
+    quality,
+    secret_scan,
+    toxicity,
+    url_filter,
+)
 from tracerisk.llm.common import held_out
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -56,6 +67,11 @@ def op4_bpe(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op5_packing(spark: SparkSession, folder: str) -> DataFrame:
+    """Plan of the sequences that hold all documents."""
+    return packing.pack_documents(_table(spark, folder, "documents"))
+
+
 def op6_language_id(spark: SparkSession, folder: str) -> DataFrame:
     """Predicted language of every document."""
     docs = _table(spark, folder, "documents").select("doc_id", "text", "lang")
@@ -64,6 +80,13 @@ def op6_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "ambiguous")
 
 
+def op7_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """Licence of every document; its path is source, hundred of the id, id."""
+    hundred = F.expr("doc_id div 100").cast("string")
+    path = F.concat_ws("/", "source", hundred, F.col("doc_id").cast("string"))
+    return license_scan.scan_licenses(_table(spark, folder, "documents"), path)
+
+
 def op8_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     """Secrets of every document: counts of the base kinds, their digest, and all spans."""
     docs = _table(spark, folder, "documents").select("doc_id", "text")
@@ -105,7 +128,9 @@ QUERIES: dict[str, Query] = {
     "op2_url_filter": op2_url_filter,
     "op3_nearest": op3_nearest,
     "op4_bpe": op4_bpe,
+    "op5_packing": op5_packing,
     "op6_language_id": op6_language_id,
+    "op7_license_scan": op7_license_scan,
     "op8_secret_scan": op8_secret_scan,
     "op9_toxicity": op9_toxicity,
     "op10_quality_rules": op10_quality_rules,
