@@ -1,13 +1,12 @@
 """Training corpus from raw documents: five stages, each a table that the next one reads."""
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracerisk.llm import language_id, near_dedup, packing, secret_scan, toxicity
-from tracerisk.sources.shared import shared_folder
+from tracerisk.sources.shared import new_path
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -57,7 +56,7 @@ ORACLE_SQL: str | None = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply all stages to `documents`; each result is written to the shared folder and read again."""
-    folder = f"{shared_folder(spark)}/tracerisk/{uuid.uuid4().hex}"
+    folder = new_path(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (_, stage) in enumerate(STAGES):
         path = f"{folder}/{i}"

@@ -108,3 +108,16 @@ def test_without_position_column(golden_raw):
     assert sorted(map(str, plain.collect())) == sorted(
         map(str, usual.select(*plain.columns).collect())
     )
+
+
+def test_last_event_code_null(spark, golden_raw):
+    """A null code after the last event doesn't hide the final state."""
+    rows = [(10, 1, 0.1), (20, 4, 0.1), (30, None, 0.1)]
+    raw = spark.createDataFrame(rows, "timestamp long, event_type int, cpu_requested double")
+    filled = raw.selectExpr(
+        "timestamp", "cast(null as int) missing_info", "1L job_id", "0 task_index", "5L machine_id", "event_type",
+        "'u' user", "0 scheduling_class", "0 priority", "cpu_requested", "0.1D memory_requested", "0.1D disk_requested",
+        "0 different_machine", "timestamp ingest_seq",
+    )
+    found = create_labels(clean_trace(filled)).collect()
+    assert [(r.label, r.event_type) for r in found] == [(0, 4)]

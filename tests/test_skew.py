@@ -35,15 +35,21 @@ def rows(df):
 
 
 def test_hot_keys_finds_the_large_task(skewed):
-    assert hot_keys(skewed, TASK_KEY) == []
-    found = hot_keys(skewed, TASK_KEY, 200)
-    wanted = skewed.filter("job_id = 7 AND task_index = 1").select(F.xxhash64(*TASK_KEY)).first()
-    assert found == [wanted[0]]
+    assert hot_keys(skewed, TASK_KEY) is None
+    assert [tuple(r) for r in hot_keys(skewed, TASK_KEY, 200).collect()] == [(7, 1)]
+
+
+def test_hot_keys_has_no_cap_and_no_resolution(spark):
+    many = spark.range(5_000 * 200).select((F.col("id") % 5_000).alias("k"))
+    assert hot_keys(many, ["k"], 100).count() == 5_000
+    cold = spark.range(2_000_000).select((F.col("id") % 1_000_000 + 10_000).alias("k"))
+    few = spark.range(200 * 300).select((F.col("id") % 200).alias("k"))
+    assert hot_keys(cold.unionByName(few), ["k"], 100).count() == 200
 
 
 def test_forward_fill_in_ranges(skewed):
     distinct = skewed.dropDuplicates(["ingest_seq"])
-    plain = forward_fill(distinct, hot=[])
+    plain = forward_fill(distinct, look=False)
     large = forward_fill(distinct, hot=hot_keys(distinct, TASK_KEY, 10))
     assert rows(plain) == rows(large)
     assert plain.filter(F.greatest(*[F.col(c).isNull() for c in RESOURCES])).count() == 0
@@ -68,4 +74,6 @@ def test_lookup_beyond_broadcast_size(spark, rows_column):
     split = lookup(facts, dim, ["k"], rows=rows_column, limit=10)
     small = lookup(facts, dim, ["k"], small=True)
     assert rows(split) == rows(small)
+    salted = lookup(facts, dim, ["k"], rows=rows_column, limit=10, broadcast_rows=0)
+    assert rows(salted) == rows(small)
     assert split.count() == 500

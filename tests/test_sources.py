@@ -7,6 +7,7 @@ from tracerisk.sources import (
     load_trace_parts,
     materialize,
     read_table,
+    rejected_rows,
     rows_per_part,
     write_result,
     write_table,
@@ -90,3 +91,56 @@ def test_result_is_one_file(golden_raw, tmp_path):
 
 def test_materialize_keeps_schema(golden_raw):
     assert materialize(golden_raw).schema.names == golden_raw.schema.names
+
+
+def test_folder_name_with_a_space(spark, tmp_path, golden_raw):
+    folder = tmp_path / "my trace"
+    golden_raw.select(*COLUMNS).coalesce(1).write.csv(str(folder))
+    loaded = load_trace_parts(spark, str(folder))
+    assert loaded.filter(F.col(SEQ).isNull()).count() == 0
+    assert loaded.count() == golden_raw.count()
+
+
+def test_bad_values_are_noticed(spark, tmp_path):
+    good = "1,,2.0,0,5.0,0,u,0,0,NaN,0.1,,0"
+    (tmp_path / "a.csv").write_text(f"{good}\n")
+    row = load_trace_parts(spark, str(tmp_path)).first()
+    assert (row.job_id, row.machine_id, row.cpu_requested, row.disk_requested) == (2, 5, None, None)
+    assert rejected_rows(spark, str(tmp_path)).count() == 0
+    for bad in ("1,,x,0,5,0,u,0,0,0,0,0,0", "1,,2.5,0,5,0,u,0,0,0,0,0,0", f"{good},7,8", "1,2"):
+        (tmp_path / "a.csv").write_text(f"{good}\n{bad}\n")
+        with pytest.raises(Exception):
+            load_trace_parts(spark, str(tmp_path)).collect()
+        assert load_trace_parts(spark, str(tmp_path), strict=False).count() == 2
+        assert rejected_rows(spark, str(tmp_path)).count() == 1
+
+
+def test_all_parts_by_default(spark, tmp_path):
+    for i in range(12):
+        (tmp_path / f"p{i:02}.csv").write_text("1,,2,0,5,0,u,0,0,0,0,0,0\n")
+    assert load_trace_parts(spark, str(tmp_path)).count() == 12
+
+
+SCRIPT = """
+from pyspark.sql import SparkSession
+from tracerisk.sources import materialize
+from tracerisk.sources.shared import own_folder
+spark = SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false").getOrCreate()
+materialize(spark.range(5))
+print("FOLDER", own_folder(spark).removeprefix("file:"))
+"""
+
+
+def test_a_run_leaves_no_folder_behind(tmp_path):
+    import os
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    repo = str(Path(__file__).parents[1])
+    done = subprocess.run(
+        [sys.executable, "-c", SCRIPT], cwd=tmp_path, env=os.environ | {"PYTHONPATH": repo}, capture_output=True, text=True
+    )
+    folder = Path(done.stdout.split("FOLDER ")[1].strip())
+    assert folder.parent.exists()
+    assert not folder.exists()

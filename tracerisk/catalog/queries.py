@@ -5,7 +5,6 @@ out-of-order submits), as do the small profiling and model queries; the others
 use the larger `lineitem` adapter. Windows fit the density of each.
 """
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -37,7 +36,7 @@ from tracerisk.schema import (
 )
 from tracerisk.sources import load_trace_parts, materialize
 from tracerisk.sources.adapters import trace_from_events, trace_from_lineitem
-from tracerisk.sources.shared import shared_folder
+from tracerisk.sources.shared import new_path
 
 EVENTS_SLOT, EVENTS_WAITING = 21_600, 3_600
 LINES_SLOT, LINES_WAITING = 604_800, 60
@@ -101,9 +100,9 @@ def matrix_l(spark, folder):
 @query
 def trace_parts(spark, folder):
     """The trace written as gzipped header-less CSV parts and loaded again."""
-    path = f"{shared_folder(spark)}/tracerisk/{uuid.uuid4().hex}"
+    path = new_path(spark)
     raw_e(spark, folder).select(*COLUMNS).write.option("compression", "gzip").csv(path)
-    return load_trace_parts(spark, path, n_parts=None).select(*COLUMNS)
+    return load_trace_parts(spark, path).select(*COLUMNS)
 
 
 @query

@@ -16,7 +16,8 @@ def seconds(micros: Column) -> Column:
 def bucket(micros: Column, width_sec: int) -> Column:
     """Number of the tumbling window of `width_sec` seconds that holds a time."""
     width = F.lit(width_sec * MICROS).cast("long")
-    return F.floor(micros / width)
+    # Whole numbers throughout: a double is exact only up to 2^53. pmod rounds down below 0 as well.
+    return F.call_function("div", micros - F.pmod(micros, width), width)
 
 
 def event_label(code: Column) -> Column:

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from tracerisk.functions import event_label
 from tracerisk.operators.ranges import in_ranges
-from tracerisk.operators.skew import HOT_ROWS, hot_keys, is_hot
+from tracerisk.operators.skew import HOT_ROWS, hot_keys, sized, split_by_key
 from tracerisk.schema import DATA_COLUMNS, EVENT_NO, NO_MACHINE, RESOURCES, SEQ, TASK_KEY
+from tracerisk.sources.shared import materialize
 
 
 def drop_duplicate_events(raw: DataFrame) -> DataFrame:
@@ -34,15 +35,19 @@ def fill_machine(df: DataFrame) -> DataFrame:
 
 
 def forward_fill(
-    df: DataFrame, cols: Sequence[str] = tuple(RESOURCES), hot: Sequence[int] | None = None
+    df: DataFrame,
+    cols: Sequence[str] = tuple(RESOURCES),
+    hot: DataFrame | None = None,
+    look: bool = True,
 ) -> DataFrame:
     """Replace nulls by the last known value of the task, or 0 where there is none.
 
     The sort that this takes also numbers the events of the task (`event_no`).
-    `hot` lists the tasks (from `hot_keys`) too large for one sort; it is looked
-    up in `df` when not given.
+    `hot` lists the tasks (from `hot_keys`) too large for one sort; when not given,
+    they are looked up in `df`, unless `look` says that there are none.
     """
-    hot = hot_keys(df, TASK_KEY) if hot is None else hot
+    if hot is None and look:
+        hot = hot_keys(df, TASK_KEY)
     running = (
         Window.partitionBy(*TASK_KEY)
         .orderBy("timestamp", SEQ)
@@ -54,10 +59,10 @@ def forward_fill(
         filled = {c: F.coalesce(value, F.lit(0)) for c, value in filled.items()}
         return rows.withColumns(filled | {EVENT_NO: F.count("*").over(running)})
 
-    if not hot:
+    if hot is None:
         return fill(df)
-    large = is_hot(TASK_KEY, hot)
-    return fill(df.filter(~large)).unionByName(_fill_in_ranges(df.filter(large), cols))
+    usual, large = split_by_key(df, TASK_KEY, hot)
+    return fill(usual).unionByName(_fill_in_ranges(large, cols))
 
 
 def _fill_in_ranges(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -92,7 +97,7 @@ def _fill_in_ranges(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     local = rows.withColumns(local | {EVENT_NO: F.count("*").over(running)})
     filled = {c: F.coalesce(F.col(c), F.col(f"_{c}"), F.lit(0)) for c in cols}
     filled[EVENT_NO] = F.col(EVENT_NO) + F.col("_n")
-    joined = local.join(F.broadcast(carried), piece, "left").withColumns(filled)
+    joined = local.join(sized(materialize(carried)), piece, "left").withColumns(filled)
     return joined.select(*df.columns, EVENT_NO)
 
 
@@ -104,6 +109,9 @@ def decode_events(df: DataFrame) -> DataFrame:
 def clean_trace(raw: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """All cleaning steps: duplicates, task keys, machine, resources, event names.
 
+    Not lazy throughout: tasks are counted when the plan is built, so give it raw
+    rows that are cheap to read twice, such as a written table.
+
     Copies of an event belong to one task, so a single shuffle by task serves the
     duplicate removal, the fill and any later aggregate per task. Tasks of more
     than `hot_rows` rows are set apart first, by a pass over the two key columns of
@@ -112,12 +120,12 @@ def clean_trace(raw: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """
     raw = drop_missing_keys(raw.drop("missing_info"))
     hot = hot_keys(raw, TASK_KEY, hot_rows)
-    large = is_hot(TASK_KEY, hot)
+    usual, large = (raw, None) if hot is None else split_by_key(raw, TASK_KEY, hot)
 
-    by_task = (raw.filter(~large) if hot else raw).repartition(*TASK_KEY)
-    events = forward_fill(fill_machine(drop_duplicate_events(by_task)), hot=[])
-    if hot:
-        apart = fill_machine(drop_duplicate_events(raw.filter(large)))
+    by_task = usual.repartition(*TASK_KEY)
+    events = forward_fill(fill_machine(drop_duplicate_events(by_task)), look=False)
+    if hot is not None:
+        apart = fill_machine(drop_duplicate_events(large))
         events = events.unionByName(forward_fill(apart, hot=hot))
     whole = F.col("different_machine").cast("int")
     return decode_events(events.drop(SEQ).withColumn("different_machine", whole))

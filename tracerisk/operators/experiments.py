@@ -22,7 +22,7 @@ from tracerisk.operators.models import (
     train_random_forest,
 )
 from tracerisk.operators.split import stratified_folds
-from tracerisk.schema import ALL_FEATURES, NOVEL_FEATURES, RAW_FEATURES
+from tracerisk.schema import ALL_FEATURES, NOVEL_FEATURES, RAW_FEATURES, TASK_KEY
 from tracerisk.sources.shared import materialize
 
 Fit = Callable[..., PipelineModel]
@@ -182,7 +182,10 @@ def fold_scores(
 ) -> DataFrame:
     """Metrics per fold, each fold scored by a model fitted to the others."""
     spark = matrix.sparkSession
-    folds = materialize(stratified_folds(matrix, n_splits, seed))
+    # Sorted as before other seeded fits, so that results don't depend on the plan.
+    folds = materialize(
+        stratified_folds(matrix, n_splits, seed).repartition(*TASK_KEY).sortWithinPartitions(*TASK_KEY)
+    )
     inside = F.col("fold")
     jobs = [
         partial(_metrics, str(i), fit, folds.filter(inside != i), folds.filter(inside == i))

@@ -112,7 +112,8 @@ def schedules_per_slot(events: DataFrame, window_seconds: int = 300) -> DataFram
 def with_concurrency(tasks: DataFrame, per_slot: DataFrame) -> DataFrame:
     """Attach the count of the (machine_id, time_window) of every task."""
     on = ["machine_id", "time_window"]
-    return lookup(tasks, per_slot, on, rows="concurrency_density")
+    slots, small = stage_lookup(per_slot)
+    return lookup(tasks, slots, on, rows="concurrency_density", small=small)
 
 
 def calculate_concurrency_density(events: DataFrame, window_seconds: int = 300) -> DataFrame:

@@ -14,8 +14,8 @@ from tracerisk.schema import (
 )
 
 # Without nulls after cleaning: their last known value is that of the last event.
-_FILLED = ["timestamp", "machine_id", "event_type", *RESOURCES]
-_MAY_BE_NULL = ["scheduling_class", "priority"]
+_FILLED = ["machine_id", *RESOURCES]
+_MAY_BE_NULL = ["timestamp", "event_type", "scheduling_class", "priority"]
 
 
 def final_state() -> list[Column]:

@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from tracerisk.functions import event_label
 from tracerisk.operators.quantiles import exact_quantiles
+from tracerisk.operators.skew import sized
 from tracerisk.schema import TASK_KEY, TERMINAL_EVENTS
+from tracerisk.sources.shared import materialize
 
 QUARTILES = [0.25, 0.5, 0.75]
 
@@ -89,10 +91,13 @@ def histogram(df: DataFrame, col: str, bins: int = 50, upper: float | None = Non
     """Rows in `bins` equal bins from minimum to maximum; the last bin is closed.
 
     With `upper`, larger values count as `upper`. Empty bins are listed with 0.
+    Null and NaN are left out.
     """
     value = F.col(col).cast("double")
     value = value if upper is None else F.least(value, F.lit(float(upper)))
-    values = df.select(value.alias("value")).filter(F.col("value").isNotNull())
+    values = df.select(value.alias("value")).filter(
+        F.col("value").isNotNull() & ~F.isnan("value")
+    )
     span = values.agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
     # A constant column gets a span of one around its value.
     flat = F.col("lo") == F.col("hi")
@@ -125,9 +130,10 @@ def boxplot_stats(df: DataFrame, cols: Sequence[str], by: str = "label") -> Data
     box = _wide_quartiles(exact_quantiles(wide, cols, QUARTILES, [by]), group)
     reach = (F.col("q3") - F.col("q1")) * 1.5
     inside = F.col("value").between(F.col("q1") - reach, F.col("q3") + reach)
-    # One row of `box` per group and feature.
+    # One row of `box` per group and feature, of which there may be many.
+    box = materialize(box)
     values = wide.unpivot([by], list(cols), "feature", "value").filter(F.col("value").isNotNull())
-    whiskers = values.join(F.broadcast(box), group).filter(inside)
+    whiskers = values.join(sized(box), group).filter(inside)
     return (
         whiskers.groupBy(*group)
         .agg(F.min("value").alias("whisker_low"), F.max("value").alias("whisker_high"))

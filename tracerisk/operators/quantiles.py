@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracerisk.operators.ranges import in_ranges
+from tracerisk.operators.skew import sized
+from tracerisk.sources.shared import materialize
 
 
 def exact_quantiles(
@@ -53,16 +55,19 @@ def exact_quantiles(
     )
 
     piece = [*group, "chunk"]
+    # Rows for every group: as many as `by` has values.
+    wanted = materialize(wanted)
+    pieces = materialize(wanted.select(*piece).distinct())
     running = (
         Window.partitionBy(*piece)
         .orderBy("value")
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    ranked = ranged.join(F.broadcast(wanted.select(*piece).distinct()), piece, "left_semi")
+    ranked = ranged.join(sized(pieces), piece, "left_semi")
     ranked = ranked.withColumn("upto", F.sum("n").over(running))
     local = F.col("rank") - F.col("skipped")
     hit = (local < F.col("upto")) & (local >= F.col("upto") - F.col("n"))
-    found = ranked.join(F.broadcast(wanted), piece).filter(hit)
+    found = ranked.join(sized(wanted), piece).filter(hit)
 
     low = F.max(F.when(F.col("rank") == F.col("below"), F.col("value")))
     high = F.max("value")

@@ -1,4 +1,4 @@
-from tracerisk.sources.shared import materialize
+from tracerisk.sources.shared import materialize, release
 from tracerisk.sources.tables import (
     load_model,
     read_table,
@@ -6,7 +6,7 @@ from tracerisk.sources.tables import (
     write_result,
     write_table,
 )
-from tracerisk.sources.trace import list_parts, load_trace_parts, rows_per_part
+from tracerisk.sources.trace import list_parts, load_trace_parts, rejected_rows, rows_per_part
 
 __all__ = [
     "list_parts",
@@ -14,6 +14,8 @@ __all__ = [
     "load_trace_parts",
     "materialize",
     "read_table",
+    "rejected_rows",
+    "release",
     "rows_per_part",
     "save_model",
     "write_result",
