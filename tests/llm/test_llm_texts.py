@@ -1,0 +1,218 @@
+"""Operators that read each text by itself: BPE, secrets, language, toxicity, licences."""
+
+import hashlib
+import random
+import re
+import zlib
+
+import public_tokenizers
+import pytest
+import tiktoken
+from edge import edge_documents, no_documents
+from pyspark.sql import functions as F
+
+from tracerisk.llm import bpe, catalog, language_id, license_scan, secret_scan, toxicity
+from tracerisk.llm.common import blocks, fold_of
+from tracerisk.llm.secret_scan import RULES, Rule, Scanner, trigram_query, trigrams_of
+
+RANKS = bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+
+
+def by_id(df):
+    return {r.doc_id: r for r in df.collect()}
+
+
+# Byte-level BPE
+
+
+@pytest.fixture(scope="module")
+def known():
+    ranks = {t: i for i, t in enumerate(RANKS)}
+    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+def test_every_token_is_reached():
+    encoder = bpe.Encoder(bpe.sentencepiece_model(RANKS), RANKS, public_tokenizers.PATTERN)
+    texts = [t.decode("latin-1").translate(encoder.names) for t in RANKS]
+    assert encoder.processor.encode(texts) == [[i] for i in range(len(RANKS))]
+
+
+def test_query_same_as_tiktoken(spark, small, known):
+    rows = by_id(catalog.op4_bpe(spark, small))
+    docs = spark.read.parquet(f"{small}/documents.parquet").collect()
+    assert len(rows) == len(docs)
+    for d in docs:
+        ids = known.encode_ordinary(d.text)
+        r = rows[d.doc_id]
+        assert r.n_tokens == len(ids)
+        assert r.ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
+        assert r.decoded_sha256 == hashlib.sha256(d.text.encode()).hexdigest()
+
+
+def test_odd_texts_round_trip(spark, known):
+    draw = random.Random(3)
+    texts = ["".join(chr(draw.randrange(1, 0xD7FF)) for _ in range(400)) for _ in range(20)]
+    texts += ["a" * 30_000, " " * 5_000, "\x00\x00", "\U0001f642\u2581 \u2581x", "<|endoftext|>", None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    done = bpe.decode_ids(bpe.encode_texts(docs, RANKS, public_tokenizers.PATTERN), RANKS)
+    for r in done.collect():
+        assert r.ids == known.encode_ordinary(r.text or "")
+        assert bytes(r.decoded) == (r.text or "").encode()
+
+
+def test_decoding_strange_ids(spark):
+    rows = spark.createDataFrame([(1, [-1, 99_999_999, 0]), (2, None), (3, []), (4, [None, 1])], "k int, ids array<int>")
+    got = {r.k: bytes(r.decoded) for r in bpe.decode_ids(rows, RANKS).collect()}
+    assert got == {1: RANKS[0], 2: b"", 3: b"", 4: RANKS[1]}
+
+
+# Secrets
+
+
+def plain_spans(text, rules=RULES):
+    out = []
+    for k, rule in enumerate(rules):
+        for m in re.finditer(rule.pattern, text, rule.flags):
+            if m.end(rule.group) - m.start(rule.group) >= rule.least:
+                out.append((m.start(), k, m.end()))
+    return sorted(out)
+
+
+def test_trigram_queries():
+    assert trigram_query("[0-9a-f]+") is None
+    assert trigram_query("ab|abcd") is None
+    assert trigrams_of(trigram_query("AKIA[A-Z0-9]+")) == {b"aki", b"kia"}
+    assert trigram_query("x(abc)?y") == trigram_query("xabcy|xy") is None
+    assert trigrams_of(trigram_query("(abc){2,}z*")) == {b"abc", b"bca", b"cab"}
+
+
+def test_spans_same_as_plain_search():
+    draw = random.Random(5)
+    bits = ["password", "PassWd", "api_key", "ApiKey", "=", ": ", "'", '"', " ", "AKIA", "0123456789abcdef" * 2, "Z9" * 12,
+            "ghp_" + "x" * 36, "://u:p@h", "sk_live_" + "b" * 24, "-----BEGIN RSA PRIVATE KEY-----", "\u00e9", "\U0001f642",
+            "\u212aey", "secretsecret", "token=", "eyJabcdefgh.eyJabcdefgh.abcdefgh", "xoxb-1234567890", "AIza" + "q" * 35]
+    texts = ["".join(draw.choices(bits, k=draw.randrange(0, 12))) for _ in range(3000)]
+    assert Scanner(RULES).spans(texts) == [plain_spans(t) for t in texts]
+    assert Scanner(RULES).spans(["", ""]) == [[], []]
+
+
+def test_secret_edges(spark):
+    docs = edge_documents(spark)
+    rows = secret_scan.scan_secrets(docs).collect()
+    assert len(rows) == 11
+    for r in rows:
+        assert [(s.start, s.end) for s in r.spans] == [(a, b) for a, _, b in plain_spans(r.text or "")]
+    clean = secret_scan.redact_secrets(docs)
+    assert clean.columns == docs.columns
+    texts = [r.text for r in clean.collect()]
+    assert texts.count(None) == 2
+    assert not any(plain_spans(t or "") for t in texts)
+    assert secret_scan.scan_secrets(no_documents(spark)).collect() == []
+    rule = (Rule("x", "abc"),)
+    one = spark.createDataFrame([("abcabc-abc",)], "text string")
+    assert secret_scan.redact_secrets(one, rules=rule).first().text == "[SECRET]-[SECRET]"
+
+
+# Language
+
+
+def test_language_held_out_accuracy(spark, small):
+    rows = catalog.op6_language_id(spark, small).join(spark.read.parquet(f"{small}/documents.parquet"), "doc_id")
+    rows = rows.filter("held_out").collect()
+    assert sum(r.lang_pred == r.lang for r in rows) >= 0.95 * len(rows)
+    assert all(0 <= r.score <= 1 for r in rows)
+    assert all((zlib.crc32(str(r.doc_id).encode()) % 5 == 0) == r.held_out for r in rows)
+
+
+def test_codewords_are_apart():
+    for n in (2, 3, 4, 9, 40):
+        code = language_id.codewords(n)
+        apart = (code[:, None] != code[None]).sum(2)
+        assert min(apart[i, j] for i in range(n) for j in range(i)) >= (1 if n < 4 else 4)
+
+
+def test_language_edges(spark):
+    docs = edge_documents(spark)
+    model = language_id.train_language_model(docs)
+    rows = language_id.predict_language(docs, model).collect()
+    assert len(rows) == 11
+    for r in rows:
+        lettered = any(c.isalpha() for c in r.text or "")
+        assert (r.lang_pred == "und") == (not lettered)
+        assert lettered or r.score == 0
+    nothing = language_id.train_language_model(no_documents(spark))
+    assert {r.lang_pred for r in language_id.predict_language(docs, nothing).collect()} == {"und"}
+    assert language_id.predict_language(no_documents(spark), model).collect() == []
+    single = language_id.train_language_model(docs.withColumn("lang", F.lit("xx")))
+    assert {r.lang_pred for r in language_id.predict_language(docs, single).collect()} == {"und", "xx"}
+
+
+# Toxicity
+
+
+def test_toxicity_held_out(spark):
+    draw = random.Random(1)
+    parts = ["ra", "ne", "to", "li", "su", "ko", "me", "du", "pa", "vi"]
+
+    def text(bad):
+        words = ["".join(draw.choices(parts, k=draw.randrange(1, 4))) for _ in range(80)]
+        for _ in range(6 * bad):
+            words.insert(draw.randrange(80), draw.choice(["scoundrel", "blackguard", "nincompoop"]))
+        return " ".join(words)
+
+    rows = [(i, text(i % 3 == 0), int(i % 3 == 0)) for i in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.train_toxicity_model(docs.drop("toxic"), docs.select("doc_id", "toxic"))
+    scored = toxicity.score_toxicity(docs, model).filter(fold_of() == 0).collect()
+    right = sum(r.predicted == r.toxic for r in scored)
+    assert right >= 0.9 * len(scored)
+    assert all((r.score >= 0.5) == (r.predicted == 1) and 0 <= r.score <= 1 for r in scored)
+    edges = toxicity.score_toxicity(edge_documents(spark), model).collect()
+    assert len(edges) == 11 and all(0 <= r.score <= 1 for r in edges)
+
+
+def test_toxicity_without_labels(spark):
+    docs = edge_documents(spark)
+    labels = spark.createDataFrame([(1, 1), (2, None), (None, 0)], "doc_id long, toxic int")
+    model = toxicity.train_toxicity_model(docs, labels)
+    assert model is None
+    assert {r.score for r in toxicity.score_toxicity(docs, model).collect()} == {0.0}
+    assert toxicity.score_toxicity(no_documents(spark), model).collect() == []
+
+
+# Licences
+
+
+def test_licenses(spark):
+    rows = [
+        (1, "a/b/LICENSE", "Licensed under the Apache License, Version 2.0."),
+        (2, "a/b/c/x", "nothing here"),
+        (3, "a/x", "nothing here"),
+        (4, "a/b/y", "some words first\nReleased under the MIT License.\nand many more words " + "w " * 40),
+        (5, None, "nothing"),
+        (6, "a/b/c/LICENSE", "This work is licensed under the GNU General Public License, version 3."),
+        (7, "a/b/c/d/e", None),
+        (8, "a/b/cc/e", ""),
+        (9, "a/b/z", "w " * 5000 + "Licensed under CC BY-NC 4.0. " + "w " * 5000),
+        (9, "a/b/z", "w"),
+        (None, "LICENSE", "w"),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, path string, text string")
+    got = sorted((str(r.doc_id), r.license, r.origin) for r in license_scan.scan_licenses(docs, F.col("path")).collect())
+    assert got == sorted([
+        ("1", "Apache-2.0", "file"), ("2", "GPL-3.0", "inherited"), ("3", None, "none"), ("4", "MIT", "header"),
+        ("5", None, "none"), ("6", "GPL-3.0", "file"), ("7", "GPL-3.0", "inherited"), ("8", "Apache-2.0", "inherited"),
+        ("9", "Apache-2.0", "inherited"), ("9", "Apache-2.0", "inherited"), ("None", None, "none"),
+    ])  # the notice inside a line of plain words is too thin for its window
+    assert license_scan.scan_licenses(docs.limit(0), F.col("path")).collect() == []
+    assert all(r.license is None for r in license_scan.scan_licenses(docs, F.col("path"), templates=()).collect())
+    assert license_scan.scan_licenses(edge_documents(spark), F.col("source")).count() == 11
+
+
+def test_blocks_hold_whole_texts():
+    import pyarrow as pa
+
+    texts = ["a" * 10, None, "b" * 100, "", "c"]
+    got = list(blocks(pa.array(texts), 20))
+    assert [t for _, run in got for t in run] == [t or "" for t in texts]
+    assert [start for start, _ in got] == [0, 3]

@@ -24,10 +24,10 @@ WORDS = regex.compile(r"[^\W\d_]+").findall
 
 
 def windows(text: str) -> list[bytes]:
-    """Lower-cased letter runs in windows of six; one empty window if there are none."""
+    """Lower-cased letter runs in windows of six; one blank window if there are none."""
     words = WORDS(text.lower())
     parts = range(0, len(words), WINDOW_WORDS)
-    return [" ".join(words[i : i + WINDOW_WORDS]).encode() for i in parts] or [b""]
+    return [" ".join(words[i : i + WINDOW_WORDS]).encode() for i in parts] or [b" "]
 
 
 def train_dictionary(samples: Sequence[bytes], size: int, segment: int) -> bytes:
@@ -198,7 +198,7 @@ def score_toxicity(
 ) -> DataFrame:
     """Add score (0 to 1) and predicted (1 from 0.5 on), from the whole text alone.
 
-    A null or empty text is one empty window. Without a model every score is 0.
+    A null or empty text is one blank window. Without a model every score is 0.
     Columns with these names are replaced. No shuffle, one row per row.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
