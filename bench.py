@@ -36,14 +36,8 @@ HEADLINE = [
     "classification_metrics",
 ]
 
-# The full settings of the forest and the boosted trees take minutes here;
-# BENCH_FULL_MODELS=1 runs them.
 FITS = {
     "fit_logistic_regression": (models.train_logistic_regression, {}),
-    "fit_random_forest_20x10": (models.train_random_forest, {"n_estimators": 20}),
-    "fit_boosted_trees_10x6": (models.train_boosted_trees, {"n_estimators": 10}),
-}
-FULL_FITS = {
     "fit_random_forest_100x10": (models.train_random_forest, {}),
     "fit_boosted_trees_100x6": (models.train_boosted_trees, {}),
 }
@@ -82,8 +76,7 @@ def main() -> None:
     parts: list = []
     timed("prepare_data", lambda: parts.extend(split.prepare_data(matrix_l(spark, folder))))
     train, test = parts
-    fits = FITS | (FULL_FITS if os.environ.get("BENCH_FULL_MODELS") else {})
-    for name, (fit, settings) in fits.items():
+    for name, (fit, settings) in FITS.items():
 
         def job(fit=fit, settings=settings, name=name):
             metrics.evaluate_model(name, models.predict(fit(train, **settings), test)).collect()

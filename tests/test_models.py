@@ -26,6 +26,11 @@ from tracerisk.operators import experiments, metrics, models
 from tracerisk.schema import ALL_FEATURES, NOVEL_FEATURES, RAW_FEATURES, TASK_KEY
 from tracerisk.sources import materialize
 
+SMALL = {
+    "Logistic Regression": {"max_iter": 20},
+    "Random Forest": {"n_estimators": 5, "max_depth": 4, "max_bins": 32},
+    "Boosted Trees": {"n_estimators": 3, "max_depth": 3, "max_bins": 32},
+}
 TREES = {"n_estimators": 10, "max_depth": 3, "max_bins": 32}
 
 
@@ -147,7 +152,7 @@ def test_improvements(spark):
 
 def test_from_files_to_results(spark, small, tmp_path):
     """Trace files to result tables, all stages written and read back."""
-    from tracerisk.catalog.queries import SMALL, raw_e
+    from tracerisk.catalog.queries import raw_e
     from tracerisk.schema import COLUMNS
 
     raw_e(spark, small).select(*COLUMNS).write.csv(str(tmp_path / "trace"))

@@ -427,6 +427,20 @@ def oracle_sql() -> dict[str, str]:
         "trace_parts": with_(RAW_E, select=f"SELECT {cols(COLUMNS)} FROM raw"),
         "clean_trace": with_(*L, select=clean_out),
         "clean_trace_events": with_(*E, select=clean_out),
+        "clean_trace_ranges": with_(*E, select=clean_out),
+        "table_roundtrip_parquet": with_(*E, select=clean_out),
+        "table_roundtrip_csv": with_(*E, select=clean_out),
+        "rows_per_part": with_(
+            RAW_E,
+            select="""SELECT 'part-0000' || (ingest_seq % 3) AS part, count(*) AS n_rows
+FROM raw GROUP BY ingest_seq % 3""",
+        ),
+        "trace_first_parts": with_(
+            RAW_E, select=f"SELECT {cols(COLUMNS)} FROM raw WHERE ingest_seq % 3 < 2"
+        ),
+        "trace_rejected": with_(
+            RAW_E, select='SELECT "timestamp", job_id FROM raw WHERE ingest_seq % 7 = 0'
+        ),
         "dedupe_events": with_(*E, select=f"SELECT {DATA}, ingest_seq FROM dd"),
         "ffill_resources": with_(
             *E, select=f'SELECT {KEY}, "timestamp", event_no, {cols(RESOURCES)} FROM clean'
@@ -527,9 +541,13 @@ count(*) FILTER (WHERE machine_failure_rate > 0.5) AS above_50_percent FROM rate
             select=f"""SELECT event_label, count(*) - count(cpu_requested) AS n_missing,
 count(*) AS n_rows FROM {named} GROUP BY event_label""",
         ),
-        "event_distribution": with_(
-            RAW_E, select=f"SELECT event_label, count(*) AS n_rows FROM {named} GROUP BY event_label"
-        ),
+        **{
+            name: with_(
+                RAW_E,
+                select=f"SELECT event_label, count(*) AS n_rows FROM {named} GROUP BY event_label",
+            )
+            for name in ("event_distribution", "result_roundtrip")
+        },
         "final_event_distribution": with_(
             *E,
             LABELS,
@@ -570,6 +588,21 @@ FROM labelled""",
         "trace_head": with_(
             RAW_E, select=f"SELECT ingest_seq, {cols(COLUMNS)} FROM raw ORDER BY ingest_seq LIMIT 5"
         ),
+        **{
+            f"{model}_prediction_frame": with_(
+                *L_ALL,
+                SPLIT,
+                select=f"""SELECT {KEY}, label, true AS consistent, true AS in_range
+FROM split WHERE split = 'test'""",
+            )
+            for model in ("lr", "rf", "gbt")
+        },
+        "model_roundtrip": with_(
+            *L_ALL,
+            SPLIT,
+            select="""SELECT count(*) AS n_rows, 0::BIGINT AS n_changed
+FROM split WHERE split = 'test'""",
+        ),
         "stratified_split": with_(*L_ALL, SPLIT, select=f"SELECT {KEY}, label, split FROM split"),
         "split_distribution": with_(
             *L_ALL,

@@ -6,6 +6,7 @@ use the larger `lineitem` adapter. Windows fit the density of each.
 """
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,20 +35,30 @@ from tracerisk.schema import (
     SEQ,
     TASK_KEY,
 )
-from tracerisk.sources import load_trace_parts, materialize
+from tracerisk.sources import (
+    load_model,
+    load_trace_parts,
+    materialize,
+    read_table,
+    rejected_rows,
+    rows_per_part as count_per_part,
+    save_model,
+    write_result,
+    write_table,
+)
 from tracerisk.sources.adapters import trace_from_events, trace_from_lineitem
 from tracerisk.sources.shared import new_path
 
 EVENTS_SLOT, EVENTS_WAITING = 21_600, 3_600
 LINES_SLOT, LINES_WAITING = 604_800, 60
 
-# Small models: the queries show the operators, bench.py and the package defaults the full size.
-SMALL = {
-    "Logistic Regression": {"max_iter": 20},
-    "Random Forest": {"n_estimators": 5, "max_depth": 4, "max_bins": 32},
-    "Boosted Trees": {"n_estimators": 3, "max_depth": 3, "max_bins": 32},
+# Fits that run side by side.
+FIT_THREADS = 4
+PREDICTION_FRAMES = {
+    "lr_prediction_frame": "Logistic Regression",
+    "rf_prediction_frame": "Random Forest",
+    "gbt_prediction_frame": "Boosted Trees",
 }
-SMALL_TREES = SMALL["Boosted Trees"]
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -105,6 +116,68 @@ def trace_parts(spark, folder):
     return load_trace_parts(spark, path).select(*COLUMNS)
 
 
+def _three_parts(spark, folder):
+    """The trace in three CSV parts, the rest of the position by three giving the part."""
+    path = new_path(spark)
+    raw = raw_e(spark, folder).repartitionById(3, (F.col(SEQ) % 3).cast("int"))
+    raw.select(*COLUMNS).write.csv(path)
+    return path
+
+
+@query
+def rows_per_part(spark, folder):
+    counted = count_per_part(spark, _three_parts(spark, folder))
+    return counted.select(F.substring("part", 1, 10).alias("part"), "n_rows")
+
+
+@query
+def trace_first_parts(spark, folder):
+    """The first two of three parts, in name order."""
+    return load_trace_parts(spark, _three_parts(spark, folder), n_parts=2).select(*COLUMNS)
+
+
+@query
+def trace_rejected(spark, folder):
+    """Rows that the strict loader refuses: every seventh has a text for a machine."""
+    path = new_path(spark)
+    text = {c: F.col(c).cast("string") for c in COLUMNS}
+    text["machine_id"] = F.when(F.col(SEQ) % 7 == 0, "none").otherwise(text["machine_id"])
+    raw_e(spark, folder).select(*[v.alias(c) for c, v in text.items()]).write.csv(path)
+    fields = F.split("record", ",")
+    bad = rejected_rows(spark, path)
+    return bad.select(fields[0].cast("long").alias("timestamp"), fields[2].cast("long").alias("job_id"))
+
+
+def _table_roundtrip(fmt):
+    def run(spark, folder):
+        path = new_path(spark)
+        table = clean_trace_events(spark, folder)
+        write_table(table, path, fmt)
+        return read_table(spark, path, fmt, table.schema)
+
+    return run
+
+
+for _fmt in ("parquet", "csv"):
+    _QUERIES[f"table_roundtrip_{_fmt}"] = _table_roundtrip(_fmt)
+
+
+@query
+def result_roundtrip(spark, folder):
+    """A result table written as one CSV file and read again."""
+    path = new_path(spark)
+    table = event_distribution(spark, folder)
+    write_result(table, path)
+    return read_table(spark, path, "csv", table.schema)
+
+
+@query
+def clean_trace_ranges(spark, folder):
+    """Cleaning with every task of over 20 rows counted as large, so that its timeline is cut into ranges."""
+    cleaned = clean.clean_trace(raw_e(spark, folder), hot_rows=20)
+    return cleaned.select(*DATA_COLUMNS, "event_label", EVENT_NO)
+
+
 @query
 def clean_trace(spark, folder):
     return clean_l(spark, folder).select(*DATA_COLUMNS, "event_label", EVENT_NO)
@@ -551,9 +624,7 @@ def class_weights(spark, folder):
 def standard_scale(spark, folder):
     """All rows of the matrix, scaled with mean and deviation of the train rows."""
     parts = materialize(split.stratified_split(materialize(matrix_l(spark, folder))))
-    train = parts.filter(F.col("split") == "train")
-    scaler = models.standard_scaler(ALL_FEATURES, train.count()).fit(train)
-    scaled = models.scaled_columns(scaler, parts, ALL_FEATURES)
+    scaled = models.scale_columns(parts.filter(F.col("split") == "train"), parts, ALL_FEATURES)
     return rounded(scaled.select(*TASK_KEY, "split", *ALL_FEATURES))
 
 
@@ -622,93 +693,165 @@ def paired_ttest(spark, folder):
     return rounded(metrics.run_paired_ttest(scores))
 
 
-# Models (no SQL counterpart)
+# Models, in the package's own settings on the larger matrix. Queries over the same
+# tables share the split and the fits: a model is fitted once per session and folder.
+
+_SHARED: dict[tuple, object] = {}
+
+
+def _once(spark, folder, what, make):
+    key = (spark.sparkContext.applicationId, folder, what)
+    if key not in _SHARED:
+        _SHARED[key] = make()
+    return _SHARED[key]
 
 
 def _train_test(spark, folder):
-    return split.prepare_data(matrix_e(spark, folder))
+    return _once(spark, folder, "split", lambda: split.prepare_data(matrix_l(spark, folder)))
+
+
+def _fits(spark, folder):
+    """The six fitted models by family and feature group."""
+    train, _ = _train_test(spark, folder)
+    grid = experiments.grid()
+
+    def fit_all():
+        jobs = [partial(fit, train) for fit in grid.values()]
+        return dict(zip(grid, experiments.in_parallel(jobs, spark, FIT_THREADS)))
+
+    return _once(spark, folder, "fits", fit_all)
+
+
+def _predicted(spark, folder, family, group="all"):
+    _, test = _train_test(spark, folder)
+    return models.predict(_fits(spark, folder)[family, group], test)
+
+
+def _model_scores(spark, folder):
+    def score_all():
+        return {
+            f"{family} ({group})": metrics.score_table(_predicted(spark, folder, family, group))
+            for family, group in _fits(spark, folder)
+        }
+
+    return _once(spark, folder, "scores", score_all)
+
+
+def _comparison(spark, folder):
+    train, test = _train_test(spark, folder)
+    scores = _model_scores(spark, folder)
+    compared = partial(experiments.compare_models, train, test, scores=scores, threads=FIT_THREADS)
+    return _once(spark, folder, "comparison", compared)
 
 
 @query
 def lr_coefficients(spark, folder):
-    train, _ = _train_test(spark, folder)
-    return models.get_coefficients(
-        models.train_logistic_regression(train, **SMALL["Logistic Regression"])
-    )
+    return models.get_coefficients(_fits(spark, folder)["Logistic Regression", "all"])
 
 
 @query
 def rf_importance(spark, folder):
-    train, _ = _train_test(spark, folder)
-    return models.get_feature_importance(
-        models.train_random_forest(train, **SMALL["Random Forest"])
-    )
+    return models.get_feature_importance(_fits(spark, folder)["Random Forest", "all"])
 
 
 @query
 def gbt_importance(spark, folder):
-    train, _ = _train_test(spark, folder)
-    return models.get_feature_importance(models.train_boosted_trees(train, **SMALL_TREES))
+    return models.get_feature_importance(_fits(spark, folder)["Boosted Trees", "all"])
 
 
 @query
 def lr_predictions(spark, folder):
-    train, test = _train_test(spark, folder)
-    model = models.train_logistic_regression(train, **SMALL["Logistic Regression"])
-    return models.predict(model, test)
+    return _predicted(spark, folder, "Logistic Regression")
+
+
+@query
+def rf_predictions(spark, folder):
+    return _predicted(spark, folder, "Random Forest")
 
 
 @query
 def gbt_predictions(spark, folder):
-    train, test = _train_test(spark, folder)
-    return models.predict(models.train_boosted_trees(train, **SMALL_TREES), test)
+    return _predicted(spark, folder, "Boosted Trees")
+
+
+def _frame(family):
+    """What SQL can tell of predictions: the rows, their labels, and that class and probability agree."""
+
+    def run(spark, folder):
+        probability = F.col("probability")
+        return _predicted(spark, folder, family).select(
+            *TASK_KEY,
+            "label",
+            (F.col("prediction") == (probability > 0.5).cast("double")).alias("consistent"),
+            probability.between(0, 1).alias("in_range"),
+        )
+
+    return run
+
+
+for _name, _family in PREDICTION_FRAMES.items():
+    _QUERIES[_name] = _frame(_family)
+
+
+@query
+def model_roundtrip(spark, folder):
+    """A fitted model saved and loaded: rows predicted, and rows predicted otherwise than before."""
+    path = new_path(spark)
+    save_model(_fits(spark, folder)["Boosted Trees", "all"], path)
+    before = _predicted(spark, folder, "Boosted Trees")
+    _, test = _train_test(spark, folder)
+    after = models.predict(load_model(path), test).withColumnRenamed("probability", "again")
+    joined = before.join(after.select(*TASK_KEY, "again"), TASK_KEY)
+    return joined.agg(
+        F.count("*").alias("n_rows"), F.count_if(F.col("probability") != F.col("again")).alias("n_changed")
+    )
 
 
 @query
 def model_comparison(spark, folder):
-    return experiments.compare_models(*_train_test(spark, folder), SMALL)
+    return _comparison(spark, folder)
 
 
 @query
 def improvement_summary(spark, folder):
-    return experiments.improvement_summary(
-        experiments.compare_models(*_train_test(spark, folder), SMALL)
-    )
+    return experiments.improvement_summary(_comparison(spark, folder))
 
 
 @query
 def ablation(spark, folder):
-    study = experiments.run_ablation_study(*_train_test(spark, folder), **SMALL_TREES)
+    full = _comparison(spark, folder).filter("family = 'Boosted Trees' AND feature_group = 'all'").first()
+    study = experiments.run_ablation_study(
+        *_train_test(spark, folder), baseline=(full["f1"], full["roc_auc"]), threads=FIT_THREADS
+    )
     return experiments.ablation_plot_data(study)
 
 
-def _boosted(train):
-    return models.train_boosted_trees(train, **SMALL_TREES)
-
-
-def _raw_regression(train):
-    return models.train_logistic_regression(train, RAW_FEATURES, max_iter=20)
+def _fold_scores(spark, folder, family, group):
+    train, test = _train_test(spark, folder)
+    scored = partial(
+        experiments.fold_scores,
+        experiments.grid()[family, group],
+        train.unionByName(test),
+        threads=FIT_THREADS,
+    )
+    return _once(spark, folder, ("folds", family, group), scored)
 
 
 @query
 def cross_validation(spark, folder):
-    return experiments.run_cross_validation(_boosted, materialize(matrix_e(spark, folder)))
+    return experiments.summarize_folds(_fold_scores(spark, folder, "Boosted Trees", "all"))
 
 
 @query
 def cross_validation_ttest(spark, folder):
-    matrix = materialize(matrix_e(spark, folder))
-    best = experiments.fold_scores(_boosted, matrix)
-    baseline = experiments.fold_scores(_raw_regression, matrix)
+    best = _fold_scores(spark, folder, "Boosted Trees", "all")
+    baseline = _fold_scores(spark, folder, "Logistic Regression", "raw")
     return metrics.run_paired_ttest(experiments.paired_scores(best, baseline))
 
 
 def _two_score_tables(spark, folder):
-    train, test = _train_test(spark, folder)
-    return {
-        "Boosted Trees (all)": experiments.fit_and_score(_boosted, train, test),
-        "Logistic Regression (raw)": experiments.fit_and_score(_raw_regression, train, test),
-    }
+    scores = _model_scores(spark, folder)
+    return {n: scores[n] for n in ("Boosted Trees (all)", "Logistic Regression (raw)")}
 
 
 @query

@@ -54,6 +54,20 @@ def scaled_columns(model: PipelineModel, df: DataFrame, features: Sequence[str])
     return scaled.withColumns(columns).select(*df.columns)
 
 
+def scale_columns(train: DataFrame, df: DataFrame, features: Sequence[str]) -> DataFrame:
+    """Columns of `df` less the mean over the population deviation of `train`, from one aggregate.
+
+    A column without deviation becomes 0, as in `standard_scaler`.
+    """
+    moments = [x for c in features for x in (F.avg(c), F.stddev_pop(c))]
+    found = train.agg(*[m.alias(f"m{i}") for i, m in enumerate(moments)]).first()
+    scaled = {}
+    for i, c in enumerate(features):
+        mean, deviation = found[2 * i], found[2 * i + 1]
+        scaled[c] = (F.col(c) - mean) / deviation if deviation else F.lit(0.0)
+    return df.withColumns(scaled)
+
+
 def train_logistic_regression(
     train: DataFrame, features: Sequence[str] = tuple(ALL_FEATURES), max_iter: int = 1000
 ) -> PipelineModel:
