@@ -24,7 +24,8 @@ def components(links: DataFrame) -> DataFrame:
         both = current.select(F.col("low").alias("u"), F.col("high").alias("v")).unionByName(
             current.select(F.col("high").alias("u"), F.col("low").alias("v"))
         )
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        # Written first, so that Spark can split a hub's links in the join.
+        least = materialize(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
         tied = both.join(least, "u").select("m", "v").unionByName(
             least.select("m", F.col("u").alias("v"))
         )

@@ -180,6 +180,7 @@ def _pairs(members: DataFrame, labels: DataFrame | None, used: DataFrame | None)
     pivots = pivots.join(spread.filter("x != y").select("key"), "key").select(
         "key", (-F.col("p.n")).alias("pivot"), F.col("p.class").alias("pivot_class")
     )
+    pivots = materialize(pivots)
     return rows.join(pivots, "key").filter(
         (F.col("node") != F.col("pivot")) & (F.col("class") != F.col("pivot_class"))
     ).select("key", "node", "pivot")
@@ -227,7 +228,8 @@ def near_duplicates(
     rows = rows.withColumn("digest", F.unhex(F.md5("text")))
     signed = materialize(_signed(rows))
     known = signed.filter(F.col("doc_id").isNotNull())
-    first = known.groupBy("digest").agg(F.min("doc_id").alias("node"))
+    # Written before the joins below: Spark splits a large key only between two plain shuffles.
+    first = materialize(known.groupBy("digest").agg(F.min("doc_id").alias("node")))
     together = materialize(
         known.join(first, "digest").select(
             "doc_id", "node", F.when(F.col("doc_id") == F.col("node"), F.col("bands")).alias("bands")
@@ -236,9 +238,9 @@ def near_duplicates(
     keyed = together.filter(F.col("bands").isNotNull()).select(
         "node", F.explode("bands").alias("key")
     )
-    sizes = keyed.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
+    sizes = materialize(keyed.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1"))
     met = materialize(keyed.join(sizes, "key"))
-    scores = met.groupBy("node").agg(F.sum("size").alias("score"))
+    scores = materialize(met.groupBy("node").agg(F.sum("size").alias("score")))
     members = materialize(met.join(scores, "node").distinct())
     nodes = materialize(scores.select("node"))
     texts = rows.select(F.col("doc_id").alias("node"), "text").join(small(nodes), "node", "left_semi")
@@ -261,7 +263,7 @@ def near_duplicates(
         found = _linked(pairs, shingles, similarity)
         links = found if links is None else links.unionByName(found)
         links = materialize(links)
-        labels = components(links)
+        labels = materialize(components(links))
         pivots = candidates.select("key", "pivot").distinct()
         used = materialize(pivots if used is None else used.unionByName(pivots))
         tested = pairs if tested is None else tested.unionByName(pairs)
