@@ -186,3 +186,31 @@ def test_paired_ttest(spark):
     assert row["t_statistic"] == pytest.approx(t)
     assert row["p_value"] == pytest.approx(p)
     assert row["significant"] == (p < 0.05)
+
+
+def test_window_numbers_are_whole_beyond_doubles(spark):
+    from tracerisk.functions.columns import bucket
+
+    times = [0, 1, -1, 299_999_999, 300_000_000, -300_000_000, -300_000_001, 2**53 + 1, 2**62 + 7]
+    rows = spark.createDataFrame([(t,) for t in times], "t long")
+    got = {r.t: r.b for r in rows.select("t", bucket(rows["t"], 300).alias("b")).collect()}
+    assert got == {t: t // 300_000_000 for t in times}
+
+
+def test_histogram_leaves_nan_out(spark):
+    from tracerisk.operators.profile import histogram
+
+    rows = spark.createDataFrame([(0.0,), (1.0,), (float("nan"),), (None,), (10.0,)], "x double")
+    got = {r.bin: r.n_rows for r in histogram(rows, "x", 10).collect()}
+    assert got == {0: 1, 1: 1, 9: 1} | {i: 0 for i in range(2, 9)}
+
+
+def test_boxplot_of_many_groups(spark):
+    from pyspark.sql import functions as F
+
+    from tracerisk.operators.profile import boxplot_stats
+
+    rows = spark.range(60_000).select((F.col("id") % 20_000).alias("label"), (F.col("id") / 20_000).cast("int").alias("x"))
+    got = boxplot_stats(rows, ["x"])
+    assert got.count() == 20_000
+    assert got.filter("q1 = 0.5 AND median = 1.0 AND q3 = 1.5").count() == 20_000
