@@ -9,7 +9,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracerisk.llm.common import blocks, fold_of, held_out, with_columns
+from tracerisk.llm.common import blocks, fold_of, held_out, sample_rows, with_columns
 
 NGRAM = 3
 BUCKETS = 1 << 14
@@ -160,8 +160,10 @@ def train_language_model(
     bits = code.shape[1]
     model = LanguageModel(languages, code, weights, np.ones(bits), np.ones(bits))
 
-    order = F.xxhash64("doc_id", "text")
-    sample = known.filter(fold_of("doc_id") == 1).orderBy(order, "doc_id").limit(CALIBRATION_ROWS)
+    # Ids are drawn, not texts: at most CALIBRATION_ROWS of them.
+    second = known.filter(fold_of("doc_id") == 1)
+    drawn = F.broadcast(sample_rows(second.select("doc_id"), CALIBRATION_ROWS, "doc_id"))
+    sample = second.join(drawn, "doc_id", "left_semi")
     shared = docs.sparkSession.sparkContext.broadcast(model)
     tried = with_columns(
         sample,
@@ -169,7 +171,9 @@ def train_language_model(
         "margins array<double>",
         lambda texts: [list(shared.value.margins(texts))],
         keep=["lang"],
-    ).toPandas()
+    )
+    # An id that many rows share may have been drawn.
+    tried = tried.limit(2 * CALIBRATION_ROWS).toPandas()
     tried = tried[tried["lang"].isin(languages)]
     if len(tried):
         margins = np.stack(tried["margins"].to_numpy())
