@@ -9,7 +9,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracerisk.llm.common import fold_of, held_out, with_columns
+from tracerisk.llm.common import fold_of, held_out, sample_rows, with_columns
 
 # Labelled documents per class that the dictionaries are trained on, and documents that calibrate.
 TRAIN_ROWS, CALIBRATION_ROWS = 1_500, 2_000
@@ -141,17 +141,18 @@ def train_toxicity_model(
     known = labels.filter(F.col(toxic).isNotNull() & ~held_out(doc_id)).select(
         F.col(doc_id).alias("doc_id"), F.col(toxic).alias("toxic")
     )
-    order = [F.xxhash64("doc_id"), F.col("doc_id")]
     trained = fold_of("doc_id") != 1
     parts = [
-        known.filter(trained & (F.col("toxic") == k)).orderBy(*order).limit(TRAIN_ROWS)
+        sample_rows(known.filter(trained & (F.col("toxic") == k)), TRAIN_ROWS, "doc_id")
         for k in (0, 1)
     ]
-    parts.append(known.filter(~trained).orderBy(*order).limit(CALIBRATION_ROWS))
+    parts.append(sample_rows(known.filter(~trained), CALIBRATION_ROWS, "doc_id"))
     # At most TRAIN_ROWS * 2 + CALIBRATION_ROWS narrow rows.
     chosen = F.broadcast(parts[0].unionByName(parts[1]).unionByName(parts[2]))
     texts = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(text, F.lit("")).alias("text"))
-    rows = texts.join(chosen, "doc_id").withColumn("fold", fold_of("doc_id")).toPandas()
+    rows = texts.join(chosen, "doc_id").withColumn("fold", fold_of("doc_id"))
+    # Ids are as good as distinct; where one has many rows, only so many are taken.
+    rows = rows.limit(2 * (2 * TRAIN_ROWS + CALIBRATION_ROWS)).toPandas()
     rows = rows.sort_values("doc_id", kind="stable")
     first = rows[rows["fold"] != 1]
     by_class = [first.loc[first["toxic"] == k, "text"] for k in (0, 1)]
