@@ -17,16 +17,32 @@ MOST_STRINGS, MOST_CHARS = 128, 16
 SPANS = "array<struct<kind:string,start:int,end:int>>"
 PLACEHOLDER = "[SECRET]"
 
+# What follows the first line of a PEM key: all up to its END line, or, where that is missing before
+# the next key, header lines and base64 (also quoted, indented, or with escaped line ends).
+_GAP = r"""(?:[\s"'>,|#*+]|\\[nrt])"""
+_WORD_END = r"""(?=[\s"'\\,]|\Z)"""
+_LINE_END = r"""(?=[\x20\t\r,]*+(?:[\n"']|\\[nr]|\Z))"""
+PEM_REST = (
+    r"(?s:(?!-----BEGIN )(?!-----END ).)*+-----END [A-Z ]{0,30}PRIVATE KEY-----"
+    rf"|(?:{_GAP}*+[A-Za-z][A-Za-z0-9-]*+:[^\n\\]*+)*+"
+    rf"(?:(?:{_GAP}++[A-Za-z0-9+/=]{{16,}}+{_WORD_END})++(?:{_GAP}++[A-Za-z0-9+/=]++{_LINE_END})?"
+    rf"|{_GAP}++[A-Za-z0-9+/=]++{_GAP}*+\Z)"
+)
+
 
 @dataclass(frozen=True)
 class Rule:
-    """A kind of secret: matches of `pattern` whose `group` has `least` characters or more."""
+    """A kind of secret: matches of `pattern` whose `group` has `least` characters or more.
+
+    Redaction also takes what `rest` matches right after a match.
+    """
 
     kind: str
     pattern: str
     ignore_case: bool = False
     group: int = 0
     least: int = 0
+    rest: str = ""
 
     @property
     def flags(self) -> int:
@@ -49,7 +65,7 @@ MORE_RULES = (
     Rule("forge", r"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("chat", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
-    Rule("private_key", r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----"),
+    Rule("private_key", r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----", rest=PEM_REST),
     Rule("cloud_key", r"AIza[A-Za-z0-9_-]{35}"),
     Rule("payment", r"[sr]k_live_[A-Za-z0-9]{24,}"),
     Rule("login_url", r"[a-z][a-z0-9+.-]{1,20}://[^\x09-\x0D\x20:/@]{1,200}:[^\x09-\x0D\x20/@]{1,200}@"),
@@ -168,6 +184,7 @@ class Scanner:
 
     def __init__(self, rules: Sequence[Rule]):
         self.rules = [(r, re.compile(r.pattern, r.flags)) for r in rules]
+        self.rests = [re.compile(r.rest, re.ASCII) if r.rest else None for r in rules]
         self.queries = [trigram_query(r.pattern, r.flags) for r in rules]
         self.trigrams = sorted(set().union(*map(trigrams_of, self.queries)))
         self.number = np.zeros(1 << 24, np.uint16)
@@ -206,8 +223,8 @@ class Scanner:
                 found = np.intersect1d(found, x, assume_unique=True)
         return found
 
-    def spans(self, texts: Sequence[str]) -> list[list[tuple[int, int, int]]]:
-        """Per text (start, rule number, end) of every secret, sorted."""
+    def spans(self, texts: Sequence[str], whole: bool = False) -> list[list[tuple[int, int, int]]]:
+        """Per text (start, rule number, end) of every secret, sorted; `whole` adds each rule's `rest`."""
         out: list[list] = [[] for _ in texts]
         postings = self.index(texts)
         for k, ((rule, regex), query) in enumerate(zip(self.rules, self.queries, strict=True)):
@@ -215,7 +232,8 @@ class Scanner:
             for i in some:
                 for m in regex.finditer(texts[i]):
                     if m.end(rule.group) - m.start(rule.group) >= rule.least:
-                        out[i].append((m.start(), k, m.end()))
+                        more = self.rests[k].match(texts[i], m.end()) if whole and self.rests[k] else None
+                        out[i].append((m.start(), k, more.end() if more else m.end()))
         for found in out:
             found.sort()
         return out
@@ -269,6 +287,9 @@ def redact_secrets(
 ) -> DataFrame:
     """Replace every secret by `placeholder`; spans that overlap or touch become one.
 
+    Where a rule only marks the beginning of a secret (the first line of a PEM key),
+    its `rest` goes too: the body of the key, with its END line or without.
+
     A null text stays null. All other columns, and their order, stay.
     """
     rules = tuple(rules)
@@ -276,7 +297,7 @@ def redact_secrets(
 
     def run(texts):
         out = []
-        for value, found in zip(texts, scanner().spans(texts), strict=True):
+        for value, found in zip(texts, scanner().spans(texts, whole=True), strict=True):
             pieces, done = [], 0
             for k, (start, _, end) in enumerate(found):
                 if start > done or k == 0:
