@@ -57,6 +57,17 @@ def test_classes_same_as_brute_force(spark):
     assert {r.doc_id: r.class_id for r in got} == brute(rows)
 
 
+def test_repeated_passages_lose_no_links(spark):
+    draw = random.Random(4)
+    texts = []
+    for _ in range(20):
+        words = [f"w{draw.randrange(10**6)}" for _ in range(304)]
+        texts += [" ".join(words), " ".join(words + words[100:120] * 60)]
+    rows = list(enumerate(texts))
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.class_id for r in got} == {i: i - i % 2 for i, _ in rows} == brute(rows)
+
+
 def test_query_same_as_brute_force(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text").collect()
     rows = {r.doc_id: r.class_id for r in catalog.op1_near_dedup(spark, small).collect()}

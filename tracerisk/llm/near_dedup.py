@@ -1,4 +1,4 @@
-"""Near duplicates: ProbMinHash of weighted word shingles, bands, verification, classes."""
+"""Near duplicates: ProbMinHash of word shingles, bands, verification, classes."""
 
 from collections.abc import Sequence
 
@@ -124,15 +124,19 @@ def _lists(values: np.ndarray, sizes: np.ndarray) -> pa.ListArray:
 
 
 def _signed(docs: DataFrame) -> DataFrame:
-    """doc_id and bands of every text; no bands for texts without words."""
+    """doc_id and bands of every text; no bands for texts without words.
+
+    Every distinct shingle weighs 1: then two signatures agree with the Jaccard
+    similarity of the sets, the measure that links are verified by.
+    """
     made: list[Shingler] = []
 
     def run(texts):
         if not made:
             made.append(Shingler())
         shingles, counts = made[0](texts)
-        text, element, weight = weighted_sets(shingles, counts)
-        keys = band_keys(probminhash(text, element, weight.astype(float), len(texts)))
+        text, element, _ = weighted_sets(shingles, counts)
+        keys = band_keys(probminhash(text, element, np.ones(len(text)), len(texts)))
         some = counts > 0
         return [_lists(keys[some].reshape(-1), np.where(some, BANDS, 0))]
 
@@ -210,8 +214,8 @@ def near_duplicates(
     A class is a component of the links between texts whose sets of five-word
     shingles have a Jaccard similarity of `similarity` or more; equal texts share a
     class. Copies are set aside by digest, so links are sought between different
-    texts only. Each text gets a ProbMinHash signature of its shingles, weighted by
-    their number; texts that agree in a band share a bucket. In each bucket all
+    texts only. Each text gets a ProbMinHash signature of its set of shingles;
+    texts that agree in a band share a bucket. In each bucket all
     members are compared with one pivot (`_pairs`), exactly; buckets whose members
     are then still in several classes get another pivot, `rounds` times in all, and
     those of up to SMALL_GROUP members have what is left compared member by member.
