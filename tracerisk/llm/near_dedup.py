@@ -19,6 +19,8 @@ BANDS, ROWS = 24, 4
 COMPONENTS = BANDS * ROWS
 # Rounds of pivots, and the size of a group whose unlinked members are compared one by one.
 ROUNDS, SMALL_GROUP = 3, 16
+# Texts of a shingle that one salt of the prefix join holds.
+SALT_ROWS = 1_000
 CACHED_WORDS = 500_000
 
 
@@ -217,9 +219,10 @@ def near_duplicates(
     texts only. Each text gets a ProbMinHash signature of its set of shingles;
     texts that agree in a band share a bucket. In each bucket all
     members are compared with one pivot (`_pairs`), exactly; buckets whose members
-    are then still in several classes get another pivot, `rounds` times in all, and
-    those of up to SMALL_GROUP members have what is left compared member by member.
-    So pairs grow with the members of buckets, not with their squares.
+    are then still in several classes get another pivot, `rounds` times in all. What is left
+    is closed exactly: buckets of up to SMALL_GROUP members member by member, larger
+    ones by an exact join on rare shingles (`_prefix_pairs`). The pivots only spare
+    pairs: no link between texts that share a bucket is missed.
 
     One row per row that goes in. Null texts count as empty; empty texts are copies
     of each other, and so are texts of white space alone that are equal. Rows that
@@ -256,9 +259,7 @@ def near_duplicates(
             candidates = materialize(_pairs(members, None, None))
         else:
             candidates = materialize(_pairs(members, labels, used))
-        pairs = candidates.select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
-        if k == rounds - 1:
-            pairs = pairs.unionByName(_small_groups(members, labels)).distinct()
+        pairs = _ordered(candidates.select(F.col("node").alias("a"), F.col("pivot").alias("b")))
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = materialize(pairs)
@@ -275,6 +276,13 @@ def near_duplicates(
         return signed.select("doc_id").join(
             together.select("doc_id", "node").distinct(), "doc_id", "left"
         ).select("doc_id", F.col("node").alias("class_id"))
+    few = _small_groups(members, labels)
+    many = _prefix_pairs(_open_texts(members, labels), shingles, similarity)
+    pairs = materialize(_ordered(few.unionByName(many)).join(tested, ["a", "b"], "left_anti"))
+    if not pairs.isEmpty():
+        found = materialize(_linked(pairs, shingles, similarity))
+        if not found.isEmpty():
+            labels = materialize(components(links.unionByName(found)))
     classes = together.join(labels, "node", "left").select(
         "doc_id", F.coalesce("component", "node").alias("class_id")
     )
@@ -284,18 +292,99 @@ def near_duplicates(
     return classes.unionByName(without)
 
 
-def _small_groups(members: DataFrame, labels: DataFrame | None) -> DataFrame:
+def _ordered(pairs: DataFrame) -> DataFrame:
+    """The distinct pairs, the lesser node first."""
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _small_groups(members: DataFrame, labels: DataFrame) -> DataFrame:
     """All pairs across classes of the buckets with few members."""
     few = members.filter(F.col("size") <= SMALL_GROUP)
-    if labels is None:
-        few = few.withColumn("class", F.col("node"))
-    else:
-        few = few.join(labels, "node", "left").withColumn("class", F.coalesce("component", "node"))
+    few = few.join(labels, "node", "left").withColumn("class", F.coalesce("component", "node"))
     one = few.select("key", F.col("node").alias("a"), F.col("class").alias("x"))
     other = few.select("key", F.col("node").alias("b"), F.col("class").alias("y"))
     return one.join(other, "key").filter("a > b and x != y").select("a", "b")
 
 
+def _open_texts(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """node and class of the members of larger buckets that are still in several classes."""
+    rows = members.filter(F.col("size") > SMALL_GROUP).join(labels, "node", "left")
+    rows = rows.select("key", "node", F.coalesce("component", "node").alias("class"))
+    several = rows.groupBy("key").agg(F.min("class").alias("x"), F.max("class").alias("y")).filter("x != y")
+    return materialize(rows.join(several.select("key"), "key").select("node", "class").distinct())
+
+
+def _prefix_pairs(texts: DataFrame, shingles: DataFrame, similarity: float) -> DataFrame:
+    """All pairs across classes of `texts` that can be similar, by their rarest shingles.
+
+    Sets that overlap by `o` share a shingle among the first size - o + 1 of each, in
+    any common order; here shingles that occur in one class only come first (no pair
+    has them), then rarer ones. The smaller set of a similar pair needs the shorter
+    prefix only (as if both had its size), so a passage that all texts share, but that doesn't make
+    them similar, gives no pairs. Of each shingle's texts, those outside its largest class meet
+    all, and those of that class only the former; many texts are spread over salts.
+    """
+    if texts.isEmpty():
+        return texts.select(F.col("node").alias("a"), F.col("node").alias("b"))
+    flat = shingles.join(small(texts), "node").select(
+        "node", "class", F.size("shingles").alias("size"), F.explode("shingles").alias("shingle")
+    )
+    shared = flat.groupBy("shingle").agg(
+        F.count("*").alias("n"), F.min("class").alias("x"), F.max("class").alias("y")
+    )
+    shared = materialize(shared.filter("x != y").select("shingle", "n"))
+    least = similarity * F.col("size")
+    both = 2 * similarity / (1 + similarity) * F.col("size")
+    own = flat.join(small(shared), "shingle").groupBy("node", "class", "size").agg(
+        F.array_sort(F.collect_list(F.struct("n", "shingle"))).alias("s")
+    )
+    # A little less than the bound: rounding may only lengthen a prefix.
+    first = F.col("size") - F.ceil(least - 1e-6) + 1
+    rows = own.select(
+        "node", "class", "size", (F.col("size") - F.size("s")).alias("single"), F.posexplode("s").alias("k", "e")
+    )
+    rows = rows.withColumn("place", F.col("single") + F.col("k") + 1).filter(F.col("place") <= first)
+    rows = materialize(
+        rows.select(
+            "node", "class", "size", "place", F.col("e.shingle").alias("shingle"),
+            (F.col("place") <= F.col("size") - F.ceil(both - 1e-6) + 1).alias("short"),
+        )
+    )
+    counts = rows.groupBy("shingle", "class").agg(
+        F.count("*").alias("n"), F.count_if("short").alias("n_short")
+    )
+    counts = counts.groupBy("shingle").agg(
+        F.max_by("class", F.struct("n", "class")).alias("main"), F.max("n").alias("most"),
+        F.sum("n").alias("n"), F.sum("n_short").alias("n_short"),
+    )
+    counts = counts.filter("n > most and n_short > 0").select(
+        "shingle", "main", F.ceil(F.col("n_short") / SALT_ROWS).cast("int").alias("salts")
+    )
+    met = materialize(rows.join(materialize(counts), "shingle"))
+    minor = F.col("class") != F.col("main")
+    left = met.filter("short").select(
+        "shingle", (~minor).alias("of_main"), F.pmod(F.xxhash64("node"), "salts").cast("int").alias("salt"),
+        F.col("node").alias("a"), F.col("class").alias("x"), F.col("size").alias("m"), F.col("place").alias("p"),
+    )
+    right = met.select(
+        "shingle", F.explode(F.when(minor, F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))).alias("of_main"),
+        "node", "class", "size", "place", "salts",
+    )
+    right = right.select(
+        "shingle", "of_main", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"),
+        F.col("node").alias("b"), F.col("class").alias("y"), F.col("size").alias("n"), F.col("place").alias("q"),
+    )
+    overlap = F.ceil(similarity / (1 + similarity) * (F.col("m") + F.col("n")) - 1e-6)
+    met = left.join(right, ["shingle", "of_main", "salt"]).filter(
+        (F.col("x") != F.col("y"))
+        & (F.col("m") <= F.col("n"))
+        & (F.col("m") >= similarity * F.col("n") - 1e-6)
+        & (F.col("p") <= F.col("m") - overlap + 1)
+        & (F.col("q") <= F.col("n") - overlap + 1)
+    )
+    return met.select("a", "b")
+
+
 def drop_near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """Keep one document of each class, the one with the least id; rows without an id stay.
 
