@@ -17,6 +17,7 @@ from tracerisk.llm import (
     secret_scan,
     toxicity,
     url_filter,
+    whitening,
 )
 from tracerisk.llm.common import held_out
 
@@ -123,6 +124,11 @@ def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op13_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    """The first four whitened coordinates of every vector."""
+    return whitening.whiten(_table(spark, folder, "embeddings"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_near_dedup": op1_near_dedup,
     "op2_url_filter": op2_url_filter,
@@ -134,4 +140,5 @@ QUERIES: dict[str, Query] = {
     "op8_secret_scan": op8_secret_scan,
     "op9_toxicity": op9_toxicity,
     "op10_quality_rules": op10_quality_rules,
+    "op13_whitening": op13_whitening,
 }
