@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tracerisk.llm import (
     ann,
     bpe,
+    collocations,
     language_id,
     license_scan,
     near_dedup,
@@ -124,6 +125,11 @@ def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op12_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    """The first 2,000 collocations of every language."""
+    return collocations.collocations(_table(spark, folder, "documents"))
+
+
 def op13_whitening(spark: SparkSession, folder: str) -> DataFrame:
     """The first four whitened coordinates of every vector."""
     return whitening.whiten(_table(spark, folder, "embeddings"))
@@ -140,5 +146,6 @@ QUERIES: dict[str, Query] = {
     "op8_secret_scan": op8_secret_scan,
     "op9_toxicity": op9_toxicity,
     "op10_quality_rules": op10_quality_rules,
+    "op12_collocations": op12_collocations,
     "op13_whitening": op13_whitening,
 }

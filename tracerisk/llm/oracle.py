@@ -62,6 +62,43 @@ SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_s
 FROM judged LEFT JOIN rates USING (source)
 """
 
+OP12_COLLOCATIONS = r"""
+WITH pieces AS (
+    SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS words
+    FROM (
+        SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+            translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[.,;:!?\x0A-\x0D]')) AS piece
+        FROM documents
+    )
+), counted AS (
+    SELECT lang, k, array_to_string(words[i:i + k - 1], ' ') AS phrase, count(*) AS f
+    FROM (SELECT lang, words, k, unnest(range(1, len(words) - k + 2)) AS i FROM pieces, range(1, 6) lengths(k))
+    GROUP BY ALL
+), totals AS (
+    SELECT lang, sum(f) AS n FROM counted WHERE k = 1 GROUP BY lang
+), often AS (
+    SELECT * FROM counted WHERE f >= 100
+), candidates AS (
+    SELECT * FROM often s WHERE k > 1 AND NOT EXISTS (
+        SELECT 1 FROM often t
+        WHERE t.lang = s.lang AND t.k > s.k AND contains(' ' || t.phrase || ' ', ' ' || s.phrase || ' ')
+            AND 100 * t.f >= 100 * s.f)
+), cuts AS (
+    SELECT c.lang, c.phrase, c.f AS a, j, x.f AS l, y.f AS r, n,
+        (1000::HUGEINT * c.f * n) // (x.f::HUGEINT * y.f) AS score
+    FROM (SELECT *, string_split(phrase, ' ') AS words, unnest(range(1, k)) AS j FROM candidates) c
+    JOIN often x ON x.lang = c.lang AND x.phrase = array_to_string(words[1:j], ' ')
+    JOIN often y ON y.lang = c.lang AND y.phrase = array_to_string(words[j + 1:], ' ')
+    JOIN totals ON totals.lang = c.lang
+), best AS (
+    SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase,
+    a, l, r, n::BIGINT AS n, score::BIGINT AS score
+FROM best QUALIFY rank <= 2000
+"""
+
 # Kind, pattern, group whose length counts, least length; in the order of the rules (fixed values).
 SECRETS = [
     (
@@ -122,4 +159,5 @@ ORACLE_SQL: dict[str, str] = {
     "op2_url_filter": OP2_URL_FILTER,
     "op8_secret_scan": _secrets(),
     "op10_quality_rules": OP10_QUALITY_RULES,
+    "op12_collocations": OP12_COLLOCATIONS,
 }
