@@ -10,6 +10,7 @@ from tracerisk.llm import (
     ann,
     bpe,
     collocations,
+    jaccard_join,
     language_id,
     license_scan,
     near_dedup,
@@ -125,6 +126,11 @@ def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op11_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    """Number of shingles and component of every document."""
+    return jaccard_join.jaccard_components(_table(spark, folder, "documents"))
+
+
 def op12_collocations(spark: SparkSession, folder: str) -> DataFrame:
     """The first 2,000 collocations of every language."""
     return collocations.collocations(_table(spark, folder, "documents"))
@@ -146,6 +152,7 @@ QUERIES: dict[str, Query] = {
     "op8_secret_scan": op8_secret_scan,
     "op9_toxicity": op9_toxicity,
     "op10_quality_rules": op10_quality_rules,
+    "op11_jaccard_join": op11_jaccard_join,
     "op12_collocations": op12_collocations,
     "op13_whitening": op13_whitening,
 }

@@ -62,6 +62,29 @@ SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_s
 FROM judged LEFT JOIN rates USING (source)
 """
 
+OP11_JACCARD_JOIN = r"""
+WITH RECURSIVE docs AS (
+    SELECT row_number() OVER () AS d, doc_id, regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x20\x09-\x0D]+') AS words
+    FROM documents
+), sets AS (
+    SELECT d, doc_id, CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 5 THEN [array_to_string(words, ' ')]
+        ELSE list_distinct(list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' '))) END AS s
+    FROM docs
+), tokens AS (
+    SELECT d, len(s) AS n, unnest(s) AS t FROM sets
+), links AS (
+    SELECT x.d AS a, y.d AS b FROM tokens x JOIN tokens y ON x.t = y.t AND x.d != y.d
+    GROUP BY x.d, y.d, x.n, y.n HAVING 100 * count(*) >= 80 * (x.n + y.n - count(*))
+), reach(d, other) AS (
+    SELECT d, d FROM sets UNION SELECT reach.d, b FROM reach JOIN links ON a = reach.other
+)
+SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, min(o.doc_id) AS component_id
+FROM sets s JOIN reach ON reach.d = s.d JOIN sets o ON o.d = reach.other
+GROUP BY s.d, s.doc_id, s.s
+"""
+
 OP12_COLLOCATIONS = r"""
 WITH pieces AS (
     SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS words
@@ -159,5 +182,6 @@ ORACLE_SQL: dict[str, str] = {
     "op2_url_filter": OP2_URL_FILTER,
     "op8_secret_scan": _secrets(),
     "op10_quality_rules": OP10_QUALITY_RULES,
+    "op11_jaccard_join": OP11_JACCARD_JOIN,
     "op12_collocations": OP12_COLLOCATIONS,
 }
