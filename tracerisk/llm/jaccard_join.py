@@ -1,5 +1,7 @@
 """Jaccard self-join of word n-grams with prefix filters under several global token orders."""
 
+from itertools import chain
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -17,8 +19,11 @@ ROUNDS = 2
 # Rows of a token that meet all its others in one task.
 SALT_ROWS = 1_000
 CACHED_WORDS = 500_000
+# The last two fifths of all hashes, as signed numbers.
+LATE = int(0.1 * 2**64)
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
+_PLACES = mix64(np.arange(1, SHINGLE + 1, dtype=np.uint64) * _STEP) | np.uint64(1)
 
 
 class _WordHashes(dict):
@@ -29,8 +34,8 @@ class _WordHashes(dict):
         return value
 
 
-def shingle_sets(texts: list[str], known: _WordHashes) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct five-word shingles of every text as sorted 64-bit hashes, and how many each text has.
+def shingle_sets(texts: list[str], known: _WordHashes) -> list[np.ndarray]:
+    """Distinct five-word shingles of every text as sorted 64-bit hashes.
 
     A-Z are lower-cased; words end at ASCII white space. A text of one to four words is
     one shingle (of its own length, so unlike any of five words), one without words has none.
@@ -40,25 +45,25 @@ def shingle_sets(texts: list[str], known: _WordHashes) -> tuple[np.ndarray, np.n
     # Of bytes, lower() and split() know ASCII only.
     split = [t.encode("utf-8", "surrogatepass").lower().split() for t in texts]
     sizes = np.fromiter(map(len, split), np.int64, len(split))
-    flat = np.fromiter((h for words in split for h in map(known.__getitem__, words)), np.uint64, int(sizes.sum()))
-    starts = np.cumsum(sizes) - sizes
-    width = np.clip(sizes, 1, SHINGLE)
-    value = np.repeat(width, sizes).astype(np.uint64)
+    ends = np.cumsum(sizes)
+    total = int(ends[-1]) if len(ends) else 0
+    words = np.fromiter(map(known.__getitem__, chain.from_iterable(split)), np.uint64, total)
+    # A window's hash: its words' hashes times one odd number per place, summed and mixed.
+    value = np.zeros(max(total - SHINGLE + 1, 0), np.uint64)
     for k in range(SHINGLE):
-        moved = np.zeros(len(flat), np.uint64)
-        moved[: max(len(flat) - k, 0)] = flat[k:]
-        # Texts of fewer words stop at their end.
-        inside = np.repeat(width > k, sizes)
-        value = np.where(inside, mix64(value * _STEP + moved), value)
-    place = np.arange(len(flat)) - np.repeat(starts, sizes)
-    whole = place <= np.repeat(sizes - width, sizes)
-    text = np.repeat(np.arange(len(texts)), sizes)[whole]
-    value = value[whole].view(np.int64)
-    order = np.lexsort((value, text))
-    text, value = text[order], value[order]
-    first = np.ones(len(text), bool)
-    first[1:] = (text[1:] != text[:-1]) | (value[1:] != value[:-1])
-    return value[first], np.bincount(text[first], minlength=len(texts))
+        value += words[k : k + len(value)] * _PLACES[k]
+    value = mix64(value).view(np.int64)
+    sets = []
+    for end, n in zip(ends.tolist(), sizes.tolist()):
+        if n >= SHINGLE:
+            own = np.sort(value[end - n : end - SHINGLE + 1])
+            sets.append(own[np.append(True, own[1:] != own[:-1])])
+        elif n:
+            short = (words[end - n : end] * _PLACES[:n]).sum(dtype=np.uint64, keepdims=True)
+            sets.append(mix64(short + np.uint64(n) * _STEP).view(np.int64))
+        else:
+            sets.append(value[:0])
+    return sets
 
 
 def _sketch(values: np.ndarray) -> np.ndarray:
@@ -84,9 +89,9 @@ def _sets(rows: DataFrame) -> DataFrame:
     known = _WordHashes()
 
     def run(texts):
-        values, sizes = shingle_sets(texts, known)
-        ends = np.cumsum(sizes)
-        sets = [values[e - n : e] for e, n in zip(ends, sizes)]
+        sets = shingle_sets(texts, known)
+        sizes = np.array([len(s) for s in sets])
+        values = np.concatenate(sets)
         keys = [_sketch(s) for s in sets if len(s)]
         return [
             pa.array(sizes, pa.int64()),
@@ -133,6 +138,8 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int, orders: list[str])
     order. Two orders need no column: rising and falling hashes.
     """
     columns = ["node", "n", "tokens", *orders]
+    named = materialize(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+    sets = sets.join(_small(named), "node", "left_semi")
     x, y = (sets.select(*[F.col(c).alias(f"{s}_{c}") for c in columns]) for s in "xy")
     both = pairs.join(x, F.col("a") == F.col("x_node")).join(y, F.col("b") == F.col("y_node"))
     m, n = F.col("x_n"), F.col("y_n")
@@ -162,13 +169,27 @@ def _pivot_pairs(keyed: DataFrame, labels: DataFrame | None) -> DataFrame:
     return met.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
 
 
-def _survivors(sets: DataFrame, percent: int, start: Column) -> DataFrame:
-    """Sets of which another class has a token in the prefix too, in the order that gives `start`."""
-    tokens = F.slice("tokens", start.cast("int"), _prefix(F.col("n"), percent).cast("int"))
+def _hits(sets: DataFrame, tokens: Column) -> DataFrame:
+    """Sets of which another class has one of these tokens among its own, and of how many: node, hits."""
     rows = sets.select("node", "class", F.explode(tokens).alias("token"))
     shared = rows.groupBy("token").agg(F.min("class").alias("x"), F.max("class").alias("y")).filter("x != y")
     shared = materialize(shared.select("token"))
-    return materialize(rows.join(_small(shared), "token", "left_semi").select("node").distinct())
+    return materialize(rows.join(_small(shared), "token", "left_semi").groupBy("node").agg(F.count("*").alias("hits")))
+
+
+def _survivors(sets: DataFrame, percent: int) -> DataFrame:
+    """Sets that may have a similar one in another class, by rising and by falling hash.
+
+    Rising: similar sets share a token of their prefixes. Falling: of the tokens from a fixed hash on, which
+    are a prefix of every set, at most n - overlap are not shared; a passage in common doesn't pass that.
+    """
+    n = F.col("n")
+    first = F.slice("tokens", 1, _prefix(n, percent).cast("int"))
+    sets = sets.join(_small(_hits(sets, first)), "node").drop("hits")
+    last = F.filter("tokens", lambda t: t >= LATE)
+    hits = _small(_hits(sets, last))
+    needed = F.size(last) - _prefix(n, percent) + 1
+    return sets.join(hits, "node", "left").filter(F.coalesce("hits", F.lit(0)) >= needed).drop("hits")
 
 
 def _candidates(sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
@@ -262,12 +283,13 @@ def jaccard_components(
     )
     signed = materialize(_sets(rows))
     real = signed.filter(F.col("doc_id").isNotNull() & (F.col("n") > 0))
-    groups = materialize(real.groupBy("digest").agg(F.min("row").alias("node"), F.min("doc_id").alias("first"), F.count("*").alias("copies")))
+    groups = real.groupBy("digest").agg(F.min("row").alias("node"), F.min("doc_id").alias("first"), F.count("*").alias("copies"))
+    groups = materialize(groups)
     several = _small(materialize(groups.filter("copies > 1").select("digest", "node")))
-    # node only where a set has copies; else the row is its own node.
-    placed = real.join(several, "digest", "left").withColumn("node", F.coalesce("node", "row"))
-    membership = materialize(placed.select("row", "node"))
-    sets = materialize(placed.filter("row = node").select("node", "n", "tokens", "keys"))
+    # Sets of several rows are listed; the row of any other set is its own node.
+    copies = materialize(real.select("row", "digest").join(several, "digest").select("row", "node"))
+    others = _small(materialize(copies.filter("row != node").select("row")))
+    sets = real.join(others, "row", "left_anti").select(F.col("row").alias("node"), "n", "tokens", "keys")
 
     keyed = sets.select("node", F.explode("keys").alias("key"))
     sizes = materialize(keyed.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1"))
@@ -286,31 +308,32 @@ def jaccard_components(
         labels = materialize(components(links))
         tested = pairs if tested is None else tested.unionByName(pairs)
 
-    open_sets = _classed(sets.drop("keys"), labels)
-    for start in (F.lit(1), -_prefix(F.col("n"), percent)):
-        alive = _survivors(open_sets, percent, start)
-        open_sets = open_sets.join(_small(alive), "node", "left_semi")
-    open_sets = materialize(open_sets)
+    open_sets = materialize(_survivors(_classed(sets.drop("keys"), labels), percent))
     pairs, orders = _candidates(open_sets, percent)
     pairs = materialize(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
     if not pairs.isEmpty():
-        named = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        compared = materialize(open_sets.join(_small(materialize(named)), "node", "left_semi").join(orders, "node"))
+        compared = open_sets.join(orders, "node")
         found = materialize(_linked(pairs, compared, percent, ["falling", "mixed"]))
         if not found.isEmpty():
             links = found if links is None else links.unionByName(found)
             labels = materialize(components(links))
 
-    firsts = groups.select("node", "first")
+    # Only linked sets and copies have another answer than the row's own id.
+    firsts = groups.select("node", "first", "copies")
     if labels is not None:
         classed = firsts.join(_small(labels), "node").select("node", "component", "first")
-        least = classed.groupBy("component").agg(F.min("first").alias("least"))
-        reached = materialize(classed.select("node", "component").join(least, "component").select("node", "least"))
-        firsts = firsts.join(_small(reached), "node", "left").select("node", F.coalesce("least", "first").alias("first"))
-    # Only nodes with more than one row have another answer than the row's own id.
-    known = membership.join(materialize(firsts), "node").select("row", "first")
-    known = materialize(known)
+        least = materialize(classed.groupBy("component").agg(F.min("first").alias("least")))
+        reached = materialize(classed.select("node", "component").join(_small(least), "component").select("node", "least"))
+        firsts = firsts.join(_small(reached), "node", "left").withColumn("first", F.coalesce("least", "first"))
+        firsts = firsts.filter("copies > 1 or least is not null")
+    else:
+        firsts = firsts.filter("copies > 1")
+    firsts = materialize(firsts.select("node", "first"))
+    listed = materialize(copies.join(_small(firsts), "node").select("row", F.col("first").alias("of_copies")))
+    own = _small(firsts).withColumnRenamed("node", "row").withColumnRenamed("first", "of_set")
     named = signed.select("row", "doc_id", F.col("n").alias("n_shingles"))
-    return named.join(known, "row", "left").select(
-        "doc_id", "n_shingles", F.coalesce("first", "doc_id").alias("component_id")
+    named = named.join(own, "row", "left").join(_small(listed), "row", "left")
+    # Rows without an id or a set are no nodes, so neither table has them.
+    return named.select(
+        "doc_id", "n_shingles", F.coalesce("of_copies", "of_set", "doc_id").alias("component_id")
     )
