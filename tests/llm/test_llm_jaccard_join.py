@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from compare import connect, differences
 from edge import edge_documents, no_documents
+from pyspark.sql import functions as F
 
 from tracerisk.llm import catalog, jaccard_join
 from tracerisk.llm.oracle import ORACLE_SQL
@@ -123,7 +124,10 @@ def test_survivors_keep_all_that_have_a_partner(spark):
             own = sorted(own + [draw.randrange(-(2**63), 2**63) for _ in range(draw.randrange(6))])
             rows.append((len(rows), len(own), own, len(rows)))
     frame = spark.createDataFrame(rows, "node long, n long, tokens array<long>, class long")
-    kept = {r.node for r in jaccard_join._survivors(frame, 80).collect()}
+    early = frame.withColumn("early", F.filter("tokens", lambda t: t < jaccard_join.EARLY))
+    late = jaccard_join._surviving(early, "early", 80, F.lit(0)).withColumnRenamed("missed", "earlier")
+    late = late.withColumn("late", F.filter("tokens", lambda t: t >= jaccard_join.LATE))
+    kept = {r.node for r in jaccard_join._surviving(late, "late", 80, F.col("earlier")).collect()}
     want = set()
     for a, m, s, _ in rows:
         for b, n, t, _ in rows[:a]:

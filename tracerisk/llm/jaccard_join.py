@@ -19,8 +19,8 @@ ROUNDS = 2
 # Rows of a token that meet all its others in one task.
 SALT_ROWS = 1_000
 CACHED_WORDS = 500_000
-# The last two fifths of all hashes, as signed numbers.
-LATE = int(0.1 * 2**64)
+# Ends of the first quarter and start of the last quarter of all hashes, as signed numbers.
+EARLY, LATE = -(1 << 62), 1 << 62
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _PLACES = mix64(np.arange(1, SHINGLE + 1, dtype=np.uint64) * _STEP) | np.uint64(1)
@@ -84,24 +84,41 @@ def _lists(values: np.ndarray, sizes: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes], dtype=np.int32)), pa.array(values))
 
 
-def _sets(rows: DataFrame) -> DataFrame:
-    """Adds n (size), digest, tokens (the sorted set) and keys (its sketch) to row and doc_id."""
+def _signed(rows: DataFrame) -> DataFrame:
+    """Adds n (size of the set), digest, keys (its sketch) and early (its tokens of the first quarter of all hashes)."""
     known = _WordHashes()
 
     def run(texts):
         sets = shingle_sets(texts, known)
         sizes = np.array([len(s) for s in sets])
-        values = np.concatenate(sets)
+        early = [s[: np.searchsorted(s, EARLY)] for s in sets]
         keys = [_sketch(s) for s in sets if len(s)]
         return [
             pa.array(sizes, pa.int64()),
             pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
-            _lists(values, sizes),
             _lists(np.concatenate([np.zeros(0, np.int64), *keys]), np.where(sizes > 0, KEYS, 0)),
+            _lists(np.concatenate(early), [len(s) for s in early]),
         ]
 
-    added = "n long, digest binary, tokens array<bigint>, keys array<bigint>"
-    return with_columns(rows, "text", added, run, keep=["row", "doc_id"])
+    added = "n long, digest binary, keys array<bigint>, early array<bigint>"
+    return with_columns(rows, "text", added, run, keep=["row", "doc_id", "text_key"])
+
+
+def _sets_of(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node, n and tokens (the whole sorted set) of the nodes, made from their texts again.
+
+    `nodes` has node and text_key. Whole sets take more room than the texts, so
+    only those that are compared are ever written.
+    """
+    known = _WordHashes()
+
+    def run(texts):
+        sets = shingle_sets(texts, known)
+        sizes = np.array([len(s) for s in sets])
+        return [pa.array(sizes, pa.int64()), _lists(np.concatenate(sets), sizes)]
+
+    texts = rows.select("text_key", "text").join(_small(nodes), "text_key").select("node", "text")
+    return materialize(with_columns(texts.dropDuplicates(["node"]), "text", "n long, tokens array<bigint>", run, keep=["node"]))
 
 
 def _small(table: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -138,8 +155,6 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int, orders: list[str])
     order. Two orders need no column: rising and falling hashes.
     """
     columns = ["node", "n", "tokens", *orders]
-    named = materialize(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
-    sets = sets.join(_small(named), "node", "left_semi")
     x, y = (sets.select(*[F.col(c).alias(f"{s}_{c}") for c in columns]) for s in "xy")
     both = pairs.join(x, F.col("a") == F.col("x_node")).join(y, F.col("b") == F.col("y_node"))
     m, n = F.col("x_n"), F.col("y_n")
@@ -169,27 +184,25 @@ def _pivot_pairs(keyed: DataFrame, labels: DataFrame | None) -> DataFrame:
     return met.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
 
 
-def _hits(sets: DataFrame, tokens: Column) -> DataFrame:
-    """Sets of which another class has one of these tokens among its own, and of how many: node, hits."""
+def _hits(sets: DataFrame, tokens: str) -> DataFrame:
+    """Sets of which another class has some of these tokens among its own, and how many: node, hits."""
     rows = sets.select("node", "class", F.explode(tokens).alias("token"))
     shared = rows.groupBy("token").agg(F.min("class").alias("x"), F.max("class").alias("y")).filter("x != y")
     shared = materialize(shared.select("token"))
     return materialize(rows.join(_small(shared), "token", "left_semi").groupBy("node").agg(F.count("*").alias("hits")))
 
 
-def _survivors(sets: DataFrame, percent: int) -> DataFrame:
-    """Sets that may have a similar one in another class, by rising and by falling hash.
+def _surviving(sets: DataFrame, tokens: str, percent: int, earlier: Column) -> DataFrame:
+    """Sets that may have a similar one in another class, by their tokens from a fixed range of hashes.
 
-    Rising: similar sets share a token of their prefixes. Falling: of the tokens from a fixed hash on, which
-    are a prefix of every set, at most n - overlap are not shared; a passage in common doesn't pass that.
+    Such tokens are a prefix of every set in an order of hashes. All but n - overlap of a set's tokens are in
+    a similar set too, so at most so many of the range are not; a passage in common doesn't pass that. `earlier`
+    counts the tokens of ranges looked at before less those found in another class.
     """
-    n = F.col("n")
-    first = F.slice("tokens", 1, _prefix(n, percent).cast("int"))
-    sets = sets.join(_small(_hits(sets, first)), "node").drop("hits")
-    last = F.filter("tokens", lambda t: t >= LATE)
-    hits = _small(_hits(sets, last))
-    needed = F.size(last) - _prefix(n, percent) + 1
-    return sets.join(hits, "node", "left").filter(F.coalesce("hits", F.lit(0)) >= needed).drop("hits")
+    found = sets.join(_small(_hits(sets, tokens)), "node", "left")
+    missed = F.size(tokens) - F.coalesce("hits", F.lit(0)) + earlier
+    found = found.withColumn("missed", missed.cast("long"))
+    return found.filter(F.col("missed") < _prefix(F.col("n"), percent)).drop("hits")
 
 
 def _candidates(sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
@@ -268,20 +281,17 @@ def jaccard_components(
     of them, so that a large group of near copies is one class after few
     comparisons. All links across classes are then found by prefix filters: similar sets share a
     token among their first ones in *any* global order, so a set stays in play only if another class
-    shares its prefix by rising and by falling hash; candidates meet by the prefix that has rare
-    tokens first; and a pair is counted exactly only if its prefixes meet under two more orders as well.
+    shares enough of its first tokens by rising and by falling hash; candidates meet by the prefix that has rare
+    tokens first; and a pair is counted exactly only if its prefixes meet under all five orders.
     The first comparisons only spare pairs, the filters lose none.
 
     One row per row. Null and blank texts have no set: n_shingles 0, linked with nothing. Rows
     are told apart by their sets, so rows that share an id but not a set may be in different components. A row without an id has
     no component (null) and links nothing. Other columns don't matter; an empty table gives no rows.
     """
-    rows = docs.select(
-        F.monotonically_increasing_id().alias("row"),
-        F.col(doc_id).cast("long").alias("doc_id"),
-        F.coalesce(text, F.lit("")).alias("text"),
-    )
-    signed = materialize(_sets(rows))
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(text, F.lit("")).alias("text"))
+    rows = rows.withColumn("text_key", F.unhex(F.md5("text")))
+    signed = materialize(_signed(rows.withColumn("row", F.monotonically_increasing_id())))
     real = signed.filter(F.col("doc_id").isNotNull() & (F.col("n") > 0))
     groups = real.groupBy("digest").agg(F.min("row").alias("node"), F.min("doc_id").alias("first"), F.count("*").alias("copies"))
     groups = materialize(groups)
@@ -289,13 +299,15 @@ def jaccard_components(
     # Sets of several rows are listed; the row of any other set is its own node.
     copies = materialize(real.select("row", "digest").join(several, "digest").select("row", "node"))
     others = _small(materialize(copies.filter("row != node").select("row")))
-    sets = real.join(others, "row", "left_anti").select(F.col("row").alias("node"), "n", "tokens", "keys")
+    sets = real.join(others, "row", "left_anti").withColumnRenamed("row", "node")
 
     keyed = sets.select("node", F.explode("keys").alias("key"))
     sizes = materialize(keyed.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1"))
     met = materialize(keyed.join(sizes, "key"))
     scores = materialize(met.groupBy("node").agg(F.sum("members").alias("score")))
     keyed = materialize(met.join(scores, "node").select("key", "node", "score"))
+    texts_of = sets.select("node", "text_key")
+    close = _sets_of(rows, materialize(texts_of.join(_small(scores.select("node")), "node", "left_semi")))
 
     links, labels, tested = None, None, None
     for _ in range(rounds):
@@ -303,12 +315,17 @@ def jaccard_components(
         pairs = materialize(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
         if pairs.isEmpty():
             break
-        found = _linked(pairs, sets, percent, [])
+        found = _linked(pairs, close, percent, [])
         links = materialize(found if links is None else links.unionByName(found))
         labels = materialize(components(links))
         tested = pairs if tested is None else tested.unionByName(pairs)
 
-    open_sets = materialize(_survivors(_classed(sets.drop("keys"), labels), percent))
+    classed = _classed(sets.select("node", "n", "text_key", "early"), labels)
+    early = materialize(_surviving(classed, "early", percent, F.lit(0)).drop("early"))
+    whole = _sets_of(rows, early.select("node", "text_key"))
+    late = F.filter("tokens", lambda t: t >= LATE)
+    both = whole.join(_small(early.select("node", "class", F.col("missed").alias("earlier"))), "node").withColumn("late", late)
+    open_sets = materialize(_surviving(both, "late", percent, F.col("earlier")).select("node", "class", "n", "tokens"))
     pairs, orders = _candidates(open_sets, percent)
     pairs = materialize(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
     if not pairs.isEmpty():
