@@ -4,9 +4,14 @@ from tracerisk.catalog.queries import (
     _HISTOGRAMS,
     EVENTS_SLOT,
     EVENTS_WAITING,
+    FULL_RULE,
     LINES_SLOT,
     LINES_WAITING,
+    SCORE_RULES,
+    SKETCH_PROBS,
+    STUMP_FEATURES,
 )
+from tracerisk.operators.experiments import GAINS, METRICS
 from tracerisk.schema import (
     ALL_FEATURES,
     COLUMNS,
@@ -206,6 +211,42 @@ matrix AS (
        LEFT JOIN overcommit USING ({KEY}) LEFT JOIN gap USING ({KEY})
 )"""
 
+BEFORE = f"""
+history AS (
+  SELECT *, count(event_type) OVER w AS total, count(*) FILTER (WHERE event_type IN (2, 3, 5)) OVER w AS failures
+  FROM clean WHERE machine_id <> -1
+  WINDOW w AS (PARTITION BY machine_id ORDER BY "timestamp" RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+)"""
+_BEFORE_OUT = f"""
+SELECT {KEY}, {r6(f"first(failures / nullif(total, 0) {ORDER})", "machine_failure_rate_before")}
+FROM history WHERE event_type = 1 GROUP BY {KEY}"""
+
+# Every split between two neighbouring values of a feature, and the fall in the variance of labels -1 and 1 that it brings.
+STUMP = """
+cells AS (
+  """ + " UNION ALL ".join(
+    f"SELECT '{c}' AS feature, CAST({c} AS DOUBLE) AS v, count(*) AS n, CAST(sum(label) AS BIGINT) AS pos FROM labelled GROUP BY {c}"
+    for c in STUMP_FEATURES
+) + """
+),
+sums AS (
+  SELECT *, sum(n) OVER l AS nl, sum(pos) OVER l AS pl, sum(n) OVER f AS na, sum(pos) OVER f AS pa,
+         lead(v) OVER (PARTITION BY feature ORDER BY v) AS next_v
+  FROM cells
+  WINDOW f AS (PARTITION BY feature), l AS (PARTITION BY feature ORDER BY v ROWS UNBOUNDED PRECEDING)
+),
+tried AS (
+  SELECT feature, (v + next_v) / 2 AS threshold, CAST(na AS BIGINT) AS "rows", CAST(na AS DOUBLE) AS weight,
+         4 * (pa / na) * (1 - pa / na) AS impurity,
+         4 * (pa / na) * (1 - pa / na) - nl / na * 4 * (pl / nl) * (1 - pl / nl)
+           - (na - nl) / na * 4 * ((pa - pl) / (na - nl)) * (1 - (pa - pl) / (na - nl)) AS gain
+  FROM sums WHERE next_v IS NOT NULL
+)"""
+_STUMP_OUT = (
+    f"SELECT feature, {r6('threshold', 'threshold')}, \"rows\", {r6('weight', 'weight')}, "
+    f"{r6('impurity', 'impurity')}, {r6('gain', 'gain')} FROM tried ORDER BY tried.gain DESC LIMIT 1"
+)
+
 _DIGEST = "md5(concat_ws('|', job_id, task_index, '42'))"
 SPLIT = f"""
 split AS (
@@ -249,6 +290,71 @@ curve AS (
 auc AS (SELECT sum(neg * (tp - pos + pos / 2)) / max(p * n) AS roc_auc FROM curve)"""
 
 
+RULES = f"""
+folded AS (
+  SELECT *, CAST((row_number() OVER (PARTITION BY label ORDER BY {_DIGEST}, {KEY}) - 1) % 5
+                 AS INTEGER) AS fold
+  FROM matrix
+),
+ruled AS (
+  {" UNION ALL ".join(
+    f"""SELECT '{family}' AS family, '{group}' AS feature_group, '{family} ({group})' AS model, label, fold,
+         {c} / ({c} + {half}) AS probability, CAST({c} / ({c} + {half}) >= 0.5 AS INTEGER) AS prediction
+  FROM folded""" for (family, group), (c, half) in SCORE_RULES.items())}
+)"""
+
+
+def measured(by: str, source: str = "ruled") -> str:
+    """Metrics per group, and the curve they come from."""
+    return f"""
+points AS (
+  SELECT {by}, probability, count(*) FILTER (WHERE label = 1) AS pos, count(*) FILTER (WHERE label = 0) AS neg
+  FROM {source} GROUP BY {by}, probability
+),
+curves AS (
+  SELECT *, sum(pos) OVER w AS tp, sum(neg) OVER w AS fp, sum(pos) OVER g AS p, sum(neg) OVER g AS n
+  FROM points
+  WINDOW g AS (PARTITION BY {by}),
+         w AS (PARTITION BY {by} ORDER BY probability DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+),
+areas AS (SELECT {by}, sum(neg * (tp - pos + pos / 2)) / max(p * n) AS roc_auc FROM curves GROUP BY {by}),
+cells AS (
+  SELECT {by}, count(*) FILTER (WHERE label = 0 AND prediction = 0) AS tn,
+         count(*) FILTER (WHERE label = 0 AND prediction = 1) AS fp,
+         count(*) FILTER (WHERE label = 1 AND prediction = 0) AS fn,
+         count(*) FILTER (WHERE label = 1 AND prediction = 1) AS tp
+  FROM {source} GROUP BY {by}
+),
+measured AS (
+  SELECT {by}, (tn + tp) / (tn + fp + fn + tp) AS accuracy, coalesce(tp / nullif(tp + fp, 0), 0) AS "precision",
+         coalesce(tp / nullif(tp + fn, 0), 0) AS recall,
+         coalesce(2 * tp / nullif(2 * tp + fn + fp, 0), 0) AS f1, roc_auc
+  FROM cells JOIN areas USING ({by})
+)"""
+
+
+_MEASURES = ", ".join(r6(q(c), c) for c in ("accuracy", "precision", "recall", "f1", "roc_auc"))
+
+
+def gains() -> str:
+    def row(start, end):
+        named = [f"a.{m} AS {o}_from, b.{m} AS {o}_to" for m, o in (("f1", "f1"), ("roc_auc", "auc"))]
+        return f"""SELECT a.model AS from_model, b.model AS to_model, {", ".join(named)}
+FROM measured a, measured b WHERE a.family = '{start[0]}' AND a.feature_group = '{start[1]}'
+AND b.family = '{end[0]}' AND b.feature_group = '{end[1]}'"""
+
+    columns = ", ".join(
+        f"{r6(f'{m}_from', f'{m}_from')}, {r6(f'{m}_to', f'{m}_to')}, {r6(f'{m}_to - {m}_from', f'{m}_gain')}, "
+        + r6(f"({m}_to - {m}_from) * 100 / {m}_from", f"{m}_gain_percent")
+        for m in ("f1", "auc")
+    )
+    return f"SELECT from_model, to_model, {columns} FROM ({' UNION ALL '.join(row(*g) for g in GAINS)})"
+
+
+_START = "SELECT DISTINCT model, CAST('infinity' AS DOUBLE) AS threshold, 0.0::DOUBLE AS fpr, 0.0::DOUBLE AS tpr FROM ruled"
+_POINT = f"model, {r6('probability', 'threshold')}, {r6('fp / n', 'fpr')}, {r6('tp / p', 'tpr')}"
+
+
 def with_(*parts: str, select: str) -> str:
     return "WITH " + ",".join(parts) + "\n" + select
 
@@ -258,6 +364,7 @@ L = (RAW_L, CLEAN)
 E_ALL = (*E, LABELS, TIMES, RATES, slots(EVENTS_SLOT), waiting(EVENTS_WAITING), MATRIX)
 L_ALL = (*L, LABELS, TIMES, RATES, slots(LINES_SLOT), waiting(LINES_WAITING), MATRIX)
 L_SCORED = (*L_ALL, SCORED, COUNTS, CURVE)
+L_RULED = (*L_ALL, RULES)
 
 _MATRIX_OUT = (
     f"SELECT {KEY}, machine_id, scheduling_class, priority, "
@@ -455,6 +562,57 @@ FROM raw GROUP BY ingest_seq % 3""",
 (SELECT count(*) FROM dd) - (SELECT count(*) FROM clean) AS missing_key_removed,
 (SELECT count(*) FROM clean) AS rows_out""",
         ),
+        "cleaning_counts": with_(
+            *E,
+            select="""SELECT (SELECT count(*) FROM raw) AS rows_in,
+(SELECT count(*) FROM raw WHERE job_id IS NULL OR task_index IS NULL) AS missing_key_removed,
+(SELECT count(*) FROM raw WHERE job_id IS NOT NULL AND task_index IS NOT NULL)
+  - (SELECT count(*) FROM clean) AS duplicates_removed, (SELECT count(*) FROM clean) AS rows_out""",
+        ),
+        "incremental_parts": with_(RAW_E, select=f"SELECT {cols(COLUMNS)} FROM raw"),
+        "part_ledger": with_(
+            RAW_E,
+            select="""SELECT 'part-0000' || (ingest_seq % 3) AS part, ingest_seq % 3 AS no, count(*) AS n_rows,
+(ingest_seq % 3) // 2 AS load FROM raw GROUP BY ingest_seq % 3""",
+        ),
+        "machine_rate_before": with_(*L, BEFORE, select=_BEFORE_OUT),
+        "machine_rate_before_events": with_(*E, BEFORE, select=_BEFORE_OUT),
+        "machine_rate_before_ranges": with_(*E, BEFORE, select=_BEFORE_OUT),
+        "task_times_by_bucket": with_(
+            *L,
+            LABELS,
+            TIMES,
+            select=f"""SELECT {KEY}, label, {r6("scheduling_delay_sec", "scheduling_delay_sec")},
+{r6("execution_duration_sec", "execution_duration_sec")}
+FROM labelled LEFT JOIN delay USING ({KEY}) LEFT JOIN duration USING ({KEY})""",
+        ),
+        "stream_slots": with_(
+            *L, slots(LINES_SLOT), select="SELECT machine_id, time_window, concurrency_density FROM per_slot"
+        ),
+        "stream_waiting": with_(
+            *L,
+            select=f"""SELECT "timestamp" // {LINES_WAITING * 1_000_000} AS time_window,
+max(priority) FILTER (WHERE event_type = 0) AS max_waiting_priority,
+count(*) FILTER (WHERE event_type = 1) AS schedules
+FROM clean WHERE event_type IN (0, 1) GROUP BY 1""",
+        ),
+        "sketched_quantiles": with_(
+            *L_ALL,
+            select=" UNION ALL ".join(
+                f"SELECT '{c}' AS feature, {p}::DOUBLE AS prob, count({q(c)}) AS n, true AS within FROM matrix"
+                for c in ALL_FEATURES
+                for p in SKETCH_PROBS
+            ),
+        ),
+        "sketched_task_counts": with_(
+            *L,
+            select=f"""SELECT count(*) AS n_tasks, true AS within, true AS as_of_whole
+FROM (SELECT DISTINCT {KEY} FROM clean)""",
+        ),
+        "lr_gradient": " UNION ALL ".join(
+            f"SELECT '{c}' AS feature, 0.0::DOUBLE AS gradient" for c in [*ALL_FEATURES, "(intercept)"]
+        ),
+        "stump_gain": with_(*L, LABELS, STUMP, select=_STUMP_OUT),
         "task_labels": with_(*L, LABELS, select=_LABELLED_OUT),
         "task_labels_events": with_(*E, LABELS, select=_LABELLED_OUT),
         "label_distribution": with_(*L, LABELS, select=_DISTRIBUTION),
@@ -650,6 +808,52 @@ fn AS missed, fp AS false_alarms, {r6("tp / (tp + fn) * 100", "caught_percent")}
 FROM counts""",
         ),
         "paired_ttest": with_(*L_SCORED, FOLDS, select=TTEST),
+        "roc_auc_by_group": with_(
+            *L_RULED, measured("model, fold"), select=f"SELECT model, fold, {r6('roc_auc', 'roc_auc')} FROM areas"
+        ),
+        "metrics_by_group": with_(
+            *L_RULED, measured("model, fold"), select=f"SELECT model, fold, {_MEASURES} FROM measured"
+        ),
+        "rule_comparison": with_(
+            *L_RULED,
+            measured("family, feature_group, model"),
+            select=f"SELECT family, feature_group, model, {_MEASURES} FROM measured",
+        ),
+        "rule_improvement": with_(*L_RULED, measured("family, feature_group, model"), select=gains()),
+        "rule_ablation": with_(
+            *L_RULED,
+            measured("family, feature_group, model"),
+            select=f"""SELECT m.model AS removed_feature, {r6("m.f1", "f1")}, {r6("f.f1 - m.f1", "f1_drop")},
+{r6("m.roc_auc", "auc")}, {r6("f.roc_auc - m.roc_auc", "auc_drop")}, f.f1 - m.f1 > 0.01 AS high_impact
+FROM measured m, measured f WHERE f.model = '{FULL_RULE[0]} ({FULL_RULE[1]})' AND m.model <> f.model""",
+        ),
+        "rule_cross_validation": with_(
+            *L_RULED,
+            f"lone AS (SELECT * FROM ruled WHERE model = '{FULL_RULE[0]} ({FULL_RULE[1]})')",
+            measured("fold", "lone"),
+            select=" UNION ALL ".join(
+                f"SELECT '{m}' AS metric, {r6(f'avg({q(m)})', 'mean')}, {r6(f'stddev_pop({q(m)})', 'std')} FROM measured"
+                for m in METRICS
+            ),
+        ),
+        "rule_roc_plot": with_(
+            *L_RULED, measured("model"), select=f"{_START} UNION ALL SELECT {_POINT} FROM curves"
+        ),
+        "rule_confusion_plot": with_(
+            *L_RULED,
+            measured("model"),
+            select="""SELECT model, 0 AS label, 0 AS prediction, tn AS n_tasks FROM cells
+UNION ALL SELECT model, 0, 1, fp FROM cells UNION ALL SELECT model, 1, 0, fn FROM cells
+UNION ALL SELECT model, 1, 1, tp FROM cells""",
+        ),
+        "roc_corners": with_(
+            *L_RULED,
+            measured("model"),
+            select=f"""{_START} UNION ALL SELECT {_POINT} FROM (
+  SELECT *, row_number() OVER v AS i, lead(pos) OVER v AS next_pos, lead(neg) OVER v AS next_neg FROM curves
+  WINDOW v AS (PARTITION BY model ORDER BY probability DESC)
+) WHERE i = 1 OR next_pos IS NULL OR next_pos <> pos OR next_neg <> neg""",
+        ),
     }
     for suffix, parts in (("", L_ALL), ("_events", E_ALL)):
         out |= {

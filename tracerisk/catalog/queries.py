@@ -20,9 +20,12 @@ from tracerisk.operators import (
     metrics,
     models,
     profile,
+    sketches,
     skew,
     split,
+    trees,
 )
+from tracerisk.operators.quantiles import exact_quantiles
 from tracerisk.plans import matrix as plans
 from tracerisk.schema import (
     ALL_FEATURES,
@@ -47,7 +50,16 @@ from tracerisk.sources import (
     write_table,
 )
 from tracerisk.sources.adapters import trace_from_events, trace_from_lineitem
+from tracerisk.sources.buckets import write_by_task
+from tracerisk.sources.ledger import load_new_parts, read_ledger
 from tracerisk.sources.shared import new_path
+from tracerisk.streaming import (
+    read_stream,
+    run_to_end,
+    stream_schedules_per_slot,
+    stream_waiting_priority,
+    write_end_mark,
+)
 
 EVENTS_SLOT, EVENTS_WAITING = 21_600, 3_600
 LINES_SLOT, LINES_WAITING = 604_800, 60
@@ -209,6 +221,31 @@ def cleaning_summary(spark, folder):
     return clean.cleaning_summary(raw_e(spark, folder))
 
 
+@query
+def cleaning_counts(spark, folder):
+    """What cleaning removes, counted while the cleaned events are written."""
+    counts = clean.CleaningCounts()
+    materialize(clean.clean_trace(raw_e(spark, folder), counts=counts))
+    found = counts.get()
+    return spark.createDataFrame([tuple(found.values())], ", ".join(f"{c} long" for c in found))
+
+
+@query
+def incremental_parts(spark, folder):
+    """Two of three parts loaded, then the rest: as if all were loaded at once."""
+    parts, table = _three_parts(spark, folder), new_path(spark)
+    load_new_parts(spark, parts, table, n_parts=2)
+    return load_new_parts(spark, parts, table).select(*COLUMNS)
+
+
+@query
+def part_ledger(spark, folder):
+    parts, table = _three_parts(spark, folder), new_path(spark)
+    load_new_parts(spark, parts, table, n_parts=2)
+    load_new_parts(spark, parts, table)
+    return read_ledger(spark, table).select(F.substring("part", 1, 10).alias("part"), "no", "n_rows", "load")
+
+
 # Labels
 
 _LABELLED = [*DATA_COLUMNS, "event_label", "label"]
@@ -323,6 +360,57 @@ def priority_inversion_flag_events(spark, folder):
     return features.calculate_priority_inversion(events, EVENTS_WAITING)
 
 
+def _rate_before(make, **settings):
+    def run(spark, folder):
+        events = materialize(make(spark, folder))
+        return rounded(features.calculate_machine_failure_rate_before(events, **settings))
+
+    return run
+
+
+_QUERIES |= {
+    "machine_rate_before": _rate_before(clean_l),
+    "machine_rate_before_events": _rate_before(clean_e),
+    # Every machine of over 50 times counted as large, so that its timeline is cut into ranges.
+    "machine_rate_before_ranges": _rate_before(clean_e, hot_rows=50),
+}
+
+
+@query
+def task_times_by_bucket(spark, folder):
+    """Label, delay and duration of every labelled task, from events stored by task: no shuffle after that."""
+    events = spark.table(write_by_task(clean_l(spark, folder), buckets=16))
+    labelled = labels.create_labels(events).select(*TASK_KEY, "timestamp", "label")
+    delay = features.calculate_scheduling_delay(events)
+    duration = features.calculate_execution_duration(events, labelled)
+    joined = labelled.drop("timestamp").join(delay, TASK_KEY, "left").join(duration, TASK_KEY, "left")
+    return rounded(joined)
+
+
+# Streaming forms of the window tables
+
+
+def _streamed(make, window):
+    """The cleaned events as a folder of files, streamed to its end."""
+
+    def run(spark, folder):
+        path, out = new_path(spark), new_path(spark)
+        events = clean_l(spark, folder).select(*TASK_KEY, "timestamp", "machine_id", "event_type", "priority")
+        events.write.parquet(path)
+        write_end_mark(spark, path, events.schema)
+        result = make(read_stream(spark, path, events.schema), window)
+        run_to_end(result, out, new_path(spark))
+        return spark.read.schema(result.schema).parquet(out)
+
+    return run
+
+
+_QUERIES |= {
+    "stream_slots": _streamed(stream_schedules_per_slot, LINES_SLOT),
+    "stream_waiting": _streamed(stream_waiting_priority, LINES_WAITING),
+}
+
+
 @query
 def feature_matrix(spark, folder):
     return rounded(matrix_l(spark, folder))
@@ -540,6 +628,50 @@ def histogram_cpu(spark, folder):
     return rounded(profile.histogram(rounded(raw_e(spark, folder)), "cpu_requested", 30))
 
 
+SKETCH_PROBS = [0.05, 0.25, 0.5, 0.75, 0.95]
+
+
+@query
+def sketched_quantiles(spark, folder):
+    """Sketches per label merged into one per feature: whether quantiles lie within twice the error of a rank.
+
+    A quantile is within if one of the exact quantiles at its probability, less or plus that error, is no
+    greater and the other no less.
+    """
+    matrix = materialize(matrix_l(spark, folder))
+    parts = materialize(sketches.quantile_sketches(matrix, ALL_FEATURES, ["label"]))
+    found = sketches.sketched_quantiles(sketches.merge_quantile_sketches(parts), SKETCH_PROBS)
+    found = found.withColumn("prob", F.round("prob", 6))
+    error = 2 * sketches.rank_error()
+    exact = None
+    for name, shift in (("low", -error), ("high", error)):
+        moved = {round(p, 6): min(max(p + shift, 0.0), 1.0) for p in SKETCH_PROBS}
+        back = F.array(*[F.struct(F.lit(q).alias("at"), F.lit(p).alias("p")) for p, q in moved.items()])
+        at = exact_quantiles(matrix, ALL_FEATURES, list(moved.values()))
+        # A probability comes back as the double that was given.
+        of = F.get(F.filter(back, lambda x: x["at"] == F.col("prob")), F.lit(0))["p"]
+        side = at.select("feature", of.alias("prob"), F.col("value").alias(name))
+        exact = side if exact is None else exact.join(side, ["feature", "prob"])
+    within = (F.col("low") <= F.col("value")) & (F.col("value") <= F.col("high"))
+    return found.join(exact, ["feature", "prob"]).select("feature", "prob", "n", within.alias("within"))
+
+
+@query
+def sketched_task_counts(spark, folder):
+    """Distinct tasks by sketches of the event types, united: within four standard errors, and as of the whole."""
+    events = materialize(clean_l(spark, folder).select(*TASK_KEY, "event_type"))
+    parts = materialize(sketches.distinct_sketches(events, TASK_KEY, ["event_type"]))
+    whole = sketches.merge_distinct_sketches(sketches.distinct_sketches(events, TASK_KEY))
+    united = sketches.sketched_counts(sketches.merge_distinct_sketches(parts)).scalar()
+    exact = events.agg(F.count_distinct(*TASK_KEY).alias("n_tasks"))
+    error = F.abs(united - F.col("n_tasks")) / F.col("n_tasks")
+    return exact.select(
+        "n_tasks",
+        (error <= 4 * sketches.distinct_error()).alias("within"),
+        (united == sketches.sketched_counts(whole).scalar()).alias("as_of_whole"),
+    )
+
+
 @query
 def boxplot_duration(spark, folder):
     matrix = materialize(matrix_l(spark, folder).select("label", "execution_duration_sec"))
@@ -693,6 +825,106 @@ def paired_ttest(spark, folder):
     return rounded(metrics.run_paired_ttest(scores))
 
 
+# Six fixed rules in place of the six models: what compares, folds, ablates and plots
+# models is checked on them. A rule scores x / (x + half), so it predicts 1 from half on.
+
+SCORE_RULES = {
+    ("Logistic Regression", "raw"): ("priority", 3.0),
+    ("Logistic Regression", "all"): ("scheduling_delay_sec", 25.0),
+    ("Random Forest", "raw"): ("memory_requested", 0.04),
+    ("Random Forest", "all"): ("concurrency_density", 2.0),
+    ("Boosted Trees", "raw"): ("disk_requested", 0.00025),
+    ("Boosted Trees", "all"): ("execution_duration_sec", 5000.0),
+}
+# The rule that stands for the full model in the ablation; the others for it less one feature.
+FULL_RULE = ("Boosted Trees", "all")
+
+
+def _ruled(spark, folder):
+    """The folds of the matrix, once written, scored by every rule."""
+    wanted = [*TASK_KEY, "label", *[c for c, _ in SCORE_RULES.values()]]
+    matrix = materialize(matrix_l(spark, folder).select(*wanted))
+    folds = materialize(split.stratified_folds(matrix))
+    scored = {}
+    for rule, (column, half) in SCORE_RULES.items():
+        probability = F.col(column) / (F.col(column) + half)
+        scored[rule] = folds.select(
+            *TASK_KEY,
+            "label",
+            "fold",
+            probability.alias("probability"),
+            (probability >= 0.5).cast("double").alias("prediction"),
+        )
+    return scored
+
+
+def _named_rules(spark, folder):
+    return {f"{family} ({group})": frame for (family, group), frame in _ruled(spark, folder).items()}
+
+
+def _rule_groups(spark, folder):
+    by = ["model", "fold"]
+    named = experiments.scored_groups(_named_rules(spark, folder), ["model"])
+    return metrics.score_table(named, by), by
+
+
+@query
+def roc_auc_by_group(spark, folder):
+    """Area under the curve of six rules in five folds, in one pass."""
+    return rounded(metrics.roc_auc(*_rule_groups(spark, folder)))
+
+
+@query
+def metrics_by_group(spark, folder):
+    return rounded(metrics.classification_metrics_by(*_rule_groups(spark, folder)))
+
+
+@query
+def rule_comparison(spark, folder):
+    return rounded(experiments.compared(_ruled(spark, folder)))
+
+
+@query
+def rule_improvement(spark, folder):
+    return rounded(experiments.improvement_summary(experiments.compared(_ruled(spark, folder))))
+
+
+@query
+def rule_ablation(spark, folder):
+    """Drops of the other rules against the full one, and whether they are high."""
+    measured = experiments.measured_groups(_ruled(spark, folder), ["family", "feature_group"])
+    name = F.format_string("%s (%s)", "family", "feature_group").alias("removed_feature")
+    full = (F.col("family") == FULL_RULE[0]) & (F.col("feature_group") == FULL_RULE[1])
+    row = measured.filter(full).first()
+    drops = experiments.feature_drops(measured.filter(~full).select(name, "f1", "roc_auc"), (row["f1"], row["roc_auc"]))
+    return rounded(experiments.ablation_plot_data(drops))
+
+
+@query
+def rule_cross_validation(spark, folder):
+    """Mean and deviation over the folds of the full rule."""
+    scores = metrics.score_table(_ruled(spark, folder)[FULL_RULE], ["fold"])
+    return rounded(experiments.summarize_folds(metrics.classification_metrics_by(scores, ["fold"])))
+
+
+@query
+def rule_roc_plot(spark, folder):
+    return rounded(experiments.roc_plot_data(_named_rules(spark, folder)))
+
+
+@query
+def rule_confusion_plot(spark, folder):
+    return experiments.confusion_plot_data(_named_rules(spark, folder))
+
+
+@query
+def roc_corners(spark, folder):
+    """The ROC curves of the rules less the points between two equal steps."""
+    named = experiments.scored_groups(_named_rules(spark, folder), ["model"])
+    scores = metrics.score_table(named, ["model"])
+    return rounded(metrics.roc_points(scores, ["model"], drop_intermediate=True))
+
+
 # Models, in the package's own settings on the larger matrix. Queries over the same
 # tables share the split and the fits: a model is fitted once per session and folder.
 
@@ -713,13 +945,7 @@ def _train_test(spark, folder):
 def _fits(spark, folder):
     """The six fitted models by family and feature group."""
     train, _ = _train_test(spark, folder)
-    grid = experiments.grid()
-
-    def fit_all():
-        jobs = [partial(fit, train) for fit in grid.values()]
-        return dict(zip(grid, experiments.in_parallel(jobs, spark, FIT_THREADS)))
-
-    return _once(spark, folder, "fits", fit_all)
+    return _once(spark, folder, "fits", partial(experiments.fit_all, train, threads=FIT_THREADS))
 
 
 def _predicted(spark, folder, family, group="all"):
@@ -727,20 +953,9 @@ def _predicted(spark, folder, family, group="all"):
     return models.predict(_fits(spark, folder)[family, group], test)
 
 
-def _model_scores(spark, folder):
-    def score_all():
-        return {
-            f"{family} ({group})": metrics.score_table(_predicted(spark, folder, family, group))
-            for family, group in _fits(spark, folder)
-        }
-
-    return _once(spark, folder, "scores", score_all)
-
-
 def _comparison(spark, folder):
     train, test = _train_test(spark, folder)
-    scores = _model_scores(spark, folder)
-    compared = partial(experiments.compare_models, train, test, scores=scores, threads=FIT_THREADS)
+    compared = partial(experiments.compare_models, train, test, fitted=_fits(spark, folder))
     return _once(spark, folder, "comparison", compared)
 
 
@@ -759,6 +974,34 @@ def gbt_importance(spark, folder):
     return models.get_feature_importance(_fits(spark, folder)["Boosted Trees", "all"])
 
 
+@query
+def lr_gradient(spark, folder):
+    """Gradient of the objective at the fitted logistic regression, to four places."""
+    train, _ = _train_test(spark, folder)
+    found = models.penalised_gradient(_fits(spark, folder)["Logistic Regression", "all"], train)
+    return found.select("feature", (F.round("gradient", 4) + F.lit(0.0)).alias("gradient"))
+
+
+@query
+def gbt_split_gains(spark, folder):
+    """Splits and their gain per feature of the boosted trees."""
+    return trees.split_gains(_fits(spark, folder)["Boosted Trees", "all"])
+
+
+# Columns of few values: each is a bin of its own, so a tree tries every split that SQL can.
+STUMP_FEATURES = ["scheduling_class", "priority", "different_machine"]
+
+
+@query
+def stump_gain(spark, folder):
+    """The split of one boosted tree of one level, with unit weights: its feature, threshold, rows and gain."""
+    tasks = labels.create_labels(clean_l(spark, folder)).select(*TASK_KEY, "label", *STUMP_FEATURES)
+    one_split = {"n_estimators": 1, "max_depth": 1, "scale_pos_weight": 1.0}
+    nodes = trees.tree_nodes(models.train_boosted_trees(materialize(tasks), STUMP_FEATURES, **one_split))
+    root = nodes.filter("node = 0").select("feature", "threshold", "rows", "weight", "impurity", "gain")
+    return rounded(root)
+
+
 @query
 def lr_predictions(spark, folder):
     return _predicted(spark, folder, "Logistic Regression")
@@ -849,16 +1092,18 @@ def cross_validation_ttest(spark, folder):
     return metrics.run_paired_ttest(experiments.paired_scores(best, baseline))
 
 
-def _two_score_tables(spark, folder):
-    scores = _model_scores(spark, folder)
-    return {n: scores[n] for n in ("Boosted Trees (all)", "Logistic Regression (raw)")}
+def _two_scored(spark, folder):
+    return {
+        "Boosted Trees (all)": _predicted(spark, folder, "Boosted Trees"),
+        "Logistic Regression (raw)": _predicted(spark, folder, "Logistic Regression", "raw"),
+    }
 
 
 @query
 def roc_plot(spark, folder):
-    return experiments.roc_plot_data(_two_score_tables(spark, folder))
+    return experiments.roc_plot_data(_two_scored(spark, folder))
 
 
 @query
 def confusion_plot(spark, folder):
-    return experiments.confusion_plot_data(_two_score_tables(spark, folder))
+    return experiments.confusion_plot_data(_two_scored(spark, folder))

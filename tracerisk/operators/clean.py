@@ -2,7 +2,7 @@
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from tracerisk.functions import event_label
@@ -106,7 +106,32 @@ def decode_events(df: DataFrame) -> DataFrame:
     return df.withColumn("event_label", event_label(F.col("event_type")))
 
 
-def clean_trace(raw: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+class CleaningCounts:
+    """Counts that `clean_trace` takes while its rows pass, known after the first action on them."""
+
+    def __init__(self):
+        self._seen, self._kept = Observation(), Observation()
+
+    def watch_raw(self, raw: DataFrame) -> DataFrame:
+        no_key = F.col("job_id").isNull() | F.col("task_index").isNull()
+        return raw.observe(self._seen, F.count("*").alias("rows_in"), F.count_if(no_key).alias("no_key"))
+
+    def watch_clean(self, events: DataFrame) -> DataFrame:
+        return events.observe(self._kept, F.count("*").alias("rows_out"))
+
+    def get(self) -> dict[str, int]:
+        """Rows in, rows without a task key, copies removed, rows out. Waits for an action, so run one first."""
+        seen, kept = self._seen.get, self._kept.get
+        copies = seen["rows_in"] - seen["no_key"] - kept["rows_out"]
+        return {
+            "rows_in": seen["rows_in"],
+            "missing_key_removed": seen["no_key"],
+            "duplicates_removed": copies,
+            "rows_out": kept["rows_out"],
+        }
+
+
+def clean_trace(raw: DataFrame, hot_rows: int = HOT_ROWS, counts: CleaningCounts | None = None) -> DataFrame:
     """All cleaning steps: duplicates, task keys, machine, resources, event names.
 
     Not lazy throughout: tasks are counted when the plan is built, so give it raw
@@ -117,10 +142,18 @@ def clean_trace(raw: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     than `hot_rows` rows are set apart first, by a pass over the two key columns of
     the raw rows: their copies are combined before a shuffle by all columns, and
     the fill runs in ranges.
+
+    `counts` takes the numbers of rows removed while the first action reads the result: no pass of its own.
     """
-    raw = drop_missing_keys(raw.drop("missing_info"))
-    hot = hot_keys(raw, TASK_KEY, hot_rows)
-    usual, large = (raw, None) if hot is None else split_by_key(raw, TASK_KEY, hot)
+    raw = raw.drop("missing_info")
+    # Found before the rows are watched, so that only the pass that cleans them counts.
+    hot = hot_keys(drop_missing_keys(raw), TASK_KEY, hot_rows)
+    keyed = drop_missing_keys(raw if counts is None else counts.watch_raw(raw))
+    if hot is None:
+        usual = keyed
+    else:
+        usual, _ = split_by_key(keyed, TASK_KEY, hot)
+        _, large = split_by_key(drop_missing_keys(raw), TASK_KEY, hot)
 
     by_task = usual.repartition(*TASK_KEY)
     events = forward_fill(fill_machine(drop_duplicate_events(by_task)), look=False)
@@ -128,7 +161,8 @@ def clean_trace(raw: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
         apart = fill_machine(drop_duplicate_events(large))
         events = events.unionByName(forward_fill(apart, hot=hot))
     whole = F.col("different_machine").cast("int")
-    return decode_events(events.drop(SEQ).withColumn("different_machine", whole))
+    events = decode_events(events.drop(SEQ).withColumn("different_machine", whole))
+    return events if counts is None else counts.watch_clean(events)
 
 
 def cleaning_summary(raw: DataFrame) -> DataFrame:

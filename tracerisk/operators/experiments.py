@@ -6,11 +6,11 @@ from multiprocessing.pool import ThreadPool
 
 from pyspark import inheritable_thread_target
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracerisk.operators.metrics import (
-    classification_metrics,
+    classification_metrics_by,
     confusion_matrix,
     roc_points,
     score_table,
@@ -50,17 +50,20 @@ def in_parallel(jobs: Iterable[Callable], spark: SparkSession, threads: int) ->
         return pool.map(inheritable_thread_target(spark)(lambda job: job()), list(jobs))
 
 
-def fit_and_score(fit: Fit, train: DataFrame, test: DataFrame) -> DataFrame:
-    """Score table of the test rows under a model fitted to the train rows."""
-    return score_table(predict(fit(train), test))
-
-
-def _metrics(name: str, fit: Fit, train: DataFrame, test: DataFrame) -> Row:
-    return _scored_metrics(name, fit_and_score(fit, train, test))
+def scored_groups(scored: Mapping[tuple, DataFrame], by: Sequence[str]) -> DataFrame:
+    """Scored frames under one another, `by` naming the parts of their keys."""
+    out = None
+    for key, frame in scored.items():
+        values = key if isinstance(key, tuple) else (key,)
+        named = frame.withColumns({c: F.lit(v) for c, v in zip(by, values)})
+        out = named if out is None else out.unionByName(named)
+    return out
 
 
-def _scored_metrics(name: str, scores: DataFrame) -> Row:
-    return classification_metrics(scores, name).first()
+def measured_groups(scored: Mapping[tuple, DataFrame], by: Sequence[str]) -> DataFrame:
+    """Metrics of all scored frames, from one score table: the jobs don't grow with the models."""
+    scores = score_table(scored_groups(scored, by), by)
+    return materialize(classification_metrics_by(scores, by))
 
 
 def grid(settings: Mapping[str, dict] | None = None) -> dict[tuple[str, str], Fit]:
@@ -73,30 +76,36 @@ def grid(settings: Mapping[str, dict] | None = None) -> dict[tuple[str, str], Fi
     }
 
 
+def fit_all(
+    train: DataFrame, settings: Mapping[str, dict] | None = None, threads: int = 2
+) -> dict[tuple[str, str], PipelineModel]:
+    """The six fitted models by family and feature group."""
+    fits = grid(settings)
+    jobs = [partial(fit, train) for fit in fits.values()]
+    return dict(zip(fits, in_parallel(jobs, train.sparkSession, threads)))
+
+
 def compare_models(
     train: DataFrame,
     test: DataFrame,
     settings: Mapping[str, dict] | None = None,
     threads: int = 2,
-    scores: Mapping[str, DataFrame] | None = None,
+    fitted: Mapping[tuple[str, str], PipelineModel] | None = None,
 ) -> DataFrame:
     """Metrics of the six models. `settings` passes arguments to the families by name.
 
-    Score tables by model name may be given instead of fitting again.
+    Models by family and feature group may be given instead of fitting them here.
     """
-    spark = train.sparkSession
-    names = {key: f"{key[0]} ({key[1]})" for key in grid()}
-    if scores is None:
-        fits = grid(settings)
-        jobs = [partial(_metrics, name, fits[key], train, test) for key, name in names.items()]
-    else:
-        jobs = [partial(_scored_metrics, name, scores[name]) for name in names.values()]
-    rows = [(*key, *row) for key, row in zip(names, in_parallel(jobs, spark, threads))]
-    return spark.createDataFrame(
-        rows,
-        "family string, feature_group string, model string, accuracy double, precision double, "
-        "recall double, f1 double, roc_auc double",
-    )
+    fitted = fit_all(train, settings, threads) if fitted is None else fitted
+    return compared({key: predict(model, test) for key, model in fitted.items()})
+
+
+def compared(scored: Mapping[tuple[str, str], DataFrame]) -> DataFrame:
+    """Metrics of scored frames by family and feature group."""
+    by = ["family", "feature_group"]
+    name = F.format_string("%s (%s)", *by).alias("model")
+    found = measured_groups(scored, by)
+    return found.select(*by, name, *[c for c in found.columns if c not in by])
 
 
 def improvement_summary(comparison: DataFrame) -> DataFrame:
@@ -153,48 +162,45 @@ def run_ablation_study(
 
     `baseline` holds F1 and ROC-AUC of the full model; it is fitted here if not given.
     """
-    spark = train.sparkSession
     removed = list(novel_features) if baseline else ["", *novel_features]
     jobs = [
-        partial(
-            _metrics,
-            feature,
-            partial(train_boosted_trees, features=without(all_features, feature), **settings),
-            train,
-            test,
-        )
-        for feature in removed
-    ]
-    rows = {row["model"]: row for row in in_parallel(jobs, spark, threads)}
-    full = rows.pop("", None)
-    f1, auc = baseline or (full["f1"], full["roc_auc"])
-    drops = [
-        (name, row["f1"], f1 - row["f1"], row["roc_auc"], auc - row["roc_auc"])
-        for name, row in rows.items()
+        partial(train_boosted_trees, train, features=without(all_features, f), **settings) for f in removed
     ]
-    return spark.createDataFrame(
-        drops, "removed_feature string, f1 double, f1_drop double, auc double, auc_drop double"
-    ).orderBy(F.desc("f1_drop"))
+    fitted = in_parallel(jobs, train.sparkSession, threads)
+    measured = measured_groups(
+        {f: predict(model, test) for f, model in zip(removed, fitted)}, ["removed_feature"]
+    )
+    if baseline is None:
+        full = measured.filter("removed_feature = ''").first()
+        baseline = full["f1"], full["roc_auc"]
+    return feature_drops(measured.filter("removed_feature != ''"), baseline)
+
+
+def feature_drops(measured: DataFrame, baseline: tuple[float, float]) -> DataFrame:
+    """F1 and ROC-AUC without each feature and how far they lie below the baseline, largest F1 drop first."""
+    f1, auc = baseline
+    return measured.select(
+        "removed_feature",
+        "f1",
+        (F.lit(float(f1)) - F.col("f1")).alias("f1_drop"),
+        F.col("roc_auc").alias("auc"),
+        (F.lit(float(auc)) - F.col("roc_auc")).alias("auc_drop"),
+    ).orderBy(F.desc("f1_drop"), "removed_feature")
 
 
 def fold_scores(
     fit: Fit, matrix: DataFrame, n_splits: int = 5, seed: int = 42, threads: int = 2
 ) -> DataFrame:
     """Metrics per fold, each fold scored by a model fitted to the others."""
-    spark = matrix.sparkSession
     # Sorted as before other seeded fits, so that results don't depend on the plan.
     folds = materialize(
         stratified_folds(matrix, n_splits, seed).repartition(*TASK_KEY).sortWithinPartitions(*TASK_KEY)
     )
     inside = F.col("fold")
-    jobs = [
-        partial(_metrics, str(i), fit, folds.filter(inside != i), folds.filter(inside == i))
-        for i in range(n_splits)
-    ]
-    rows = [
-        (int(row["model"]), *[row[m] for m in METRICS]) for row in in_parallel(jobs, spark, threads)
-    ]
-    return spark.createDataFrame(rows, "fold int, " + ", ".join(f"{m} double" for m in METRICS))
+    jobs = [partial(fit, folds.filter(inside != i).drop("fold")) for i in range(n_splits)]
+    fitted = in_parallel(jobs, matrix.sparkSession, threads)
+    scored = {i: predict(model, folds.filter(inside == i)) for i, model in enumerate(fitted)}
+    return measured_groups(scored, ["fold"]).select("fold", *METRICS)
 
 
 def summarize_folds(scores: DataFrame) -> DataFrame:
@@ -220,22 +226,14 @@ def paired_scores(best: DataFrame, baseline: DataFrame, metric: str = "f1") -> D
     )
 
 
-def roc_plot_data(scores: dict[str, DataFrame]) -> DataFrame:
-    """ROC points of several score tables, with the model name."""
-    return _stacked({name: roc_points(table) for name, table in scores.items()})
-
+def roc_plot_data(scored: Mapping[str, DataFrame]) -> DataFrame:
+    """ROC points of several models' scored rows, with the model name."""
+    return roc_points(score_table(scored_groups(scored, ["model"]), ["model"]), ["model"])
 
-def confusion_plot_data(scores: dict[str, DataFrame]) -> DataFrame:
-    """Confusion matrices of several score tables, with the model name."""
-    return _stacked({name: confusion_matrix(table) for name, table in scores.items()})
 
-
-def _stacked(frames: dict[str, DataFrame]) -> DataFrame:
-    named = [df.withColumn("model", F.lit(name)) for name, df in frames.items()]
-    out = named[0]
-    for df in named[1:]:
-        out = out.unionByName(df)
-    return out
+def confusion_plot_data(scored: Mapping[str, DataFrame]) -> DataFrame:
+    """Confusion matrices of several models' scored rows, with the model name."""
+    return confusion_matrix(score_table(scored_groups(scored, ["model"]), ["model"]), ["model"])
 
 
 def ablation_plot_data(ablation: DataFrame, threshold: float = 0.01) -> DataFrame:

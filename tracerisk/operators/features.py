@@ -5,12 +5,14 @@ machine for the failure rate. Those with a lookup read the events more than
 once: give them a written table.
 """
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracerisk.functions import at_first, bucket, first_known, seconds
-from tracerisk.operators.skew import lookup, stage_lookup
+from tracerisk.operators.ranges import in_ranges
+from tracerisk.operators.skew import HOT_ROWS, hot_keys, lookup, sized, split_by_key, stage_lookup
 from tracerisk.schema import EVENT_NO, FAILURE_EVENTS, NO_MACHINE, SCHEDULE, SUBMIT, TASK_KEY
+from tracerisk.sources.shared import materialize
 
 
 def on_machine() -> Column:
@@ -87,6 +89,56 @@ def calculate_machine_failure_rate(events: DataFrame) -> DataFrame:
     )
 
 
+def machine_history(events: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Per real machine and time: its events, and failures among them, strictly before that time.
+
+    Events of one time are combined first, which also combines before the shuffle. Machines with
+    more than `hot_rows` times are cut into sorted ranges, and each range gets the
+    sums of those before it; the others take one running sum each.
+    """
+    code = F.col("event_type")
+    times = materialize(
+        events.filter(F.col("machine_id") != NO_MACHINE)
+        .groupBy("machine_id", "timestamp")
+        .agg(F.count(code).alias("total"), F.count_if(code.isin(FAILURE_EVENTS)).alias("failures"))
+    )
+    sums = ["total", "failures"]
+
+    def before(*by):
+        along = Window.partitionBy(*by).orderBy("timestamp").rowsBetween(Window.unboundedPreceding, -1)
+        return {f"{c}_before": F.coalesce(F.sum(c).over(along), F.lit(0)) for c in sums}
+
+    columns = ["machine_id", "timestamp", *[f"{c}_before" for c in sums]]
+    hot = hot_keys(times, ["machine_id"], hot_rows)
+    if hot is None:
+        return times.withColumns(before("machine_id")).select(*columns)
+    usual, large = split_by_key(times, ["machine_id"], hot)
+    piece = ["machine_id", "chunk"]
+    ranged = in_ranges(large, ["machine_id", "timestamp"])
+    earlier = Window.partitionBy("machine_id").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    # No more rows than ranges plus large machines.
+    carried = ranged.groupBy(*piece).agg(*[F.sum(c).alias(c) for c in sums]).select(
+        *piece, *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"_{c}") for c in sums]
+    )
+    local = ranged.withColumns(before(*piece)).join(sized(materialize(carried)), piece)
+    local = local.withColumns({f"{c}_before": F.col(f"{c}_before") + F.col(f"_{c}") for c in sums})
+    return usual.withColumns(before("machine_id")).select(*columns).unionByName(local.select(*columns))
+
+
+def calculate_machine_failure_rate_before(events: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Failure rate of a task's machine as known when the task was first scheduled on a real machine.
+
+    Unlike `calculate_machine_failure_rate` it sees only events before that time, so
+    it holds nothing of the task's own end. Null where the machine has no earlier event.
+    """
+    first = events.filter(on_machine()).groupBy(*TASK_KEY).agg(
+        *[at_first(F.col(c), on_machine()).alias(c) for c in ("machine_id", "timestamp")]
+    )
+    history = machine_history(events, hot_rows)
+    rate = F.try_divide("failures_before", "total_before").alias("machine_failure_rate_before")
+    return first.join(history, ["machine_id", "timestamp"]).select(*TASK_KEY, rate)
+
+
 def time_window(window_seconds: int) -> Column:
     """Number of the tumbling window of an event."""
     return bucket(F.col("timestamp"), window_seconds)

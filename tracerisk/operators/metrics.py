@@ -2,32 +2,42 @@
 
 Scored tasks have `label`, `prediction` and `probability`. They are counted per
 score first; every metric then reads that table, written once in score order.
+
+With `by`, columns such as the model and the fold, everything is per group: many
+models are measured in the same few jobs, however many there are and however large each is.
 """
 
+from collections.abc import Sequence
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracerisk.functions import two_sided_p
 from tracerisk.operators.ranges import in_ranges
+from tracerisk.operators.skew import sized
+from tracerisk.sources.shared import materialize
 
+RATES = ["accuracy", "precision", "recall", "f1"]
 
-def score_table(scored: DataFrame) -> DataFrame:
-    """Tasks of either label per probability and prediction, in ranges of falling probability."""
+
+def score_table(scored: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Tasks of either label per group, probability and prediction, in ranges of falling probability."""
     label = F.col("label")
-    counts = scored.groupBy("probability", "prediction").agg(
+    counts = scored.groupBy(*by, "probability", "prediction").agg(
         F.count_if(label == 1).alias("positives"), F.count_if(label == 0).alias("negatives")
     )
-    return in_ranges(counts, [F.col("probability").desc()])
+    return in_ranges(counts, [*by, F.col("probability").desc()])
 
 
 def _total(col: str, where: Column) -> Column:
     return F.coalesce(F.sum(F.when(where, F.col(col))), F.lit(0))
 
 
-def confusion_counts(scores: DataFrame) -> DataFrame:
-    """True and false negatives and positives in one row."""
+def confusion_counts(scores: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """True and false negatives and positives in one row (per group)."""
     hit = F.col("prediction") == 1
-    return scores.agg(
+    return scores.groupBy(*by).agg(
         _total("negatives", ~hit).alias("tn"),
         _total("negatives", hit).alias("fp"),
         _total("positives", ~hit).alias("fn"),
@@ -35,8 +45,8 @@ def confusion_counts(scores: DataFrame) -> DataFrame:
     )
 
 
-def confusion_matrix(scores: DataFrame) -> DataFrame:
-    """The four counts as one row per label and prediction."""
+def confusion_matrix(scores: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """The four counts as one row per label and prediction (and group)."""
     cells = [(0, 0, "tn"), (0, 1, "fp"), (1, 0, "fn"), (1, 1, "tp")]
     rows = [
         F.struct(
@@ -46,7 +56,7 @@ def confusion_matrix(scores: DataFrame) -> DataFrame:
         )
         for label, prediction, name in cells
     ]
-    return confusion_counts(scores).select(F.inline(F.array(*rows)))
+    return confusion_counts(scores, by).select(*by, F.inline(F.array(*rows)))
 
 
 def _ratio(top: Column, bottom: Column) -> Column:
@@ -65,19 +75,28 @@ def _accuracy() -> Column:
     return _ratio(right, right + F.col("fn") + F.col("fp"))
 
 
+def _all_rates() -> list[Column]:
+    return [c.alias(n) for n, c in zip(RATES, (_accuracy(), *_rates("tp", "fp", "fn")))]
+
+
 def classification_metrics(scores: DataFrame, name: str) -> DataFrame:
     """Accuracy, precision, recall, F1 and ROC-AUC in one row."""
-    precision, recall, f1 = _rates("tp", "fp", "fn")
     return confusion_counts(scores).select(
-        F.lit(name).alias("model"),
-        _accuracy().alias("accuracy"),
-        precision.alias("precision"),
-        recall.alias("recall"),
-        f1.alias("f1"),
-        roc_auc(scores).scalar().alias("roc_auc"),
+        F.lit(name).alias("model"), *_all_rates(), roc_auc(scores).scalar().alias("roc_auc")
     )
 
 
+def _same_group(by: Sequence[str], other: str) -> Column:
+    return reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"{other}{c}")) for c in by])
+
+
+def classification_metrics_by(scores: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Accuracy, precision, recall, F1 and ROC-AUC of every group of a score table made with `by`."""
+    areas = roc_auc(scores, by).select(*[F.col(c).alias(f"_a_{c}") for c in by], "roc_auc")
+    rates = confusion_counts(scores, by).select(*by, *_all_rates())
+    return rates.join(areas, _same_group(by, "_a_")).select(*by, *RATES, "roc_auc")
+
+
 def evaluate_model(name: str, scored: DataFrame) -> DataFrame:
     """Metrics of one scored frame."""
     return classification_metrics(score_table(scored), name)
@@ -118,33 +137,39 @@ def classification_report(scores: DataFrame) -> DataFrame:
     return counted.select(F.inline(F.array(*rows)))
 
 
-def _ranked(scores: DataFrame) -> DataFrame:
-    """Per probability: tasks of either label at it and above it, and of the whole frame."""
-    by_score = scores.groupBy("chunk", "probability").agg(
+def _ranked(scores: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Per group and probability: tasks of either label at it and above it, and of the whole group.
+
+    Also `chunk`, the range that holds the probability. A group may span many
+    ranges, and a range many groups; each range of a group gets the totals of those before it.
+    """
+    by = list(by)
+    piece = [*by, "chunk"]
+    by_score = scores.groupBy(*piece, "probability").agg(
         F.sum("positives").alias("positives"), F.sum("negatives").alias("negatives")
     )
-    # One row per range.
-    every = Window.partitionBy(F.lit(0))
+    # No more rows than ranges plus groups.
+    every = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
     before = every.orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = scores.groupBy("chunk").agg(
-        F.sum("positives").alias("p"), F.sum("negatives").alias("n")
-    )
+    sizes = scores.groupBy(*piece).agg(F.sum("positives").alias("p"), F.sum("negatives").alias("n"))
     offsets = sizes.select(
-        "chunk",
+        *[F.col(c).alias(f"_o_{c}") for c in piece],
         F.coalesce(F.sum("p").over(before), F.lit(0)).alias("p_before"),
         F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n_before"),
         F.sum("p").over(every).alias("all_positives"),
         F.sum("n").over(every).alias("all_negatives"),
     )
+    offsets = sized(materialize(offsets)) if by else F.broadcast(offsets)
     upto = (
-        Window.partitionBy("chunk")
+        Window.partitionBy(*piece)
         .orderBy(F.col("probability").desc())
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     local = by_score.withColumns(
         {"p_upto": F.sum("positives").over(upto), "n_upto": F.sum("negatives").over(upto)}
     )
-    return local.join(F.broadcast(offsets), "chunk").select(
+    return local.join(offsets, _same_group(piece, "_o_")).select(
+        *piece,
         "probability",
         "positives",
         "negatives",
@@ -155,26 +180,56 @@ def _ranked(scores: DataFrame) -> DataFrame:
     )
 
 
-def roc_points(scores: DataFrame) -> DataFrame:
-    """False and true positive rate at every distinct probability, from (0, 0) on."""
-    points = _ranked(scores).select(
+def _corners(ranked: DataFrame, by: Sequence[str]) -> DataFrame:
+    """The points where the curve's step changes, and each group's first and last.
+
+    A point goes if the step to it is the step to the next. The next point of a range's
+    last one is the first of the following range of the group: one row per range is exchanged.
+    """
+    piece = [*by, "chunk"]
+    step = F.struct("positives", "negatives")
+    ranked = materialize(ranked)
+    firsts = ranked.groupBy(*piece).agg(F.max_by(step, "probability").alias("_first"))
+    later = (Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))).orderBy("chunk")
+    borders = firsts.select(
+        *[F.col(c).alias(f"_b_{c}") for c in piece], F.lead("_first").over(later).alias("_border")
+    )
+    along = Window.partitionBy(*piece).orderBy(F.col("probability").desc())
+    with_next = ranked.withColumn("_next", F.lead(step).over(along))
+    with_next = with_next.join(sized(materialize(borders)), _same_group(piece, "_b_"))
+    following = F.coalesce("_next", "_border")
+    first = (F.col("tp") == F.col("positives")) & (F.col("fp") == F.col("negatives"))
+    return with_next.filter(first | following.isNull() | (following != step)).select(*ranked.columns)
+
+
+def roc_points(scores: DataFrame, by: Sequence[str] = (), drop_intermediate: bool = False) -> DataFrame:
+    """False and true positive rate at every distinct probability, from (0, 0) on (per group).
+
+    With `drop_intermediate`, points between two equal steps are left out, which
+    changes neither the curve nor its area.
+    """
+    by = list(by)
+    ranked = _ranked(scores, by)
+    points = (_corners(ranked, by) if drop_intermediate else ranked).select(
+        *by,
         F.col("probability").alias("threshold"),
         F.try_divide(F.col("fp").cast("double"), F.col("all_negatives")).alias("fpr"),
         F.try_divide(F.col("tp").cast("double"), F.col("all_positives")).alias("tpr"),
     )
-    spark = scores.sparkSession
-    start = spark.range(1).select(
-        F.lit(float("inf")).alias("threshold"), F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr")
+    groups = scores.select(*by).distinct() if by else scores.sparkSession.range(1)
+    start = groups.select(
+        *by, F.lit(float("inf")).alias("threshold"), F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr")
     )
     return start.unionByName(points)
 
 
-def roc_auc(scores: DataFrame) -> DataFrame:
-    """Exact area under the ROC curve; equal probabilities count half."""
+def roc_auc(scores: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Exact area under the ROC curve (per group); equal probabilities count half."""
     above = F.col("tp") - F.col("positives")
     ordered = F.col("negatives") * (above + F.col("positives") / 2)
     pairs = F.max(F.col("all_positives").cast("double") * F.col("all_negatives"))
-    return _ranked(scores).agg(F.try_divide(F.sum(ordered), pairs).alias("roc_auc"))
+    area = F.try_divide(F.sum(ordered), pairs).alias("roc_auc")
+    return _ranked(scores, by).groupBy(*by).agg(area)
 
 
 def operational_impact(scores: DataFrame) -> DataFrame:

@@ -1,6 +1,6 @@
 """Reading the raw trace."""
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -21,18 +21,18 @@ _TEXT_SCHEMA = T.StructType(
 )
 
 
-def _listed(spark: SparkSession, path: str) -> DataFrame:
-    return (
-        spark.read.format("binaryFile")
-        .option("pathGlobFilter", "*.{csv,csv.gz}")
-        .load(path)
-        .select("path", F.col("_metadata.file_path").alias("_part"))
+def listed_parts(spark: SparkSession, path: str, n_parts: int | None = None) -> list[Row]:
+    """The first `n_parts` parts in name order (all for None): path, uri, part (name), length, modified."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{csv,csv.gz}").load(path)
+    listed = files.select(
+        "path",
+        F.col("_metadata.file_path").alias("uri"),
+        F.col("_metadata.file_name").alias("part"),
+        "length",
+        F.col("modificationTime").alias("modified"),
     )
-
-
-def _parts(spark: SparkSession, path: str, n_parts: int | None) -> list[tuple[str, str]]:
     # One row per file: no longer than the listing that the scan itself keeps on the driver.
-    parts = [(r["path"], r["_part"]) for r in _listed(spark, path).orderBy("path").collect()]
+    parts = listed.orderBy("path").collect()
     if not parts:
         raise FileNotFoundError(f"no .csv or .csv.gz part in {path}")
     return parts if n_parts is None else parts[:n_parts]
@@ -40,7 +40,7 @@ def _parts(spark: SparkSession, path: str, n_parts: int | None) -> list[tuple[st
 
 def list_parts(spark: SparkSession, path: str, n_parts: int | None = None) -> list[str]:
     """Paths of the first `n_parts` CSV parts (plain or gzip) in name order; all for None."""
-    return [p for p, _ in _parts(spark, path, n_parts)]
+    return [r["path"] for r in listed_parts(spark, path, n_parts)]
 
 
 def _whole(col: Column) -> Column:
@@ -72,10 +72,17 @@ def load_trace_parts(
     that is no number where one belongs, is an error; if not `strict`, such values
     are null (see `rejected_rows`). NaN is read as null.
     """
-    parts = _parts(spark, path, n_parts)
-    if len(parts) >= 1 << PART_BITS:
-        raise ValueError(f"{len(parts)} parts; load at most {(1 << PART_BITS) - 1} at a time")
-    names = [(part, i) for i, (_, part) in enumerate(parts)]
+    parts = [(r["path"], r["uri"]) for r in listed_parts(spark, path, n_parts)]
+    return load_parts(spark, parts, strict)
+
+
+def load_parts(
+    spark: SparkSession, parts: list[tuple[str, str]], strict: bool = True, first: int = 0
+) -> DataFrame:
+    """Rows of the given parts (path and URI), numbered from `first` in this order."""
+    if first + len(parts) >= 1 << PART_BITS:
+        raise ValueError(f"{first + len(parts)} parts; load at most {(1 << PART_BITS) - 1}")
+    names = [(part, first + i) for i, (_, part) in enumerate(parts)]
     numbers = spark.createDataFrame(names, "_part string, _no long")
     if len(parts) <= BROADCAST_PARTS:
         numbers = F.broadcast(numbers)
