@@ -57,7 +57,11 @@ def distinct_sketches(
 
 
 def merge_distinct_sketches(sketches: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Sketches of unions of groups; a key in several of them counts once."""
+    """Sketches of unions of groups; a key in several of them counts once.
+
+    A union holds the same registers as a sketch of all rows. Its estimate may differ a little from
+    that of a sketch that was never merged, which also uses the order in which keys came.
+    """
     return sketches.groupBy(*by).agg(F.hll_union_agg("sketch").alias("sketch"))
 
 
