@@ -128,6 +128,50 @@ def test_signatures_estimate_probability_jaccard():
     assert np.mean(agree) == pytest.approx(exact, abs=0.03)
 
 
+def brute_rows(rows):
+    """Class of every row: links between texts, equal texts, and rows that share an id."""
+    ids = {}
+    for i, (doc, _) in enumerate(rows):
+        ids.setdefault(doc, []).append(i)
+    classes = brute([(i, t) for i, (_, t) in enumerate(rows)])
+    changed = True
+    while changed:
+        changed = False
+        for same in [*ids.values(), *[[i for i in classes if classes[i] == c] for c in set(classes.values())]]:
+            least = min(classes[i] for i in same)
+            for i in same:
+                changed |= classes[i] != least
+                classes[i] = least
+    of = {c: min(rows[i][0] for i in classes if classes[i] == c) for c in set(classes.values())}
+    return sorted((doc, of[classes[i]]) for i, (doc, _) in enumerate(rows))
+
+
+@pytest.mark.parametrize("near", [False, True])
+def test_shared_ids_and_repeated_rows(spark, near):
+    """As many rows as go in, one class per id, with and without texts that share a bucket."""
+    draw = random.Random(6)
+    texts = [" ".join(f"w{draw.randrange(10**6)}" for _ in range(40)) for _ in range(12)]
+    rows = [(0, texts[0]), (1, texts[0]), (1, texts[1]), (5, texts[2]), (5, texts[2]), (9, texts[3]), (3, texts[1])]
+    rows += [(20 + k, t) for k, t in enumerate(texts[4:])]
+    if near:
+        rows += [(40, texts[5] + " more"), (2, texts[6] + " more"), (40, texts[9])]
+    draw.shuffle(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = near_dedup.near_duplicates(docs).collect()
+    assert sorted(tuple(r) for r in got) == brute_rows(rows)
+    kept = near_dedup.drop_near_duplicates(docs).collect()
+    assert sorted(r.doc_id for r in kept) == sorted({c for _, c in brute_rows(rows)})
+
+
+def test_repeats_bring_a_weighted_signature(spark):
+    words = [f"w{i}" for i in range(30)]
+    docs = [(0, 0, b"a", " ".join(words)), (1, 1, b"b", " ".join(words + words[:6] * 20)), (2, 2, b"c", " ")]
+    signed = near_dedup._signed(spark.createDataFrame(docs, "row long, doc_id long, digest binary, text string"))
+    bands = {r.row: r.bands for r in signed.collect()}
+    assert all(len(b) == len(set(b)) for b in bands.values())
+    assert len(bands[0]) == near_dedup.BANDS < len(bands[1]) and bands[2] == []
+
+
 def test_edges(spark):
     docs = edge_documents(spark)
     got = near_dedup.near_duplicates(docs).collect()
@@ -137,7 +181,7 @@ def test_edges(spark):
     assert [r.class_id for r in got if r.doc_id is None] == [None, None]
     kept = near_dedup.drop_near_duplicates(docs)
     assert kept.columns == docs.columns
-    assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(["1", "1", "2", "4", "5", "7", "8", "9", "None", "None"])
+    assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(["1", "2", "4", "5", "7", "8", "9", "None", "None"])
     assert near_dedup.near_duplicates(no_documents(spark)).collect() == []
 
 

@@ -126,10 +126,13 @@ def _lists(values: np.ndarray, sizes: np.ndarray) -> pa.ListArray:
 
 
 def _signed(docs: DataFrame) -> DataFrame:
-    """doc_id and bands of every text; no bands for texts without words.
+    """row, doc_id, digest and bands of every text; no bands for texts without words.
 
-    Every distinct shingle weighs 1: then two signatures agree with the Jaccard
-    similarity of the sets, the measure that links are verified by.
+    A text with repeated shingles has two signatures, so up to twice the bands. In one a shingle weighs as often
+    as it occurs: two of these agree with the probability Jaccard similarity of the weighted shingles,
+    which brings texts together whose repeated passages agree. In the other every shingle weighs 1: two of
+    these agree with the Jaccard similarity of the sets, the measure that links are verified
+    by, so that repeats hide no link. Without repeats both are the same.
     """
     made: list[Shingler] = []
 
@@ -137,12 +140,24 @@ def _signed(docs: DataFrame) -> DataFrame:
         if not made:
             made.append(Shingler())
         shingles, counts = made[0](texts)
-        text, element, _ = weighted_sets(shingles, counts)
+        text, element, weight = weighted_sets(shingles, counts)
         keys = band_keys(probminhash(text, element, np.ones(len(text)), len(texts)))
-        some = counts > 0
-        return [_lists(keys[some].reshape(-1), np.where(some, BANDS, 0))]
-
-    return with_columns(docs, "text", "bands array<bigint>", run, keep=["doc_id", "digest"])
+        # Texts with repeats a second time, numbered on from the others.
+        repeats = np.flatnonzero(np.bincount(text, weight > 1, len(texts)))
+        place = np.full(len(texts), -1)
+        place[repeats] = np.arange(len(repeats))
+        own = place[text] >= 0
+        weighted = probminhash(place[text[own]], element[own], weight[own].astype(float), len(repeats))
+        weighted = band_keys(weighted)
+        both = np.concatenate([keys, weighted])
+        # Where both signatures agree, a band is listed once.
+        new = np.concatenate([np.repeat((counts > 0)[:, None], BANDS, 1), weighted != keys[repeats]])
+        order = np.argsort(np.concatenate([np.arange(len(texts)), repeats]), kind="stable")
+        sizes = new[: len(texts)].sum(axis=1)
+        sizes[repeats] += new[len(texts) :].sum(axis=1)
+        return [_lists(both[order][new[order]], sizes)]
+
+    return with_columns(docs, "text", "bands array<bigint>", run, keep=["row", "doc_id", "digest"])
 
 
 def _shingled(docs: DataFrame) -> DataFrame:
@@ -226,20 +241,20 @@ def near_duplicates(
 
     One row per row that goes in. Null texts count as empty; empty texts are copies
     of each other, and so are texts of white space alone that are equal. Rows that
-    share an id share a class. A row without an id is in no class (class_id null).
+    share an id share a class, whatever their texts: an id is a link. A row without an id is in no class (class_id null).
     Columns of `docs` other than the two don't matter.
     """
     rows = docs.select(
         F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(text, F.lit("")).alias("text")
     )
     rows = rows.withColumn("digest", F.unhex(F.md5("text")))
-    signed = materialize(_signed(rows))
+    signed = materialize(_signed(rows.withColumn("row", F.monotonically_increasing_id())))
     known = signed.filter(F.col("doc_id").isNotNull())
     # Written before the joins below: Spark splits a large key only between two plain shuffles.
-    first = materialize(known.groupBy("digest").agg(F.min("doc_id").alias("node")))
+    first = materialize(known.groupBy("digest").agg(F.min("row").alias("node"), F.min("doc_id").alias("first_id")))
     together = materialize(
         known.join(first, "digest").select(
-            "doc_id", "node", F.when(F.col("doc_id") == F.col("node"), F.col("bands")).alias("bands")
+            "doc_id", "node", F.when(F.col("row") == F.col("node"), F.col("bands")).alias("bands")
         )
     )
     keyed = together.filter(F.col("bands").isNotNull()).select(
@@ -250,10 +265,14 @@ def near_duplicates(
     scores = materialize(met.groupBy("node").agg(F.sum("size").alias("score")))
     members = materialize(met.join(scores, "node").distinct())
     nodes = materialize(scores.select("node"))
-    texts = rows.select(F.col("doc_id").alias("node"), "text").join(small(nodes), "node", "left_semi")
+    # Of a text's copies, those of the least id stand for all.
+    wanted = first.join(small(nodes), "node").withColumnRenamed("first_id", "doc_id")
+    texts = rows.join(small(materialize(wanted)), ["digest", "doc_id"]).select("node", "text")
     shingles = materialize(_shingled(texts).dropDuplicates(["node"]))
 
-    links, used, tested, labels = None, None, None, None
+    links, used, tested, labels = _id_links(together), None, None, None
+    if links is not None:
+        labels = materialize(components(links))
     for k in range(rounds):
         if labels is None:
             candidates = materialize(_pairs(members, None, None))
@@ -272,26 +291,44 @@ def near_duplicates(
         pivots = candidates.select("key", "pivot").distinct()
         used = materialize(pivots if used is None else used.unionByName(pivots))
         tested = pairs if tested is None else tested.unionByName(pairs)
-    if labels is None:
-        return signed.select("doc_id").join(
-            together.select("doc_id", "node").distinct(), "doc_id", "left"
-        ).select("doc_id", F.col("node").alias("class_id"))
-    few = _small_groups(members, labels)
-    many = _prefix_pairs(_open_texts(members, labels), shingles, similarity)
-    pairs = materialize(_ordered(few.unionByName(many)).join(tested, ["a", "b"], "left_anti"))
-    if not pairs.isEmpty():
-        found = materialize(_linked(pairs, shingles, similarity))
-        if not found.isEmpty():
-            labels = materialize(components(links.unionByName(found)))
-    classes = together.join(labels, "node", "left").select(
-        "doc_id", F.coalesce("component", "node").alias("class_id")
-    )
+    if tested is not None:
+        few = _small_groups(members, labels)
+        many = _prefix_pairs(_open_texts(members, labels), shingles, similarity)
+        pairs = materialize(_ordered(few.unionByName(many)).join(tested, ["a", "b"], "left_anti"))
+        if not pairs.isEmpty():
+            found = materialize(_linked(pairs, shingles, similarity))
+            if not found.isEmpty():
+                labels = materialize(components(links.unionByName(found)))
+    classes = together.select("doc_id", "node").join(_class_ids(first, labels), "node").select("doc_id", "class_id")
     without = signed.filter(F.col("doc_id").isNull()).select(
         "doc_id", F.lit(None).cast("long").alias("class_id")
     )
     return classes.unionByName(without)
 
 
+def _id_links(together: DataFrame) -> DataFrame | None:
+    """Links between the texts that share an id; None if there are none."""
+    named = materialize(together.select("doc_id", "node").distinct())
+    several = named.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("z")).filter("a != z")
+    several = materialize(several.select("doc_id", "a"))
+    if several.isEmpty():
+        return None
+    links = named.join(several, "doc_id").filter("node != a").select("a", F.col("node").alias("b"))
+    return materialize(links)
+
+
+def _class_ids(first: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """node and class_id, the least id of all texts of its component."""
+    own = first.select("node", "first_id")
+    if labels is None:
+        return own.withColumnRenamed("first_id", "class_id")
+    linked = labels.join(own, "node")
+    least = materialize(linked.groupBy("component").agg(F.min("first_id").alias("least")))
+    reached = materialize(labels.join(small(least), "component").select("node", "least"))
+    found = own.join(small(reached), "node", "left")
+    return materialize(found.select("node", F.coalesce("least", "first_id").alias("class_id")))
+
+
 def _ordered(pairs: DataFrame) -> DataFrame:
     """The distinct pairs, the lesser node first."""
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
@@ -389,9 +426,17 @@ def drop_near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc
     """Keep one document of each class, the one with the least id; rows without an id stay.
 
     All columns stay. The ids that go are broadcast up to a checked number, else
-    joined by shuffle. If rows share an id, one of them stays, if any.
+    joined by shuffle. Of the rows that share the least id, repeated rows too, an arbitrary one stays.
     """
-    gone = near_duplicates(docs, text, doc_id).filter(F.col("doc_id") != F.col("class_id"))
-    gone = materialize(gone.select(F.col("doc_id").alias("_gone")).distinct())
-    kept = docs.join(small(gone), F.col(doc_id) == F.col("_gone"), "left_anti")
-    return kept
+    classes = materialize(near_duplicates(docs, text, doc_id))
+    gone = classes.filter(F.col("doc_id") != F.col("class_id"))
+    gone = materialize(gone.select(F.col("doc_id").alias("_id")).distinct())
+    kept = docs.join(small(gone), F.col(doc_id) == F.col("_id"), "left_anti")
+    least = classes.filter(F.col("doc_id") == F.col("class_id"))
+    several = least.groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("_n")).filter("_n > 1")
+    several = materialize(several.select("_id"))
+    if several.isEmpty():
+        return kept
+    # Only rows of ids that occur several times are shuffled; most of them go before it.
+    apart = kept.join(small(several), F.col(doc_id) == F.col("_id"), "left_semi").dropDuplicates([doc_id])
+    return kept.join(small(several), F.col(doc_id) == F.col("_id"), "left_anti").unionByName(apart)
