@@ -33,6 +33,23 @@ def test_recall_of_the_query(spark, small):
             assert abs(s - np.dot(np.array(by_id[q], float), np.array(by_id[i], float))) < 1e-12
 
 
+def test_a_long_vector_blunts_no_other(spark):
+    draw = np.random.default_rng(2)
+    unit = draw.normal(size=(2000, 32))
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    for scale in (1e4, 1e8, 1e30, 1e200):
+        rows = [(i, list(map(float, v))) for i, v in enumerate(unit)]
+        rows[7] = (7, [x * scale for x in rows[7][1]])
+        rows[8] = (8, [x / scale for x in rows[8][1]])
+        table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+        truth = brute_nearest(rows, [r for r in rows if r[0] % 100 == 0], 20)
+        found = {}
+        for r in ann.nearest_neighbours(table, table.filter("vec_id % 100 = 0")).collect():
+            found.setdefault(r.query_id, set()).add(r.vec_id)
+        hits = sum(len({i for i, _ in truth[q]} & found[q]) for q in truth)
+        assert hits >= 0.95 * 20 * len(truth)
+
+
 def test_lengths_ties_and_odd_vectors(spark):
     draw = np.random.default_rng(4)
     rows = [(i, list(map(float, draw.normal(size=6) * draw.uniform(0.2, 5)))) for i in range(400)]

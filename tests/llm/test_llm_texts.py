@@ -5,6 +5,7 @@ import random
 import re
 import zlib
 
+import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
@@ -230,6 +231,61 @@ def test_licenses(spark):
     assert license_scan.scan_licenses(edge_documents(spark), F.col("source")).count() == 11
 
 
+PHRASES = [
+    ("Copyright 2024 Foo. All rights reserved.", "proprietary"),
+    ("Foo, all rights reserved.", "proprietary"),
+    ("released under the MIT License, see LICENSE", "MIT"),
+    ("This file is released under the MIT License, see LICENSE", "MIT"),
+    ("licensed under CC BY 4.0 by its author", "CC-BY-4.0"),
+    ("the rights of the author are not known to all of us here", None),
+    ("she was granted a copy of the work by the source", None),
+]
+SHARES = {"all": 0.3, "rights": 0.01, "reserved": 0.01, "the": 0.9, "under": 0.2, "by": 0.4, "license": 0.01, "of": 0.8, "a": 0.9}
+
+
+@pytest.mark.parametrize("n", [1_000, 1_000_000, 10**9])
+def test_licenses_are_found_in_a_corpus_of_any_size(n):
+    seen = {w: int(s * n) for w, s in SHARES.items()}
+    match = license_scan.Matcher(license_scan.TEMPLATES, seen, n)
+    small = license_scan.Matcher(license_scan.TEMPLATES, {w: int(s * 1000) for w, s in SHARES.items()}, 1000)
+    for text, name in PHRASES:
+        found = match(text, license_scan.LEAST_COSINE)
+        assert found[0] == name, text
+        assert found[1] == pytest.approx(small(text, license_scan.LEAST_COSINE)[1], abs=1e-12)
+
+
+def test_license_cosine_same_as_brute_force(spark, small):
+    """Dense vectors over all words of a text and the templates."""
+    docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text").collect()
+    texts = {d.doc_id: d.text or "" for d in docs}
+    words_in = {w: sum(w in set(license_scan.words_of(t)) for t in texts.values())
+                for _, t in license_scan.TEMPLATES for w in license_scan.words_of(t)}
+    weight = {w: 1 - np.log(max(k / len(texts), license_scan.LEAST_SHARE)) for w, k in words_in.items()}
+    rows = {r.doc_id: r for r in catalog.op7_license_scan(spark, small).collect()}
+    assert rows.keys() == texts.keys()
+    for i, text in list(texts.items())[::7]:
+        best = 0.0
+        for words in license_scan.headers(text):
+            for _, template in license_scan.TEMPLATES:
+                other = license_scan.words_of(template)
+                names = sorted({*words, *other})
+                x = np.array([words.count(w) * weight.get(w, license_scan.WORD_WEIGHT) for w in names])
+                y = np.array([other.count(w) * weight.get(w, license_scan.WORD_WEIGHT) for w in names])
+                best = max(best, float(x @ y / np.sqrt((x @ x) * (y @ y))))
+        assert rows[i].cosine == pytest.approx(best, abs=1e-9)
+
+
+def test_license_files_by_name_and_nearest_ancestor(spark):
+    body = " ".join(f"word{i}" for i in range(200))
+    rows = [(1, "a/LICENSE.txt", f"Released under the MIT License.\n{body}"), (2, "a/b/c/d/x", "plain"), (3, "z/x", "plain"),
+            (4, "a/b/COPYING", f"{body}\nLicensed under CC BY 4.0."), (5, "a/q", "plain"), (6, "a/b/licenses", f"{body}\nAll rights reserved.")]
+    docs = spark.createDataFrame(rows, "doc_id long, path string, text string")
+    for frame in (docs, *[docs.unionByName(docs).unionByName(docs)]):
+        got = {r.doc_id: (r.license, r.origin) for r in license_scan.scan_licenses(frame, F.col("path")).collect()}
+        assert got == {1: ("MIT", "file"), 2: ("CC-BY-4.0", "inherited"), 3: (None, "none"), 4: ("CC-BY-4.0", "file"),
+                       5: ("MIT", "inherited"), 6: ("proprietary", "header")}
+
+
 def test_blocks_hold_whole_texts():
     import pyarrow as pa
 

@@ -12,6 +12,8 @@ from tracerisk.sources import materialize
 
 # Distinct vectors of a shard, at most on average, and shards at least.
 SHARD_ROWS, LEAST_SHARDS = 50_000, 6
+# Vectors share a shard if their largest components lie within the same 2^GRADE.
+GRADE = 3
 # Neighbours on the upper layers (the lowest has twice as many), and beam widths.
 LINKS, BUILD_BEAM, SEARCH_BEAM = 16, 48, 96
 # Queries that one task of a shard takes, and those that walk the graph in step.
@@ -106,15 +108,22 @@ def _diverse(points: np.ndarray, row: int, near: np.ndarray, most: int) -> np.nd
     return near[np.array([*chosen, *rest[: most - len(chosen)]], int)]
 
 
+def _extended(vectors: np.ndarray) -> np.ndarray:
+    """The vectors over the length of the longest, with the component that brings all to that length, in float32."""
+    scaled = vectors / max(np.abs(vectors).max(initial=0), np.finfo(float).tiny)
+    length = (scaled**2).sum(1)
+    longest = length.max(initial=0) or 1.0
+    extra = np.sqrt(np.maximum(longest - length, 0))
+    return (np.column_stack([scaled, extra]) / np.sqrt(longest)).astype(np.float32)
+
+
 def build_graph(vectors: np.ndarray, seed: int = 1) -> Graph:
     """Insert rows in growing batches, each searched in the graph of the rows before it.
 
     A row's layers follow the usual exponential draw, seeded. Within a batch, rows
     also see the batch itself, so none is left without neighbours.
     """
-    length = (vectors.astype(np.float64) ** 2).sum(1)
-    extra = np.sqrt(np.maximum(length.max(initial=0) - length, 0)).astype(np.float32)
-    points = np.column_stack([vectors.astype(np.float32), extra])
+    points = _extended(vectors)
     n = len(points)
     rng = np.random.default_rng(seed)
     level = np.minimum((-np.log(1 - rng.random(n)) / np.log(LINKS)).astype(int), 8)
@@ -173,7 +182,7 @@ def usable_vectors(table: DataFrame, vector: str, vec_id: str) -> DataFrame:
 
 
 def _distinct(vectors: DataFrame, k: int) -> DataFrame:
-    """One row per distinct vector: v and its k smallest ids, ascending.
+    """One row per distinct vector: v, its k smallest ids, ascending, and its grade by size (`GRADE`).
 
     Each task first reduces its own copies, so a vector that a third of all rows
     share crosses the shuffle once per task.
@@ -194,11 +203,13 @@ def _distinct(vectors: DataFrame, k: int) -> DataFrame:
             yield _frame(own)
 
     def _frame(own):
-        return pd.DataFrame({"v": list(own), "ids": [sorted(set(x))[:k] for x in own.values()]})
+        largest = [np.abs(np.frombuffer(v, np.float64)).max() for v in own]
+        grade = np.floor(np.log2(largest) / GRADE).astype(np.int32)
+        return pd.DataFrame({"v": list(own), "grade": grade, "ids": [sorted(set(x))[:k] for x in own.values()]})
 
-    partial = vectors.mapInPandas(run, "v binary, ids array<bigint>")
-    together = partial.groupBy("v").agg(F.flatten(F.collect_list("ids")).alias("ids"))
-    return together.select("v", F.slice(F.array_sort(F.array_distinct("ids")), 1, k).alias("ids"))
+    partial = vectors.mapInPandas(run, "v binary, grade int, ids array<bigint>")
+    together = partial.groupBy("v", "grade").agg(F.flatten(F.collect_list("ids")).alias("ids"))
+    return together.select("v", "grade", F.slice(F.array_sort(F.array_distinct("ids")), 1, k).alias("ids"))
 
 
 def _matrix(raw, dim: int) -> np.ndarray:
@@ -229,8 +240,33 @@ def build_index(distinct: DataFrame, dim: int, shards: int) -> DataFrame:
             }
         )
 
-    dealt = distinct.repartition(shards, "shard")
-    return dealt.groupBy("shard").applyInPandas(run, f"{INDEX_SCHEMA}, ids array<array<bigint>>")
+    def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        parts = list(batches)
+        if parts:
+            for _, group in pd.concat(parts).groupby("shard"):
+                yield run(group)
+
+    # A shard is a partition, so no task gets two.
+    dealt = distinct.repartitionById(shards, "shard")
+    return dealt.mapInPandas(build, f"{INDEX_SCHEMA}, ids array<array<bigint>>")
+
+
+def _dealt(distinct: DataFrame, shard_rows: int) -> tuple[DataFrame, int]:
+    """The vectors with `shard`, and the number of shards: those of a grade are dealt by hash among its shards.
+
+    Products are compared in float32 with vectors brought to one length, which a single
+    long vector would blunt for all others of its shard. Grades are few: a double has at most 2,100 / GRADE.
+    """
+    sizes = distinct.groupBy("grade").agg(F.count("*").alias("n")).orderBy("grade").collect()
+    least = -(-LEAST_SHARDS // len(sizes))
+    rows, total = [], 0
+    for r in sizes:
+        own = max(least if r["n"] >= LEAST_SHARDS else 1, -(-r["n"] // shard_rows))
+        rows.append((r["grade"], total, own))
+        total += own
+    starts = distinct.sparkSession.createDataFrame(rows, "grade int, _start int, _own int")
+    shard = F.col("_start") + F.pmod(F.xxhash64("v"), F.col("_own")).cast("int")
+    return distinct.join(F.broadcast(starts), "grade").select("v", "ids", shard.alias("shard")), total
 
 
 def nearest_neighbours(
@@ -245,8 +281,8 @@ def nearest_neighbours(
     """The k largest inner products of each query: query_id, rank, vec_id, score.
 
     Equal vectors are indexed once, with their k + 1 smallest ids: more can't be
-    among the k nearest of any query. The distinct vectors are dealt by hash to
-    shards, whose number grows with them; each shard becomes one row of a written
+    among the k nearest of any query. The distinct vectors are dealt to shards by size and hash
+    (`_dealt`), so that long vectors don't blunt the search among short ones; the number of shards grows with them; each shard becomes one row of a written
     index, and blocks of queries search each shard. The score is the product of the
     original vectors in doubles, and the lists of the shards are merged per query
     (at most shards x k rows). A query's own row is left out; ties go to the smaller id.
@@ -266,9 +302,8 @@ def nearest_neighbours(
     if not size["n"] or not asked["n"]:
         return vectors.sparkSession.createDataFrame([], schema)
     dim = max(size["b"] // 8, asked["d"])
-    shards = max(LEAST_SHARDS, -(-size["n"] // shard_rows))
     blocks = -(-asked["n"] // QUERY_BLOCK)
-    dealt = distinct.withColumn("shard", F.pmod(F.xxhash64("v"), F.lit(shards)).cast("int"))
+    dealt, shards = _dealt(distinct, shard_rows)
     index = materialize(build_index(dealt, dim, shards))
 
     every_block = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block")
@@ -283,14 +318,14 @@ def nearest_neighbours(
             return empty
         row = graphs.iloc[0]
         base = np.frombuffer(row["vectors"], np.float64).reshape(row["n"], dim)
-        length = (base**2).sum(1)
-        extra = np.sqrt(np.maximum(length.max() - length, 0)).astype(np.float32)
         layers = [np.frombuffer(x, np.int32).reshape(row["n"], -1) for x in row["layers"]]
-        graph = Graph(np.column_stack([base.astype(np.float32), extra]), layers, row["entry"])
+        graph = Graph(_extended(base), layers, row["entry"])
         own = np.zeros((len(asked), dim))
         for i, v in enumerate(asked["v"]):
             own[i, : len(v)] = v
-        flat = np.column_stack([own, np.zeros(len(own))]).astype(np.float32)
+        # A query's length doesn't change its order; at most 1 in each component, it fits float32.
+        unit = own / np.abs(own).max(axis=1, keepdims=True)
+        flat = np.column_stack([unit, np.zeros(len(own))]).astype(np.float32)
         near, _ = graph.search(flat, max(beam, 2 * k))
         out = []
         for q, vector, rows in zip(asked["query_id"], own, near, strict=True):

@@ -84,9 +84,15 @@ def op6_language_id(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op7_license_scan(spark: SparkSession, folder: str) -> DataFrame:
-    """Licence of every document; its path is source, hundred of the id, id."""
-    hundred = F.expr("doc_id div 100").cast("string")
-    path = F.concat_ws("/", "source", hundred, F.col("doc_id").cast("string"))
+    """Licence of every document; its path is source, thousand, hundred and ten of the id, id.
+
+    Every tenth document lies at the hundred's level, every hundredth at the thousand's: files at several depths.
+    """
+    digits = [F.expr(f"doc_id div {k}").cast("string") for k in (1000, 100, 10)]
+    own = F.col("doc_id").cast("string")
+    deep = F.concat_ws("/", "source", *digits, own)
+    path = F.when(F.col("doc_id") % 100 == 0, F.concat_ws("/", "source", digits[0], own))
+    path = path.when(F.col("doc_id") % 10 == 0, F.concat_ws("/", "source", *digits[:2], own)).otherwise(deep)
     return license_scan.scan_licenses(_table(spark, folder, "documents"), path)
 
 

@@ -32,6 +32,11 @@ HEADER_WORDS, STEP = 32, 16
 LEAST_COSINE = 0.75
 # Share of a text's words that its licence text has in a licence file.
 FILE_SHARE = 0.5
+# Names that make a file with licence text a licence file (fixed values).
+FILE_NAMES = "(?i)^(licen[cs]e|copying|unlicense)([.-][a-z0-9.-]+)?$"
+# Words rarer than this share of the documents weigh as if they had it, and words outside the templates
+# weigh WORD_WEIGHT: so weights, hence verdicts, depend on shares only, not on the size of the corpus.
+LEAST_SHARE, WORD_WEIGHT = 1e-3, 3.0
 FOUND = "license string, cosine double, is_file boolean"
 
 
@@ -49,13 +54,14 @@ def headers(text: str) -> Iterator[list[str]]:
 
 
 class Matcher:
-    """Sparse TF-IDF vectors of the templates; words outside them count as seen once."""
+    """Sparse TF-IDF vectors of the templates; words outside them have a fixed weight."""
 
     def __init__(self, templates: Sequence[tuple[str, str]], seen: dict[str, int], n: int):
         self.templates = [(name, Counter(words_of(t))) for name, t in templates]
         vocabulary = set().union(*(c for _, c in self.templates))
-        self.idf = {w: log((n + 1) / (min(seen.get(w, 0), n) + 1)) + 1 for w in vocabulary}
-        self.other = log((n + 1) / 2) + 1
+        share = {w: min(seen.get(w, 0), n) / n if n else 0.0 for w in vocabulary}
+        self.idf = {w: 1 - log(max(s, LEAST_SHARE)) for w, s in share.items()}
+        self.other = WORD_WEIGHT
         self.rows: dict[str, list[tuple[int, float]]] = {}
         self.norms = []
         for i, (_, words) in enumerate(self.templates):
@@ -131,7 +137,7 @@ def scan_licenses(
 
     Every line of every whole text is compared with the templates by the cosine of
     TF-IDF vectors, whose document frequencies come from all documents. `origin` is
-    `file` where licence text makes up half of the words, `header` for other texts
+    `file` where licence text makes up half of the words or the file is named as licence files are, `header` for other texts
     with a licence, `inherited` for texts without one that have a licence file in
     their directory or the nearest directory above, and `none`.
     Of several files in a directory the one with the largest cosine counts, then the smallest path
@@ -154,6 +160,9 @@ def scan_licenses(
         return [list(x) for x in zip(*found, strict=True)]
 
     scanned = with_columns(rows, "text", FOUND, run, keep=["doc_id", "path"])
+    name = F.regexp_extract("path", "[^/]*$", 0)
+    called = F.coalesce(F.regexp_like(name, F.lit(FILE_NAMES)), F.lit(False))
+    scanned = scanned.withColumn("is_file", F.col("license").isNotNull() & (F.col("is_file") | called))
     scanned = materialize(scanned.withColumn("dir", parent(F.col("path"))))
     order = F.struct((-F.col("cosine")).alias("c"), "path", "doc_id", "license")
     files = (
