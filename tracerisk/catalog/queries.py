@@ -106,7 +106,8 @@ def clean_e(spark, folder):
 
 
 def clean_l(spark, folder):
-    return clean.clean_trace(trace_from_lineitem(spark, folder))
+    # Written once: cleaning reads the raw rows twice, and the adapter joins two tables.
+    return clean.clean_trace(materialize(trace_from_lineitem(spark, folder)))
 
 
 def matrix_e(spark, folder):
@@ -756,7 +757,7 @@ def class_weights(spark, folder):
 @query
 def standard_scale(spark, folder):
     """All rows of the matrix, scaled with mean and deviation of the train rows."""
-    parts = materialize(split.stratified_split(materialize(matrix_l(spark, folder))))
+    parts = split.stratified_split(materialize(matrix_l(spark, folder)))
     scaled = models.scale_columns(parts.filter(F.col("split") == "train"), parts, ALL_FEATURES)
     return rounded(scaled.select(*TASK_KEY, "split", *ALL_FEATURES))
 

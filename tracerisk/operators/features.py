@@ -206,19 +206,26 @@ def waiting_priority(events: DataFrame, window_seconds: int = 60) -> DataFrame:
     )
 
 
-def _schedules_with_waiting(events: DataFrame, window_seconds: int) -> DataFrame:
-    waiting, small = stage_lookup(waiting_priority(events, window_seconds))
+def _schedules_with_waiting(
+    events: DataFrame, window_seconds: int, staged: tuple[DataFrame, bool] | None = None
+) -> DataFrame:
+    waiting, small = staged or stage_lookup(waiting_priority(events, window_seconds))
     scheduled = events.filter(F.col("event_type") == SCHEDULE).select(
         *TASK_KEY, EVENT_NO, "priority", time_window(window_seconds).alias("time_window")
     )
     return lookup(scheduled, waiting, ["time_window"], rows="schedules", small=small)
 
 
-def calculate_priority_gap(events: DataFrame, window_seconds: int = 60) -> DataFrame:
-    """Highest waiting priority minus own priority, at the first SCHEDULE where both are known."""
+def calculate_priority_gap(
+    events: DataFrame, window_seconds: int = 60, staged: tuple[DataFrame, bool] | None = None
+) -> DataFrame:
+    """Highest waiting priority minus own priority, at the first SCHEDULE where both are known.
+
+    `staged` is the table of `waiting_priority` from `stage_lookup`, where it is at hand.
+    """
     gap = F.col("max_waiting_priority") - F.col("priority")
     first = first_known(gap).alias("priority_inversion_flag")
-    return _schedules_with_waiting(events, window_seconds).groupBy(*TASK_KEY).agg(first)
+    return _schedules_with_waiting(events, window_seconds, staged).groupBy(*TASK_KEY).agg(first)
 
 
 def calculate_priority_inversion(events: DataFrame, window_seconds: int = 60) -> DataFrame:

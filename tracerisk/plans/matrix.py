@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracerisk.functions import at_first
+from tracerisk.functions import at_first, first_known
 from tracerisk.operators.features import (
     calculate_priority_gap,
     elapsed,
@@ -11,6 +11,8 @@ from tracerisk.operators.features import (
     on_machine,
     schedules_per_slot,
     start_times,
+    time_window,
+    waiting_priority,
     with_concurrency,
 )
 from tracerisk.operators.labels import failed, final_state, is_terminal
@@ -20,6 +22,7 @@ from tracerisk.schema import (
     MATRIX_COLUMNS,
     NO_MACHINE,
     NOVEL_FEATURES,
+    SCHEDULE,
     TASK_KEY,
 )
 from tracerisk.sources.shared import materialize
@@ -53,8 +56,9 @@ def feature_matrix(
 
     The events are written once (unless they are a written table already) and
     scanned four times, each time with few columns: per machine, per machine and
-    window, per waiting window, and per task. Only the last two shuffle by task,
-    on the same key, so their join moves nothing more.
+    window, per waiting window, and per task. Rows carry the highest waiting priority of their
+    window into the one aggregate per task if that table is small enough to broadcast; if not,
+    the gap is an aggregate of its own, on the same key.
     """
     events = events if written else materialize(events)
     code = F.col("event_type")
@@ -70,9 +74,19 @@ def feature_matrix(
         )
     )
 
+    waiting = stage_lookup(waiting_priority(events, priority_window_seconds))
+    if waiting[1]:
+        window = time_window(priority_window_seconds).alias("time_window")
+        carried = lookup(events.select("*", window), waiting[0], ["time_window"], small=True)
+        own_gap = F.when(code == SCHEDULE, F.col("max_waiting_priority") - F.col("priority"))
+        gap = [first_known(own_gap).alias("priority_inversion_flag")]
+    else:
+        carried, gap = events, []
+
     tasks = (
-        events.groupBy(*TASK_KEY)
+        carried.groupBy(*TASK_KEY)
         .agg(
+            *gap,
             *final_state(),
             *start_times(),
             *first_slot(window_seconds, "slot_machine"),
@@ -88,8 +102,10 @@ def feature_matrix(
                 "machine_id": F.col("slot_machine"),
             }
         )
-        .join(calculate_priority_gap(events, priority_window_seconds), TASK_KEY, "left")
     )
+    if not gap:
+        apart = calculate_priority_gap(events, priority_window_seconds, waiting)
+        tasks = tasks.join(apart, TASK_KEY, "left")
     tasks = with_concurrency(tasks, schedules_per_slot(events, window_seconds))
 
     rate = F.try_divide("failures", "total").alias("machine_failure_rate")
