@@ -188,8 +188,9 @@ def _hits(sets: DataFrame, tokens: str) -> DataFrame:
     """Sets of which another class has some of these tokens among its own, and how many: node, hits."""
     rows = sets.select("node", "class", F.explode(tokens).alias("token"))
     shared = rows.groupBy("token").agg(F.min("class").alias("x"), F.max("class").alias("y")).filter("x != y")
+    # Tables of tokens grow with the corpus: always joined by shuffle.
     shared = materialize(shared.select("token"))
-    return materialize(rows.join(_small(shared), "token", "left_semi").groupBy("node").agg(F.count("*").alias("hits")))
+    return materialize(rows.join(shared, "token", "left_semi").groupBy("node").agg(F.count("*").alias("hits")))
 
 
 def _surviving(sets: DataFrame, tokens: str, percent: int, earlier: Column) -> DataFrame:
@@ -216,7 +217,7 @@ def _candidates(sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
         F.count("*").alias("df"), F.min("class").alias("x"), F.max("class").alias("y")
     )
     shared = materialize(shared.filter("x != y").select("token", F.floor(F.log2("df")).alias("grade")))
-    own = flat.join(_small(shared), "token").groupBy("node", "class", "n").agg(
+    own = flat.join(shared, "token").groupBy("node", "class", "n").agg(
         F.collect_list(F.struct("grade", "token")).alias("some")
     )
     room = (_prefix(F.col("n"), percent) - (F.col("n") - F.size("some"))).cast("int")
@@ -241,7 +242,7 @@ def _candidates(sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     # A token's largest class meets only the others; many rows are dealt over salts.
     salts = _up(F.col("shorts"), SALT_ROWS).cast("int").alias("salts")
     per_token = materialize(per_token.filter("rows > most and shorts > 0").select("token", "main", salts))
-    met = materialize(rows.join(_small(per_token), "token"))
+    met = materialize(rows.join(per_token, "token"))
     in_main = F.col("class") == F.col("main")
     salt = F.pmod(F.xxhash64("node"), F.col("salts")).cast("int")
     left = met.filter("short").select(
