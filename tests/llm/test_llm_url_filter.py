@@ -1,3 +1,5 @@
+import time
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -61,3 +63,17 @@ def test_any_urls(spark, urls):
     assert {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in rows} == {
         i: brute(u, rules) for i, u in enumerate(urls)
     }
+
+
+def test_long_hosts_take_time_in_proportion(spark):
+    rules = spark.createDataFrame(
+        [("com", "/", "allow"), ("a.example.com", "/x/", "block"), ("", "", "block")], "host string, path string, verdict string"
+    )
+    urls = [(n, "https://" + "b." * n + "a.example.com/x/y") for n in (1, 100_000, 500_000)]
+    urls += [(0, "https://" + "b" * 1_000_000 + ".com/" + "p/" * 500_000)]
+    pages = spark.createDataFrame(urls, "page_id long, url string")
+    filter_urls(pages.filter("page_id = 1"), rules).collect()
+    start = time.perf_counter()
+    got = {r.page_id: (r.rule, r.verdict, len(r.host)) for r in filter_urls(pages, rules).collect()}
+    assert time.perf_counter() - start < 30
+    assert got == {n: ("a.example.com/x/", "block", 2 * n + 13) for n in (1, 100_000, 500_000)} | {0: ("com/", "allow", 1_000_004)}

@@ -5,7 +5,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracerisk.llm.common import BROADCAST_ROWS
+from tracerisk.llm.common import BROADCAST_ROWS, let
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 # Hex digits of a digest that the equi-join compares (32 bits); the full digest confirms.
@@ -28,12 +28,19 @@ def _rest(url: Column) -> Column:
     return F.when(at > 0, F.substr(url, at + 3)).otherwise("")
 
 
-def expressions(host: Column, path: Column, lengths: Sequence[int]) -> Column:
-    """Host suffixes at label borders, each with the path prefixes of the given lengths."""
-    labels = F.split(host, "\\.")
-    suffixes = F.transform(
-        F.sequence(F.lit(1), F.size(labels)),
-        lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."),
+def expressions(host: Column, path: Column, lengths: Sequence[int], counts: Sequence[int]) -> Column:
+    """Host suffixes of the given numbers of labels, each with the path prefixes of the given lengths.
+
+    Only numbers and lengths that some rule has can match, so a host of many labels
+    costs no more suffixes than a short one.
+    """
+    wanted = F.array(*[F.lit(k) for k in counts])
+    suffixes = let(
+        F.split(host, "\\."),
+        lambda labels: F.transform(
+            F.filter(wanted, lambda k: k <= F.size(labels)),
+            lambda k: F.array_join(F.slice(labels, F.size(labels) - k + 1, k), "."),
+        ),
     )
     fitting = F.filter(F.array(*[F.lit(n) for n in lengths]), lambda n: n <= F.length(path))
     return F.flatten(
@@ -94,6 +101,8 @@ def filter_urls(
     )
     # At most as many values as the longest path of a rule has characters.
     lengths = sorted(r[0] for r in known.select(F.length("path")).distinct().collect())
+    # At most as many as the longest host of a rule has labels.
+    counts = sorted(r[0] for r in known.select(F.size(F.split("host", "\\."))).distinct().collect())
     digest = F.sha2(F.concat("host", "path"), 256)
     table = known.select(
         F.substring(digest, 1, PREFIX_DIGITS).alias("_prefix"), digest.alias("_rule"), "_block"
@@ -103,7 +112,7 @@ def filter_urls(
     rows = rows.withColumns({"_host": url_host(F.col("_url")), "_path": url_path(F.col("_url"))})
     rows = rows.drop("_url").withColumn("_row", F.monotonically_increasing_id())
     if lengths:
-        exploded = F.explode_outer(expressions(F.col("_host"), F.col("_path"), lengths))
+        exploded = F.explode_outer(expressions(F.col("_host"), F.col("_path"), lengths, counts))
         wide = rows.withColumn("_e", exploded).select("*", "_e.digest", "_e.precedence").drop("_e")
     else:
         wide = rows.withColumns({"digest": F.lit(""), "precedence": F.lit(0).cast("long")})
