@@ -48,6 +48,28 @@ def test_bad_host_takes_its_documents_along(spark):
     assert all(got[1000 + i].kept for i in range(90))
 
 
+def test_planted_hosts_go_and_others_stay(spark):
+    """Hosts out of line in one rule each, far from failing all: their documents go, those of usual hosts stay."""
+    good = "this is a document of more than ten words, all of them different and plain"
+    kinds = {"short": "only four short words", "repeats": "a b c d e f " * 4, "symbols": good + " ### $$$ ***"}
+    rows = []
+    for h in range(40):
+        kind = list(kinds)[h % 3]
+        share = 0.55 if h < 3 else 0.04 + 0.002 * (h % 10)
+        for k in range(400):
+            text = kinds[kind] if k < 400 * share else good
+            rows.append((len(rows), text, f"h{h}"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = quality_rules(docs).collect()
+    for r in got:
+        n = int(r.host[1:])
+        assert r.host_failed == (list(kinds)[n] if n < 3 else None)
+        assert r.kept == (n >= 3 and not r.base_failed)
+    # A small host that fails by chance is shrunk to the others and stays.
+    few = docs.unionByName(spark.createDataFrame([(-1, "short", "tiny"), (-2, good, "tiny")], docs.schema))
+    assert {r.doc_id: r.kept for r in quality_rules(few).filter("host = 'tiny'").collect()} == {-1: False, -2: True}
+
+
 def test_rates_shrink_to_the_mean(spark):
     rows = [("a", True)] + [("b", i < 50) for i in range(100)] + [("c", i < 20) for i in range(100)]
     rates = {r.host: r.rate for r in host_rates(spark.createDataFrame(rows, "host string, bad boolean"), "host", "bad").collect()}

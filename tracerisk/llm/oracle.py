@@ -43,23 +43,27 @@ WITH docs AS (
     FROM split LEFT JOIN covered USING (n)
 ), judged AS (
     SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM counted
+), flagged AS (
+    SELECT source, n_words < 10 AS short, 100 * n_repeat_words > 20 * n_words AS repeats,
+        10 * n_symbols > n_words AS symbols
+    FROM judged WHERE source IS NOT NULL
 ), hosts AS (
-    SELECT source, count(*) AS n_docs, count(*) FILTER (base_failed) AS n_failed
-    FROM judged WHERE source IS NOT NULL GROUP BY source
+    SELECT source, rule, count(*) AS n_docs, count(*) FILTER (failed) AS n_failed
+    FROM (UNPIVOT flagged ON short, repeats, symbols INTO NAME rule VALUE failed) GROUP BY source, rule
 ), prior AS (
-    SELECT coalesce(avg(n_failed / n_docs), 0) AS m,
-        coalesce(var_samp(n_failed / n_docs)
+    SELECT rule, avg(n_failed / n_docs) AS m, coalesce(var_samp(n_failed / n_docs)
             - avg(n_failed / n_docs) * (1 - avg(n_failed / n_docs)) * avg(1 / n_docs), 0) AS v
-    FROM hosts
+    FROM hosts GROUP BY rule
 ), strength AS (
-    SELECT m, CASE WHEN v > 0 THEN least(1e6, greatest(1, m * (1 - m) / v - 1)) ELSE 1e6 END AS s FROM prior
-), rates AS (
-    SELECT source, (n_failed + m * s) / (n_docs + s) AS rate FROM hosts, strength
+    SELECT rule, m, CASE WHEN v > 0 THEN least(1e6, greatest(1, m * (1 - m) / v - 1)) ELSE 1e6 END AS s FROM prior
+), bad AS (
+    SELECT DISTINCT source FROM hosts JOIN strength USING (rule)
+    WHERE (n_failed + m * s) / (n_docs + s) > least(0.8, greatest(0.3, m + 3 * sqrt(m * (1 - m) / (s + 1))))
 )
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols,
     n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words, base_failed,
-    NOT base_failed AND NOT coalesce(rate > 0.8, false) AS kept
-FROM judged LEFT JOIN rates USING (source)
+    NOT base_failed AND bad.source IS NULL AS kept
+FROM judged LEFT JOIN bad ON bad.source = judged.source
 """
 
 OP11_JACCARD_JOIN = r"""

@@ -1,5 +1,8 @@
 """Quality rules of documents, and of hosts by their documents' failures. Built-ins only."""
 
+from collections.abc import Sequence
+from math import sqrt
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,6 +15,16 @@ WINDOW = 5
 # Evidence of a prior where the hosts differ no more than chance does.
 POOLED = 1e6
 
+# Rules whose failures are counted per host: the base rules one by one, and symbols in place of words.
+RULES = {
+    "short": "n_words < 10",
+    "repeats": "100 * n_repeat_words > 20 * n_words",
+    "symbols": "10 * n_symbols > n_words",
+}
+# A host fails a rule if its shrunk rate lies this many deviations of the prior above the prior's mean,
+# but at FLOOR at least and at CEILING at most.
+DEVIATIONS, FLOOR, CEILING = 3.0, 0.3, 0.8
+
 METRICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
@@ -97,59 +110,70 @@ def base_failed() -> Column:
     return (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
 
 
-def host_rates(judged: DataFrame, host: str, failed: str) -> DataFrame:
-    """Per host: n_docs, n_failed and `rate`, shrunk towards the rate of all hosts.
+def host_rule_rates(judged: DataFrame, host: str, rules: Sequence[str]) -> DataFrame:
+    """Per host: n_docs and, per rule, n_failed_, rate_ (shrunk towards all hosts' rate) and limit_ of the rule.
 
-    The beta prior is fitted to the hosts by moments: its mean is their mean rate,
-    its strength comes from their variance less what sampling alone gives. Counts
-    combine before the shuffle; the prior is one row. Rows without a host are left out.
+    The columns `rules` tell whether a document fails. A beta prior is fitted to the hosts' rates of each
+    rule by moments: its mean is their mean rate, its strength comes from their variance
+    less what sampling alone gives. The limit lies DEVIATIONS of the prior above its mean, within FLOOR and CEILING.
+    Counts of all rules combine in one pass before the shuffle; the priors are one row.
+    Rows without a host are left out.
     """
-    hosts = materialize(
-        judged.filter(F.col(host).isNotNull())
-        .groupBy(host)
-        .agg(F.count("*").alias("n_docs"), F.count_if(F.col(failed)).alias("n_failed"))
+    failures = [F.count_if(F.col(r)).alias(f"n_failed_{r}") for r in rules]
+    hosts = judged.filter(F.col(host).isNotNull()).groupBy(host).agg(F.count("*").alias("n_docs"), *failures)
+    hosts = materialize(hosts)
+    moments = []
+    for r in rules:
+        rate = F.col(f"n_failed_{r}") / F.col("n_docs")
+        noise = F.avg(rate) * (1 - F.avg(rate)) * F.avg(1 / F.col("n_docs"))
+        moments += [
+            F.coalesce(F.avg(rate), F.lit(0.0)).alias(f"mean_{r}"),
+            F.coalesce(F.var_samp(rate) - noise, F.lit(0.0)).alias(f"spread_{r}"),
+        ]
+    prior = hosts.agg(*moments).first()
+    for r in rules:
+        mean, spread = prior[f"mean_{r}"], prior[f"spread_{r}"]
+        strength = min(POOLED, max(1.0, mean * (1 - mean) / spread - 1)) if spread > 0 else POOLED
+        above = mean + DEVIATIONS * sqrt(mean * (1 - mean) / (strength + 1))
+        shrunk = (F.col(f"n_failed_{r}") + mean * strength) / (F.col("n_docs") + strength)
+        hosts = hosts.withColumns({f"rate_{r}": shrunk, f"limit_{r}": F.lit(min(CEILING, max(FLOOR, above)))})
+    return hosts
+
+
+def host_rates(judged: DataFrame, host: str, failed: str) -> DataFrame:
+    """Per host: n_docs, n_failed and `rate`, shrunk as in `host_rule_rates`, of one rule."""
+    rates = host_rule_rates(judged, host, [failed])
+    return rates.select(
+        host, "n_docs", F.col(f"n_failed_{failed}").alias("n_failed"), F.col(f"rate_{failed}").alias("rate")
     )
-    rate = F.col("n_failed") / F.col("n_docs")
-    mean, noise = F.avg(rate), F.avg(rate) * (1 - F.avg(rate)) * F.avg(1 / F.col("n_docs"))
-    prior = hosts.agg(
-        F.coalesce(mean, F.lit(0.0)).alias("mean"),
-        F.coalesce(F.var_samp(rate) - noise, F.lit(0.0)).alias("spread"),
-    ).first()
-    strength = POOLED
-    if prior["spread"] > 0:
-        strength = min(POOLED, max(1.0, prior["mean"] * (1 - prior["mean"]) / prior["spread"] - 1))
-    shrunk = (F.col("n_failed") + prior["mean"] * strength) / (F.col("n_docs") + strength)
-    return hosts.withColumn("rate", shrunk)
 
 
 def quality_rules(
-    docs: DataFrame,
-    host: str = "source",
-    text: str = "text",
-    doc_id: str = "doc_id",
-    max_rate: float = 0.8,
+    docs: DataFrame, host: str = "source", text: str = "text", doc_id: str = "doc_id"
 ) -> DataFrame:
-    """doc_id, host, the five metrics, base_failed, host_rate and kept for every document.
+    """doc_id, host, the five metrics, base_failed, host_failed and kept for every document.
 
-    A document is kept unless it fails a base rule, or its host's shrunk failure
-    rate exceeds `max_rate`. The metrics are written once to the shared folder,
+    A document is kept unless it fails a base rule, or its host fails a rule of RULES (host_failed names
+    the first): the host's shrunk rate of documents that fail it is out of line with the other hosts (`host_rule_rates`).
+    The metrics are written once to the shared folder,
     since both the host counts and the verdicts need them. Host verdicts are
     broadcast up to a checked size; beyond it large hosts are joined apart.
 
     One row per row that goes in. A null or empty text has no words and fails; a
-    document without a host is judged by its own rules alone (host_rate null).
+    document without a host is judged by its own rules alone (host_failed null).
     """
     narrow = docs.select(
         F.col(doc_id).alias("doc_id"), F.col(host).alias("host"), F.col(text).alias("_text")
     )
     judged = document_metrics(narrow, "_text").drop("_text")
     judged = materialize(judged.withColumn("base_failed", base_failed()))
-    rates = host_rates(judged, "host", "base_failed").drop("n_failed")
-    dim, small = stage_lookup(rates)
+    failing = judged.select("host", *[F.expr(rule).alias(r) for r, rule in RULES.items()])
+    rates = host_rule_rates(failing, "host", list(RULES))
+    first = F.coalesce(*[F.when(F.col(f"rate_{r}") > F.col(f"limit_{r}"), r) for r in RULES])
+    dim, small = stage_lookup(rates.select("host", "n_docs", first.alias("host_failed")))
     found = lookup(judged, dim, ["host"], rows="n_docs", small=small)
-    bad_host = F.coalesce(F.col("rate") > max_rate, F.lit(False))
     return found.select(
         *judged.columns,
-        F.col("rate").alias("host_rate"),
-        (~F.col("base_failed") & ~bad_host).alias("kept"),
+        "host_failed",
+        (~F.col("base_failed") & F.col("host_failed").isNull()).alias("kept"),
     )
