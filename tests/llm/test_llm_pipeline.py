@@ -44,8 +44,26 @@ def test_odd_documents(spark, small):
                 docs = spark.createDataFrame(out.collect(), docs.schema)
 
 
+def test_the_corpus_is_written(spark, small, tmp_path):
+    corpus_pipeline.write_corpus(spark, small, str(tmp_path / "corpus"))
+    documents, plan, sequences = (
+        spark.read.parquet(str(tmp_path / "corpus" / n)).collect() for n in ("documents", "plan", "sequences")
+    )
+    texts = {d.doc_id: d.text for d in documents}
+    assert len(texts) == len(documents) > 100
+    bins = {}
+    for p in plan:
+        if p.bin_id is not None:
+            bins.setdefault(p.bin_id, []).append((p.position, texts[p.doc_id][p.start : p.start + p.length]))
+    assert {s.bin_id: s.text for s in sequences} == {b: "\n".join(t for _, t in sorted(ps)) for b, ps in bins.items()}
+    whole = {i: "" for i in texts}
+    for p in sorted(plan, key=lambda p: (p.doc_id, p.start)):
+        whole[p.doc_id] += texts[p.doc_id][p.start : p.start + p.length]
+    assert whole == {i: t or "" for i, t in texts.items()}
+
+
 def test_registered():
     entry = importlib.import_module("__spark_entry__")
     names = set(entry.queries())
     assert "pipeline" in names
-    assert {m[0] for n in names if (m := re.match(r"op\d+(?=_)", n))} == {f"op{i}" for i in range(1, 11)}
+    assert {m[0] for n in names if (m := re.match(r"op\d+(?=_)", n))} == {f"op{i}" for i in range(1, 14)}

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracerisk.llm.common import fold_of, held_out, sample_rows, with_columns
+from tracerisk.sources import materialize
 
 # Labelled documents per class that the dictionaries are trained on, and documents that calibrate.
 TRAIN_ROWS, CALIBRATION_ROWS = 1_500, 2_000
@@ -129,7 +130,7 @@ def train_toxicity_model(
 ) -> ToxicityModel | None:
     """Learn from labelled rows outside the held-out fold; None if one class is missing.
 
-    The classifier is fitted on a bounded sample, chosen by a hash of the id: at
+    The classifier is fitted on a bounded sample of the labelled rows that `docs` holds, chosen by a hash of the id: at
     most TRAIN_ROWS documents a class from folds 2 to 4, and CALIBRATION_ROWS from
     fold 1; only these reach the driver. Both dictionaries begin with one trained
     on ordinary windows, so that what they have in common costs the same; each
@@ -141,6 +142,8 @@ def train_toxicity_model(
     known = labels.filter(F.col(toxic).isNotNull() & ~held_out(doc_id)).select(
         F.col(doc_id).alias("doc_id"), F.col(toxic).alias("toxic")
     )
+    # Labels of documents that are gone would only thin the sample out. Ids alone are joined.
+    known = materialize(known.join(docs.select(F.col(doc_id).alias("doc_id")), "doc_id", "left_semi"))
     trained = fold_of("doc_id") != 1
     parts = [
         sample_rows(known.filter(trained & (F.col("toxic") == k)), TRAIN_ROWS, "doc_id")
