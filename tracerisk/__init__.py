@@ -14,6 +14,7 @@ from tracerisk.operators.features import (
     calculate_concurrency_density,
     calculate_execution_duration,
     calculate_machine_failure_rate,
+    calculate_machine_failure_rate_before,
     calculate_priority_gap,
     calculate_priority_inversion,
     calculate_resource_overcommit,
@@ -31,6 +32,7 @@ from tracerisk.operators.models import (
 )
 from tracerisk.operators.profile import get_missing_summary
 from tracerisk.operators.split import prepare_data
+from tracerisk.operators.trees import split_gains, tree_nodes
 from tracerisk.plans.matrix import build_feature_matrix, feature_matrix
 from tracerisk.plans.stages import prepare_tables, report_results
 from tracerisk.schema import (
@@ -44,6 +46,7 @@ from tracerisk.schema import (
     TERMINAL_EVENTS,
 )
 from tracerisk.sources import load_model, load_trace_parts, save_model
+from tracerisk.sources.ledger import load_new_parts
 
 __all__ = [
     "ALL_FEATURES",
@@ -59,6 +62,7 @@ __all__ = [
     "calculate_concurrency_density",
     "calculate_execution_duration",
     "calculate_machine_failure_rate",
+    "calculate_machine_failure_rate_before",
     "calculate_priority_gap",
     "calculate_priority_inversion",
     "calculate_resource_overcommit",
@@ -75,6 +79,7 @@ __all__ = [
     "improvement_summary",
     "label_distribution",
     "load_model",
+    "load_new_parts",
     "load_trace_parts",
     "predict",
     "prepare_data",
@@ -85,7 +90,9 @@ __all__ = [
     "run_cross_validation",
     "run_paired_ttest",
     "save_model",
+    "split_gains",
     "train_boosted_trees",
     "train_logistic_regression",
     "train_random_forest",
+    "tree_nodes",
 ]
