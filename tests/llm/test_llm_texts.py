@@ -224,10 +224,11 @@ def test_licenses(spark):
     assert got == sorted([
         ("1", "Apache-2.0", "file"), ("2", "GPL-3.0", "inherited"), ("3", None, "none"), ("4", "MIT", "header"),
         ("5", None, "none"), ("6", "GPL-3.0", "file"), ("7", "GPL-3.0", "inherited"), ("8", "Apache-2.0", "inherited"),
-        ("9", "Apache-2.0", "inherited"), ("9", "Apache-2.0", "inherited"), ("None", None, "none"),
-    ])  # the notice inside a line of plain words is too thin for its window
+        ("9", "Apache-2.0", "inherited"), ("9", "CC-BY-NC-4.0", "header"), ("None", None, "none"),
+    ])
     assert license_scan.scan_licenses(docs.limit(0), F.col("path")).collect() == []
-    assert all(r.license is None for r in license_scan.scan_licenses(docs, F.col("path"), templates=()).collect())
+    without = license_scan.scan_licenses(docs, F.col("path"), templates=(), texts=())
+    assert all(r.license is None and r.cosine == 0 for r in without.collect())
     assert license_scan.scan_licenses(edge_documents(spark), F.col("source")).count() == 11
 
 
@@ -249,9 +250,73 @@ def test_licenses_are_found_in_a_corpus_of_any_size(n):
     match = license_scan.Matcher(license_scan.TEMPLATES, seen, n)
     small = license_scan.Matcher(license_scan.TEMPLATES, {w: int(s * 1000) for w, s in SHARES.items()}, 1000)
     for text, name in PHRASES:
-        found = match(text, license_scan.LEAST_COSINE)
+        found = match(text)
         assert found[0] == name, text
-        assert found[1] == pytest.approx(small(text, license_scan.LEAST_COSINE)[1], abs=1e-12)
+        assert found[1] == pytest.approx(small(text)[1], abs=1e-12)
+
+
+BODIES = license_scan.license_texts()
+PLAIN = "\n\n".join(" ".join(f"plain{i}-{j} of the" for j in range(40)) for i in range(60))
+
+
+def matcher(n=1_000_000):
+    seen = {w: int(s * n) for w, s in SHARES.items()}
+    return license_scan.Matcher(license_scan.TEMPLATES, seen, n, BODIES)
+
+
+@pytest.mark.parametrize("name, body", BODIES, ids=[name for name, _ in BODIES])
+def test_whole_license_texts(name, body):
+    """As they are, with an owner, in a comment, in one line, and at the head of a longer file."""
+    match = matcher()
+    owned = "Copyright (c) 2024 Jane Doe and contributors. All rights reserved.\n\n" + body
+    comment = "\n".join(f" * {line}" for line in owned.split("\n"))
+    for text in (body, owned, comment, owned.replace("\n", " "), owned.upper()):
+        found = match(text)
+        assert found[0] == name and found[1] >= license_scan.TEXT_COSINE and found[2]
+    found = match(f"{comment}\n\n{PLAIN}\n\n{PLAIN}\n\n{PLAIN}\n\n{PLAIN}\n\n{PLAIN}")
+    assert found[0] == name and not found[2]
+    assert match(PLAIN)[0] is None
+
+
+def test_licenses_in_part():
+    """A few sections aren't a licence text; a notice inside or over a line's end is one."""
+    match = matcher()
+    assert match("PERFORMANCE OF THIS SOFTWARE, WITHOUT WARRANTY OF ANY KIND\n\n" + PLAIN)[0] is None
+    broken = "under the terms of the GNU General\n# Public License as published by\n# the Free Software Foundation, either version {} of"
+    assert match(PLAIN + broken.format(2) + PLAIN)[:1] == ("GPL-2.0",)
+    assert match(PLAIN + broken.format(3) + PLAIN)[:1] == ("GPL-3.0",)
+    assert match("word " * 100 + "released under the MIT License, see there " + "word " * 100)[0] == "MIT"
+    assert match("") == (None, 0.0, False) and match("\n ,;\n") == (None, 0.0, False)
+    long = ("the license of the software " * 40_000) + BODIES[-1][1]
+    assert match(long)[0] == BODIES[-1][0] and not match(long)[2]
+    both = match(f"{dict(BODIES)['MIT']}\n\n{PLAIN}\n\n{dict(BODIES)['Apache-2.0']}")
+    assert both[0] == "Apache-2.0"  # the one that takes up more words
+
+
+def test_license_words_leave_out_nothing():
+    """Anchors against all windows: each that reaches the cosine is found, by brute force."""
+    rng = np.random.default_rng(5)
+    match = matcher()
+    pool = sorted({w for _, t in license_scan.TEMPLATES for w in license_scan.words_of(t)}) + ["plain", "of", "a"]
+    for _ in range(60):
+        words = list(rng.choice(pool, 30))
+        for _, t in (license_scan.TEMPLATES[k] for k in rng.integers(0, len(license_scan.TEMPLATES), 3)):
+            kept = [w if rng.random() > 0.2 else "other" for w in license_scan.words_of(t)]
+            at = int(rng.integers(0, len(words)))
+            words[at:at] = kept
+        want = {(i, s) for i, size in enumerate(match.notices.lengths) for s in range(len(words) - size + 1)
+                if match.notices.cosine(words[s : s + size], i) >= match.least}
+        assert {(i, s) for _, i, s in match.windows(words)} == want
+
+
+def test_license_files_of_whole_texts(spark):
+    texts = dict(BODIES)
+    rows = [(1, "a/LICENSE", texts["MIT"]), (2, "a/b/src/x", "plain"), (3, "a/b/NOTES", texts["BSD-3-Clause"]),
+            (4, "a/c/d/x", ""), (5, "a/c/y", PLAIN + "\n\n" + texts["ISC"]), (6, "a/c/z", None), (7, None, texts["GPL-2.0"])]
+    docs = spark.createDataFrame(rows, "doc_id long, path string, text string")
+    got = {r.doc_id: (r.license, r.origin) for r in license_scan.scan_licenses(docs, F.col("path")).collect()}
+    assert got == {1: ("MIT", "file"), 2: ("BSD-3-Clause", "inherited"), 3: ("BSD-3-Clause", "file"), 4: ("MIT", "inherited"),
+                   5: ("ISC", "header"), 6: ("MIT", "inherited"), 7: ("GPL-2.0", "file")}
 
 
 def test_license_cosine_same_as_brute_force(spark, small):
@@ -265,13 +330,23 @@ def test_license_cosine_same_as_brute_force(spark, small):
     assert rows.keys() == texts.keys()
     for i, text in list(texts.items())[::7]:
         best = 0.0
-        for words in license_scan.headers(text):
-            for _, template in license_scan.TEMPLATES:
-                other = license_scan.words_of(template)
+        lines = [license_scan.words_of(line) for line in text.split("\n")]
+        whole = [w for line in lines for w in line]
+        compared = []
+        for line in lines:  # lines of up to 32 words, longer ones in windows of 32 at every 16th word
+            parts = [line[i : i + 32] for i in range(0, max(1, len(line) - 16), 16)] if line else []
+            compared += [(p, license_scan.words_of(t), False) for p in parts for _, t in license_scan.TEMPLATES]
+        for _, template in license_scan.TEMPLATES:
+            other = license_scan.words_of(template)
+            runs = (whole[i : i + len(other)] for i in range(len(whole) - len(other) + 1))
+            compared += [(run, other, True) for run in runs if len({*run} & {*other}) > 1]
+        for words, other, window in compared:
+            if not {*words}.isdisjoint(other):
                 names = sorted({*words, *other})
                 x = np.array([words.count(w) * weight.get(w, license_scan.WORD_WEIGHT) for w in names])
                 y = np.array([other.count(w) * weight.get(w, license_scan.WORD_WEIGHT) for w in names])
-                best = max(best, float(x @ y / np.sqrt((x @ x) * (y @ y))))
+                cosine = float(x @ y / np.sqrt((x @ x) * (y @ y)))
+                best = max(best, cosine if not window or cosine >= license_scan.LEAST_COSINE else 0.0)
         assert rows[i].cosine == pytest.approx(best, abs=1e-9)
 
 
