@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from tracerisk import (
@@ -57,6 +58,16 @@ def auc(model, test):
     return metrics.evaluate_model("m", predict(model, test)).first()["roc_auc"]
 
 
+def test_models_score_after_metrics_were_observed(parts):
+    """The session then holds what can't be sent to tasks, and a training summary holds the session."""
+    train, test = parts
+    seen = Observation()
+    train.observe(seen, F.count("*").alias("n")).write.format("noop").mode("overwrite").save()
+    assert seen.get["n"] == train.count()
+    for family, fit in experiments.FAMILIES.items():
+        assert predict(fit(train, **SMALL[family]), test).filter("probability BETWEEN 0 AND 1").count() == test.count()
+
+
 def test_scaler_uses_population_deviation(parts):
     train, _ = parts
     scaler = models.standard_scaler(ALL_FEATURES, train.count()).fit(train)
