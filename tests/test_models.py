@@ -23,6 +23,7 @@ from tracerisk import (
     train_logistic_regression,
     train_random_forest,
 )
+from tracerisk.catalog import queries
 from tracerisk.operators import experiments, metrics, models
 from tracerisk.schema import ALL_FEATURES, NOVEL_FEATURES, RAW_FEATURES, TASK_KEY
 from tracerisk.sources import materialize
@@ -176,3 +177,28 @@ def test_from_files_to_results(spark, small, tmp_path):
     saved = sorted(p.name for p in (tmp_path / "res" / "models").iterdir())
     assert len(saved) == 6
     assert spark.read.option("header", True).csv(str(tmp_path / "res" / "paired_ttest")).count() == 1
+
+
+def test_queries_fit_only_the_models_they_read(spark, parts, monkeypatch):
+    """The query of one family fits that family, not all six models."""
+    fitted = []
+
+    def fit_with(key, fit):
+        def run(train):
+            fitted.append(key)
+            return fit(train)
+
+        return run
+
+    small = experiments.grid(SMALL)
+    grid = {key: fit_with(key, fit) for key, fit in small.items()}
+    monkeypatch.setattr(queries.experiments, "grid", lambda: grid)
+    monkeypatch.setattr(queries, "_train_test", lambda *_: parts)
+    monkeypatch.setattr(queries, "_SHARED", {})
+    named = queries.queries()
+    assert named["lr_coefficients"](spark, "t").count() == len(ALL_FEATURES)
+    assert fitted == [("Logistic Regression", "all")]
+    assert named["confusion_plot"](spark, "t").count() == 8
+    assert named["lr_predictions"](spark, "t").count() == parts[1].count()
+    others = [("Boosted Trees", "all"), ("Logistic Regression", "raw")]
+    assert sorted(fitted) == sorted([("Logistic Regression", "all"), *others])
