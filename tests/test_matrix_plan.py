@@ -1,8 +1,9 @@
 """The matrix from raw events that lie by job: no shuffle by task, the same rows as by the usual way."""
 
+from pyspark.sql import functions as F
 from test_growing_trace import exchanges
 
-from tracerisk.operators import clean
+from tracerisk.operators import clean, split
 from tracerisk.plans import matrix as plans
 from tracerisk.schema import EVENT_NO, TASK_KEY
 from tracerisk.sources import materialize
@@ -46,3 +47,16 @@ def test_no_event_is_lost_or_numbered_otherwise(spark, small):
     raw = trace_from_lineitem(spark, small)
     found = clean.clean_trace(raw, by=["job_id"]).select(*TASK_KEY, EVENT_NO, "timestamp", "event_type")
     assert rows(found) == rows(clean.clean_trace(raw).select(*found.columns))
+
+
+def test_folds_do_not_shuffle_the_digest(spark, small):
+    tasks = materialize(clean.clean_trace(trace_from_lineitem(spark, small)).select(*TASK_KEY).distinct())
+    folds = split.stratified_folds(tasks.withColumn("label", F.col("task_index") % 2))
+    plan = folds._jdf.queryExecution().executedPlan().toString()
+    above = plan.splitlines()
+    window = next(i for i, line in enumerate(above) if "Window" in line)
+    exchange = next(i for i, line in enumerate(above) if i > window and "Exchange hashpartitioning(label" in line)
+    # The digest is made between the shuffle and the window.
+    assert any("AS _key" in line for line in above[window:exchange])
+    sizes = {r["fold"]: r["count"] for r in folds.groupBy("fold").count().collect()}
+    assert sorted(sizes) == [0, 1, 2, 3, 4] and max(sizes.values()) - min(sizes.values()) <= 2
