@@ -5,11 +5,12 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from tracerisk.catalog import queries
 from tracerisk.operators import clean, features, labels, sketches
 from tracerisk.operators.quantiles import exact_quantiles
 from tracerisk.schema import COLUMNS, SEQ, TASK_KEY
 from tracerisk.sources import buckets, ledger, load_trace_parts, materialize
-from tracerisk.sources.adapters import trace_from_events
+from tracerisk.sources.adapters import trace_from_events, trace_from_lineitem
 from tracerisk.streaming import (
     read_stream,
     run_to_end,
@@ -139,6 +140,20 @@ def test_no_shuffle_after_tables_by_task(spark, events):
     assert rows(duration) == rows(features.calculate_execution_duration(events, usual))
 
 
+def test_buckets_grow_with_the_table():
+    assert [buckets.buckets_for(n, least=16) for n in (0, 8_000_000, 8_000_001, 648_000_000)] == [16, 16, 17, 1296]
+
+
+def test_task_times_take_more_buckets_for_more_rows(spark, small, monkeypatch):
+    asked = []
+    write = queries.write_by_task
+    monkeypatch.setattr(buckets, "BUCKET_ROWS", 500)
+    monkeypatch.setattr(queries, "write_by_task", lambda df, buckets: asked.append(buckets) or write(df, buckets=buckets))
+    assert queries.queries()["task_times_by_bucket"](spark, small).count() > 0
+    n = trace_from_lineitem(spark, small).count()
+    assert n > 16 * 500 and asked == [-(-n // 500)]
+
+
 def test_a_stored_table_by_task_is_opened_again(spark, events, tmp_path):
     path = str(tmp_path / "by_task")
     buckets.write_by_task(events, path, buckets=6)

@@ -50,7 +50,7 @@ from tracerisk.sources import (
     write_table,
 )
 from tracerisk.sources.adapters import trace_from_events, trace_from_lineitem
-from tracerisk.sources.buckets import write_by_task
+from tracerisk.sources.buckets import buckets_for, write_by_task
 from tracerisk.sources.ledger import load_new_parts, read_ledger
 from tracerisk.sources.shared import new_path
 from tracerisk.streaming import (
@@ -381,7 +381,8 @@ _QUERIES |= {
 @query
 def task_times_by_bucket(spark, folder):
     """Label, delay and duration of every labelled task, from events stored by task: no shuffle after that."""
-    events = spark.table(write_by_task(clean_l(spark, folder), buckets=16))
+    buckets = buckets_for(trace_from_lineitem(spark, folder).count(), least=16)
+    events = spark.table(write_by_task(clean_l(spark, folder), buckets=buckets))
     labelled = labels.create_labels(events).select(*TASK_KEY, "timestamp", "label")
     delay = features.calculate_scheduling_delay(events)
     duration = features.calculate_execution_duration(events, labelled)

@@ -9,6 +9,13 @@ from tracerisk.schema import EVENT_NO, TASK_KEY
 from tracerisk.sources.shared import new_path
 
 BUCKETS = 200
+# Rows of a bucket, which one task sorts and holds.
+BUCKET_ROWS = 500_000
+
+
+def buckets_for(rows: int, least: int = 1) -> int:
+    """Number of buckets for a table of so many rows."""
+    return max(least, -(-rows // BUCKET_ROWS))
 
 
 def write_by_task(
