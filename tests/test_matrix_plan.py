@@ -7,7 +7,7 @@ from tracerisk.operators import clean, split
 from tracerisk.plans import matrix as plans
 from tracerisk.schema import EVENT_NO, TASK_KEY
 from tracerisk.sources import materialize
-from tracerisk.sources.adapters import trace_from_lineitem
+from tracerisk.sources.adapters import line_partitions, trace_from_lineitem
 
 
 def rows(df):
@@ -43,6 +43,23 @@ def test_events_stored_by_job_need_no_shuffle_by_task(spark, small):
     assert rows(matrix.select(*novel)) == rows(usual.select(*novel))
 
 
+def test_partitions_grow_with_the_lines(spark, small):
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    lines = spark.read.parquet(f"{small}/lineitem.parquet").count()
+    assert line_partitions(spark, small) == least
+    parts = line_partitions(spark, small, rows=1_000)
+    assert parts == -(-3 * lines // 1_000) > least
+
+    raw = trace_from_lineitem(spark, small, parts)
+    events, _ = clean.clean_in_place(raw, by=["job_id"], parts=parts)
+    assert exchanges(events) == 2 and events.rdd.getNumPartitions() == parts
+    matrix = plans.matrix_of_trace(raw, 604_800, 60, by=["job_id"], parts=parts)
+    assert exchanges(matrix) == 0
+    usual = plans.matrix_of_trace(trace_from_lineitem(spark, small), 604_800, 60, by=["job_id"])
+    novel = [c for c in matrix.columns if c not in ("resource_overcommit_ratio", "machine_failure_rate")]
+    assert rows(matrix.select(*novel)) == rows(usual.select(*novel))
+
+
 def test_no_event_is_lost_or_numbered_otherwise(spark, small):
     raw = trace_from_lineitem(spark, small)
     found = clean.clean_trace(raw, by=["job_id"]).select(*TASK_KEY, EVENT_NO, "timestamp", "event_type")
