@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.ml.classification import RandomForestClassifier
 from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
@@ -124,6 +125,20 @@ def test_trees(matrix, parts, fit, tmp_path):
     assert again.columns == [*TASK_KEY, "label", "prediction", "probability"]
 
 
+def test_a_forest_keeps_the_node_of_every_row(parts, monkeypatch):
+    train, test = parts
+    model = train_random_forest(train, **TREES)
+    assert model.stages[-1].getCacheNodeIds()
+
+    def walking(**settings):
+        return RandomForestClassifier(**(settings | {"cacheNodeIds": False}))
+
+    monkeypatch.setattr(models, "RandomForestClassifier", walking)
+    walked = train_random_forest(train, **TREES)
+    assert not walked.stages[-1].getCacheNodeIds()
+    assert sorted(predict(walked, test).collect()) == sorted(predict(model, test).collect())
+
+
 def test_ablation(parts):
     study = run_ablation_study(*parts, **TREES)
     rows = study.collect()

@@ -124,6 +124,8 @@ def train_random_forest(
         maxBins=max_bins,
         featureSubsetStrategy="sqrt",
         seed=seed,
+        # A row keeps its node of every tree; else each pass walks it down all trees from their roots.
+        cacheNodeIds=True,
     )
     fitted = Pipeline(stages=[_assembler(features, "features"), classifier]).fit(weighted)
     return _without_summary(fitted, train.sparkSession)
