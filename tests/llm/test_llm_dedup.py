@@ -5,7 +5,7 @@ import pytest
 from edge import edge_documents, no_documents
 from pyspark.sql import functions as F
 
-from tracerisk.llm import catalog, near_dedup
+from tracerisk.llm import catalog, graph, near_dedup
 from tracerisk.llm.graph import components
 
 
@@ -192,3 +192,23 @@ def test_components_of_a_long_path_and_a_hub(spark):
     got = {r.node: r.component for r in components(links).collect()}
     assert got == {**{i: 0 for i in range(201)}, **{1000 + i: 1000 for i in range(300)}}
     assert components(links.filter(F.lit(False))).collect() == []
+
+
+def test_components_end_once_all_are_stars(spark, monkeypatch):
+    """Stars need no second round to see that nothing changes: two tables are written, links and least neighbours."""
+    written = []
+    real = graph.materialize
+    monkeypatch.setattr(graph, "materialize", lambda df: written.append(1) or real(df))
+    stars = [(100 * k, 100 * k + i) for k in range(3) for i in range(1, 20)]
+    got = {r.node: r.component for r in graph.components(spark.createDataFrame(stars, "a long, b long")).collect()}
+    assert got == {100 * k + i: 100 * k for k in range(3) for i in range(20)}
+    assert len(written) == 2
+
+
+@pytest.mark.parametrize("most", [0, 10**6])
+def test_components_by_broadcast_or_shuffle(spark, monkeypatch, most):
+    monkeypatch.setattr(graph, "BROADCAST_ROWS", most)
+    path = [((7 * i) % 50, (7 * (i + 1)) % 50) for i in range(30)]
+    links = spark.createDataFrame([*path, *path, (60, 61), (61, 60), (62, 62), (None, 63)], "a long, b long")
+    got = {r.node: r.component for r in graph.components(links).collect()}
+    assert got == {n: 0 for p in path for n in p} | {60: 60, 61: 60}

@@ -180,7 +180,7 @@ def _pivot_pairs(keyed: DataFrame, labels: DataFrame | None) -> DataFrame:
     pivots = rows.groupBy("key").agg(F.min("class").alias("y"), F.max("class").alias("z"), F.max(best).alias("p"))
     pivots = pivots.filter("y != z and p is not null")
     pivots = materialize(pivots.select("key", (-F.col("p.x")).alias("pivot"), F.col("p.class").alias("pivot_class")))
-    met = rows.join(pivots, "key").filter("class != pivot_class")
+    met = rows.join(_small(pivots), "key").filter("class != pivot_class")
     return met.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
 
 
@@ -262,6 +262,13 @@ def _candidates(sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     return pairs, own.select("node", "falling", "mixed")
 
 
+def _joined(links: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """Components of the links and of earlier ones, which stand as one link from each node to the least of its own."""
+    if labels is not None:
+        links = links.unionByName(labels.select(F.col("component").alias("a"), F.col("node").alias("b")))
+    return components(links)
+
+
 def _classed(sets: DataFrame, labels: DataFrame | None) -> DataFrame:
     if labels is None:
         return sets.withColumn("class", F.col("node"))
@@ -310,15 +317,13 @@ def jaccard_components(
     texts_of = sets.select("node", "text_key")
     close = _sets_of(rows, materialize(texts_of.join(_small(scores.select("node")), "node", "left_semi")))
 
-    links, labels, tested = None, None, None
+    labels, tested = None, None
     for _ in range(rounds):
         pairs = _pivot_pairs(keyed, labels)
-        pairs = materialize(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
+        pairs = materialize(pairs if tested is None else pairs.join(_small(tested), ["a", "b"], "left_anti"))
         if pairs.isEmpty():
             break
-        found = _linked(pairs, close, percent, [])
-        links = materialize(found if links is None else links.unionByName(found))
-        labels = materialize(components(links))
+        labels = _joined(_linked(pairs, close, percent, []), labels)
         tested = pairs if tested is None else tested.unionByName(pairs)
 
     classed = _classed(sets.select("node", "n", "text_key", "early"), labels)
@@ -328,13 +333,10 @@ def jaccard_components(
     both = whole.join(_small(early.select("node", "class", F.col("missed").alias("earlier"))), "node").withColumn("late", late)
     open_sets = materialize(_surviving(both, "late", percent, F.col("earlier")).select("node", "class", "n", "tokens"))
     pairs, orders = _candidates(open_sets, percent)
-    pairs = materialize(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
+    pairs = materialize(pairs if tested is None else pairs.join(_small(tested), ["a", "b"], "left_anti"))
     if not pairs.isEmpty():
         compared = open_sets.join(orders, "node")
-        found = materialize(_linked(pairs, compared, percent, ["falling", "mixed"]))
-        if not found.isEmpty():
-            links = found if links is None else links.unionByName(found)
-            labels = materialize(components(links))
+        labels = _joined(_linked(pairs, compared, percent, ["falling", "mixed"]), labels)
 
     # Only linked sets and copies have another answer than the row's own id.
     firsts = groups.select("node", "first", "copies")
