@@ -25,7 +25,7 @@ from tracerisk import (
     train_random_forest,
 )
 from tracerisk.catalog import queries
-from tracerisk.operators import experiments, metrics, models
+from tracerisk.operators import experiments, metrics, models, split
 from tracerisk.schema import ALL_FEATURES, NOVEL_FEATURES, RAW_FEATURES, TASK_KEY
 from tracerisk.sources import materialize
 
@@ -56,6 +56,29 @@ def parts(matrix):
     return prepare_data(matrix)
 
 
+@pytest.mark.parametrize("rounds", [1, 3])
+def test_fits_read_as_many_even_parts_as_there_are_cores(spark, monkeypatch, rounds):
+    """Whatever the session's shuffle partitions: one more than the cores would take a second round."""
+    cores = spark.sparkContext.defaultParallelism
+    n = cores * split.LEAST_FIT_ROWS * rounds
+    monkeypatch.setattr(split, "FIT_ROWS", split.LEAST_FIT_ROWS)
+    tasks = spark.range(n).select(
+        F.col("id").alias("job_id"), F.lit(0).alias("task_index"), (F.col("id") % 4 == 0).cast("int").alias("label")
+    )
+    train, test = prepare_data(tasks)
+    for part, rows in ((train, n * 4 // 5), (test, n // 5)):
+        assert (part.count(), part.distinct().count()) == (rows, rows)
+    sizes = [r["count"] for r in train.groupBy(F.spark_partition_id()).count().collect()]
+    assert train.rdd.getNumPartitions() == len(sizes) == cores
+    assert max(sizes) < 1.1 * min(sizes)
+    files = train.select(F.input_file_name()).distinct().count()
+    assert files == cores * rounds
+
+
+def test_small_tables_stay_in_one_part(spark, parts):
+    assert parts[0].rdd.getNumPartitions() == 1
+
+
 def auc(model, test):
     return metrics.evaluate_model("m", predict(model, test)).first()["roc_auc"]
 
