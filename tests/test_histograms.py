@@ -1,6 +1,7 @@
 """Trees grown from histograms: those of Spark's fit, without a store per tree."""
 
 import random
+from functools import partial
 
 import numpy as np
 import pytest
@@ -154,13 +155,25 @@ def test_one_job_takes_a_bounded_number_of_trees():
     assert histograms._batches(wanted, per_node) == [[0, 1], [3], [4]]
 
 
-def test_folds_and_ablation_on_histograms(matrix, parts, monkeypatch):
-    """Fits side by side, from several threads."""
+def test_models_that_share_passes_are_those_fitted_alone(spark, matrix, parts, monkeypatch):
+    """Folds and ablations: other rows, other features and other weights in the same passes."""
     monkeypatch.setattr(models, "LEAST_FIT_ROWS", 1)
-
-    def fit(train):
-        return train_boosted_trees(train, n_estimators=3, max_depth=3, max_bins=32)
-
+    train, test = parts
+    settings = {"n_estimators": 3, "max_depth": 3, "max_bins": 32}
+    calls = [
+        partial(train_boosted_trees, train, **settings),
+        partial(train_boosted_trees, train, features=experiments.without(ALL_FEATURES, ALL_FEATURES[5]), **settings),
+        partial(train_boosted_trees, test, scale_pos_weight=1.5, **settings),
+    ]
+    made = []
+    fit_boosted = histograms.fit_boosted
+    monkeypatch.setattr(histograms, "fit_boosted", lambda asked: made.append(len(asked)) or fit_boosted(asked))
+    together = experiments.fit_jobs(calls, spark, 2)
+    assert made == [3]
+    for call, model in zip(calls, together):
+        same(nodes(model), nodes(call()))
+    fit = partial(train_boosted_trees, **settings)
+    made.clear()
     assert experiments.fold_scores(fit, matrix, 2, threads=2).filter("roc_auc > 0.55").count() == 2
-    study = experiments.run_ablation_study(*parts, threads=3, n_estimators=1, max_depth=2, max_bins=32)
-    assert study.count() == 6
+    assert experiments.run_ablation_study(train, test, threads=2, **settings).count() == 6
+    assert made == [2, 7]
